@@ -11,10 +11,3 @@ def plain_words(text: Column) -> Column:
     bare = F.regexp_replace(F.lower(text), r"\p{P}+", "")
     return F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
 
-
-def word_runs(words: Column, n: int) -> Column:
-    """Hashes of all runs of ``n`` consecutive words, in order; empty when shorter."""
-    return F.when(
-        F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n))),
-    ).otherwise(F.array().cast("array<bigint>"))
