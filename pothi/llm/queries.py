@@ -26,5 +26,38 @@ def p6_share(spark: SparkSession, d: str) -> DataFrame:
     return sizes.join(covered, "id", "left").select("id", "n_chars", shared.cast("bigint").alias("shared_chars"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.round(F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(0.0), 6).alias("share"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_share": p6_share}
+def _tellings(spark: SparkSession, d: str) -> DataFrame:
+    sent = table(spark, d, "candidate", "file", "idx", "raw_text").select(F.concat_ws("#", "file", F.col("idx").cast("string")).alias("key"), F.col("raw_text").alias("text"))
+    kept = table(spark, d, "meta", "variants").select(F.explode("variants").alias("v")).select(F.col("v.file").alias("key"), F.col("v.text").alias("text"))
+    return sent.unionByName(kept)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from pothi.llm.p07_near_duplicates import NearDuplicates
+
+    return NearDuplicates(_tellings(spark, d), "key", "text", 3, 0.5).pairs()
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    from pothi.llm.p07_near_duplicates import NearDuplicates
+
+    return NearDuplicates(_tellings(spark, d), "key", "text", 3, 0.5).groups()
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    from pothi.llm.p09_leaks import leaks
+
+    return leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "gold"), "item_id", ["query", "expected_text_substr"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each item's query and answer a document gives away."""
+    return _leaks(spark, d).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "part", "hits", "runs", F.round(F.col("hits") / F.col("runs"), 6).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_share, p7_found, p7_groups, p9_found, p9_leaks)}
 SQL: dict[str, str] = {}
