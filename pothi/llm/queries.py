@@ -59,5 +59,22 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "part", "hits", "runs", F.round(F.col("hits") / F.col("runs"), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_share, p7_found, p7_groups, p9_found, p9_leaks)}
+def _truncation(spark: SparkSession, d: str) -> DataFrame:
+    from pothi.llm.p10_truncation import truncation
+
+    return truncation(table(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncation(spark, d).where("is_cut").select(F.col("key").alias("doc_id"))
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    from pothi.llm.p10_truncation import rates
+
+    return rates(_truncation(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_share, p7_found, p7_groups, p9_found, p9_leaks, p10_found, p10_sources)}
 SQL: dict[str, str] = {}
