@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where a session names none (tests, one machine) a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="pothi-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder of ``spark.checkpoint.dir``.
+    """``df`` as a compressed table written to the shared folder.
 
-    The files outlive any executor. Only where a session names no such folder
-    (tests, one machine) is a temporary one made.
+    What is computed from it later starts at the table, whichever executors are
+    lost. The table is deleted when the driver ends.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pothi-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/pothi-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_clear, spark)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clear(spark: SparkSession) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        for path in _written:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended
+        pass
