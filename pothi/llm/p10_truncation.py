@@ -34,12 +34,16 @@ from pyspark.sql import DataFrame
 
 from pothi.plans.lineage import cut as cut_lineage
 
-_TEXTS = r"""
-SELECT key, trim(row.source) AS source, row.text AS text, xxhash64(row.text) AS h
-FROM (SELECT key, min(struct(text, source)) AS row FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\S' GROUP BY key)
+_KEYS = r"""
+SELECT key, row.source, row.h FROM (
+  SELECT key, min(struct(xxhash64(text) AS h, trim(source) AS source)) AS row FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\S' GROUP BY key)
 """
 
-_DISTINCT = r"SELECT h, min(text) AS text, min(source) AS source FROM {texts} GROUP BY h"
+# The texts go through one exchange, here.
+_DISTINCT = r"""
+SELECT xxhash64(text) AS h, min(text) AS text, min(trim(source)) AS source FROM {rows}
+WHERE key IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\S' GROUP BY xxhash64(text)
+"""
 
 # One row per line that isn't blank; nth counts from the end of its text.
 _LINES = r"""
@@ -155,8 +159,8 @@ def truncation(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """key, source, is_cut, reason: one row per text that is neither null nor blank."""
     spark = df.sparkSession
     sql = lambda q, **views: spark.sql(q, **views)
-    texts = sql(_TEXTS, rows=df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{source}` AS source"))
-    distinct = sql(_DISTINCT, texts=texts)
+    rows = df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{source}` AS source")
+    distinct = cut_lineage(sql(_DISTINCT, rows=rows))
     lines = sql(_LINES, distinct=distinct)
     words = cut_lineage(sql(_WORDS, lines=lines))
     openers = cut_lineage(sql(_OPENERS, lines=lines))
@@ -165,11 +169,11 @@ def truncation(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         _VERDICTS, finals=finals, trigrams=sql(_TRIGRAMS, lines=lines), words=words, known=sql(_KNOWN, words=words), openers=openers,
         beginnings=sql(_BEGINNINGS, openers=openers), unspaced=sql(_UNSPACED, lines=lines), lengths=sql(_LENGTHS, distinct=distinct),
     )
-    return sql("SELECT t.key, t.source, v.reason IS NOT NULL AS is_cut, v.reason FROM (SELECT key, source, h FROM {texts}) AS t JOIN {verdicts} AS v ON t.h = v.h", texts=texts, verdicts=verdicts)
+    return sql("SELECT t.key, t.source, v.reason IS NOT NULL AS is_cut, v.reason FROM {keys} AS t JOIN {verdicts} AS v ON t.h = v.h", keys=sql(_KEYS, rows=rows), verdicts=verdicts)
 
 
 def rates(found: DataFrame) -> DataFrame:
     """source, n_texts, n_cut, rate."""
-    return found.groupBy("source").agg({"*": "count"}).sparkSession.sql(
+    return found.sparkSession.sql(
         "SELECT source, count(*) AS n_texts, count_if(is_cut) AS n_cut, round(count_if(is_cut) / count(*), 6) AS rate FROM {found} GROUP BY source", found=found
     )

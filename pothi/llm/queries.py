@@ -76,5 +76,25 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return rates(_truncation(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_share, p7_found, p7_groups, p9_found, p9_leaks, p10_found, p10_sources)}
+def _scans(spark: SparkSession, d: str):
+    from pothi.llm.p05_scans import Scans
+
+    return Scans(table(spark, d, "chunks", "id", "source_path", "kind_level", "text", "built_at"), table(spark, d, "vol_stats", "source_path"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).found()
+
+
+def p5_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Page numbers and rejoined paragraphs of each scanned file."""
+    return _scans(spark, d).volumes()
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned texts as continuous paragraphs."""
+    return _scans(spark, d).paragraphs()
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_volumes, p5_paragraphs, p6_found, p6_share, p7_found, p7_groups, p9_found, p9_leaks, p10_found, p10_sources)}
 SQL: dict[str, str] = {}
