@@ -34,50 +34,51 @@ from pyspark.sql import DataFrame
 
 from pothi.plans.lineage import cut as cut_lineage
 
-_KEYS = r"""
-SELECT key, row.source, row.h FROM (
-  SELECT key, min(struct(xxhash64(text) AS h, trim(source) AS source)) AS row FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\S' GROUP BY key)
+# Signs that end sentences become \u0001, digits 0; other punctuation is dropped.
+_ENDS = ".!?।॥。！？…"
+_DIGITS = "123456789०१२३४५६७८९೦೧೨೩೪೫೬೭೮೯๐๑๒๓๔๕๖๗๘๙"
+_DROPPED = ",;:()[]“”‘’\"'«»「」『』、，（）—–-*/·"
+_PLAIN = f"translate(lower(line), '{_ENDS}{_DIGITS}{_DROPPED}'".replace("\"'«", "\"\\'«") + ", '" + "\\u0001" * len(_ENDS) + "0" * len(_DIGITS) + "')"
+
+_ROWS = r"""
+SELECT key, trim(source) AS source, text, xxhash64(text) AS h FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\S'
 """
 
-# The texts go through one exchange, here.
-_DISTINCT = r"""
-SELECT xxhash64(text) AS h, min(text) AS text, min(trim(source)) AS source FROM {rows}
-WHERE key IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\S' GROUP BY xxhash64(text)
-"""
+_KEYS = r"SELECT key, row.source, row.h FROM (SELECT key, min(struct(h, source)) AS row FROM {texts} GROUP BY key)"
 
-# One row per line that isn't blank; nth counts from the end of its text.
+# One row per line that isn't blank. Texts aren't exchanged: copies count as often as they stand, and an end that may be a cut counts for nothing.
 _LINES = r"""
-SELECT h, regexp_replace(line, '(?U)^\\s+|\\s+$', '') AS line, at = size(parts) - 1 AS is_last
-FROM (SELECT h, split(regexp_replace(text, '(?U)\\s+$', ''), '\\n') AS parts FROM {distinct}) LATERAL VIEW posexplode(parts) AS at, line
-WHERE line RLIKE '\\S'
+SELECT trim(line) AS line, at = size(parts) - 1 AS is_last
+FROM (SELECT split(rtrim(' \n\t\r 　', text), '\n') AS parts FROM {texts}) LATERAL VIEW posexplode(parts) AS at, line
+WHERE trim(line) <> ''
 """
 
 _TRIGRAMS = r"""
-SELECT g.h AS tri, count_if(g.open) AS inside, count_if(NOT g.open) AS final
+SELECT shiftright(g, 1) AS tri, count_if(g & 1 = 1) AS inside, count_if(g & 1 = 0) AS final
 FROM (
-  SELECT words FROM {lines} LATERAL VIEW explode(array(split(
-    regexp_replace(regexp_replace(regexp_replace(lower(line), '\\p{{Nd}}+([.,]\\p{{Nd}}+)*', '0'), '(?<=\\S)[.!?।॥。！？…]+["”’»」』)]*(?=\\s|$)', '\u0001'), '\\p{{P}}', ''),
-    '(?U)\\s+'))) AS words
+  SELECT words FROM {lines} LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS words
 ) LATERAL VIEW explode(
-  CASE WHEN size(words) >= 3 THEN transform(sequence(2, size(words) - 1), i -> struct(
-    xxhash64(words[i - 2], words[i - 1], replace(words[i], '\u0001', '')) AS h,
-    NOT (endswith(words[i], '\u0001') OR i = size(words) - 1) AS open)) END) AS g
-GROUP BY g.h
-"""
+  CASE WHEN size(words) >= 3 THEN transform(sequence(2, size(words) - 1), i ->
+    (xxhash64(words[i - 2], words[i - 1], rtrim('\u0001', words[i])) & -2L) | CASE WHEN endswith(words[i], '\u0001') THEN 0L ELSE 1L END) END) AS g
+GROUP BY shiftright(g, 1)
+""".replace("PLAIN", _PLAIN)
 
+# seen leaves out the last word of a text.
 _WORDS = r"""
-SELECT raw, count_if(at < n - 1) AS inside, count_if(at = n - 1 AND NOT is_last) AS ending, count(*) AS seen
-FROM (SELECT size(split(line, '(?U)\\s+')) AS n, is_last, split(line, '(?U)\\s+') AS words FROM {lines}) LATERAL VIEW posexplode(words) AS at, raw
+SELECT raw, count_if(at < n - 1) AS inside, count_if(at = n - 1 AND NOT is_last) AS ending, count_if(at < n - 1 OR NOT is_last OR right(raw, 3) RLIKE '[.!?।॥。！？]["”’»」』)]*$') AS seen
+FROM (SELECT size(words) AS n, is_last, words FROM {lines} LATERAL VIEW explode(array(split(line, ' '))) AS words) LATERAL VIEW posexplode(words) AS at, raw
 GROUP BY raw
 """
 
 _KNOWN = r"""
-SELECT word, sum(seen) AS seen FROM (SELECT regexp_replace(raw, '^\\p{{P}}+|[\\p{{P}}]+$', '') AS word, seen FROM {words}) WHERE word <> '' GROUP BY word
+SELECT word, sum(seen) AS seen FROM (SELECT regexp_replace(raw, '^\\p{{P}}+|\\p{{P}}+$', '') AS word, seen FROM {words} WHERE seen > 0) WHERE word <> '' GROUP BY word
 """
 
 _OPENERS = r"""
-SELECT opener, count_if(marked) AS marked, count_if(NOT marked AND n <= 4) AS bare
-FROM (SELECT element_at(split(line, '(?U)\\s+'), 1) AS opener, size(split(line, '(?U)\\s+')) AS n, line RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AS marked FROM {lines})
+SELECT opener, sum(marked) AS marked, count_if(bare) AS bare FROM (
+  SELECT substring_index(line, ' ', 1) AS opener, coalesce(short, '') AS short, NOT marked AND short IS NOT NULL AS bare, count_if(marked) AS marked
+  FROM (SELECT line, right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AS marked, CASE WHEN NOT right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AND length(line) - length(replace(line, ' ', '')) < 4 THEN line END AS short FROM {lines})
+  GROUP BY substring_index(line, ' ', 1), coalesce(short, ''), NOT marked AND short IS NOT NULL)
 GROUP BY opener
 """
 
@@ -90,37 +91,35 @@ WHERE k < length(opener) GROUP BY left(opener, k)
 
 _UNSPACED = r"""
 SELECT right(token, 6) AS tail6, count(*) AS before_blank
-FROM {lines} LATERAL VIEW explode(split(line, '(?U)\\s+')) AS token
-WHERE token RLIKE '[฀-๿]$' GROUP BY right(token, 6)
+FROM (SELECT line FROM {lines} WHERE right(line, 40) RLIKE '[฀-๿]') LATERAL VIEW explode(split(line, ' ')) AS token
+WHERE right(token, 1) RLIKE '[฀-๿]' GROUP BY right(token, 6)
 """
 
 _LENGTHS = r"""
 SELECT source, n_chars, count(*) AS same, first(n_texts) AS n_texts
-FROM (SELECT coalesce(source, '') AS source, length(text) AS n_chars, count(*) OVER (PARTITION BY coalesce(source, '')) AS n_texts FROM {distinct})
+FROM (SELECT source, n_chars, count(*) OVER (PARTITION BY source) AS n_texts FROM {tails})
 GROUP BY source, n_chars
 """
 
+# One row per distinct text.
 _TAILS = r"""
-SELECT h, source, n_chars, line, n_lines, words, size(words) AS n_words, words[0] AS opener, words[size(words) - 1] AS raw,
-  regexp_replace(regexp_replace(words[size(words) - 1], '^\\p{{P}}+', ''), '[\\p{{P}}]+$', '') AS word,
-  line RLIKE '[.!?।॥。！？]["”’»」』)]*$' AND NOT line RLIKE '(\\.\\.|…)["”’»」』)]*$' AS marked,
-  line RLIKE '(\\.\\.|…)["”’»」』)]*$' AS trailing,
-  line RLIKE '\\p{{Nd}}\\.$' AS number_mark,
-  line RLIKE '[“‘「『][^”’」』.!?।。！？]*[.!?।。！？]$' OR line RLIKE '(^|\\s)"[^\\s".!?।][^".!?।]*[.!?।]$' AND (length(line) - length(replace(line, '"', ''))) % 2 = 1 AS open_quote,
-  right(line, 6) AS tail6
-FROM (
-  SELECT h, source, n_chars, n_lines, line, split(line, '(?U)\\s+') AS words FROM (
-    SELECT h, coalesce(source, '') AS source, length(text) AS n_chars, size(split(trim(text), '\\n')) AS n_lines,
-      regexp_replace(substring_index(regexp_replace(text, '(?U)\\s+$', ''), '\n', -1), '(?U)^\\s+', '') AS line
-    FROM {distinct}))
+SELECT h, row.source, row.n_chars, row.n_lines, row.line FROM (
+  SELECT h, min(struct(coalesce(source, '') AS source, length(text) AS n_chars, length(text) - length(replace(text, '\n', '')) + 1 AS n_lines,
+    trim(substring_index(rtrim(' \n\t\r 　', text), '\n', -1)) AS line)) AS row
+  FROM {texts} GROUP BY h)
 """
 
 _FINALS = r"""
-SELECT t.*, CASE WHEN size(norm) >= 3 THEN xxhash64(norm[size(norm) - 3], norm[size(norm) - 2], replace(norm[size(norm) - 1], '\u0001', '')) END AS tri
-FROM {tails} AS t LATERAL VIEW explode(array(split(
-    regexp_replace(regexp_replace(regexp_replace(lower(line), '\\p{{Nd}}+([.,]\\p{{Nd}}+)*', '0'), '(?<=\\S)[.!?।॥。！？…]+["”’»」』)]*(?=\\s|$)', '\u0001'), '\\p{{P}}', ''),
-    '(?U)\\s+'))) AS norm
-"""
+SELECT t.*, size(words) AS n_words, words[0] AS opener, words[size(words) - 1] AS raw,
+  regexp_replace(words[size(words) - 1], '^\\p{{P}}+|\\p{{P}}+$', '') AS word,
+  right(line, 4) RLIKE '[.!?।॥。！？]["”’»」』)]*$' AND NOT right(line, 5) RLIKE '(\\.\\.|…)["”’»」』)]*$' AS marked,
+  right(line, 5) RLIKE '(\\.\\.|…)["”’»」』)]*$' AS trailing,
+  right(line, 2) RLIKE '\\p{{Nd}}\\.$' AS number_mark,
+  line RLIKE '[“‘「『][^”’」』.!?।。！？]*[.!?।。！？]$' OR line RLIKE '(^|\\s)"[^\\s".!?।][^".!?।]*[.!?।]$' AND (length(line) - length(replace(line, '"', ''))) % 2 = 1 AS open_quote,
+  right(line, 6) AS tail6,
+  CASE WHEN size(norm) >= 3 THEN shiftright(xxhash64(norm[size(norm) - 3], norm[size(norm) - 2], rtrim('\u0001', norm[size(norm) - 1])), 1) END AS tri
+FROM {tails} AS t LATERAL VIEW explode(array(split(line, '(?U)\\s+'))) AS words LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS norm
+""".replace("PLAIN", _PLAIN)
 
 _VERDICTS = r"""
 SELECT h, CASE
@@ -132,7 +131,7 @@ SELECT h, CASE
   WHEN marked THEN NULL
   WHEN trailing AND raw RLIKE '^\\p{{P}}+$' THEN 'mark inside'
   WHEN trailing AND (same >= 3 AND same >= 0.02 * n_texts) THEN 'field limit'
-  WHEN trailing AND coalesce(k_seen, 0) <= 1 THEN 'word'
+  WHEN trailing AND coalesce(k_seen, 0) < 1 THEN 'word'
   WHEN trailing AND coalesce(inside3, 0) >= 3 AND final3 < 0.1 * (inside3 + final3) THEN 'sentence'
   WHEN trailing THEN NULL
   WHEN NOT line RLIKE '\\p{{L}}' THEN NULL
@@ -141,8 +140,8 @@ SELECT h, CASE
   WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '[,،、] ?(\\p{{L}}+ )?\\p{{Nd}}+$' THEN NULL
   WHEN line RLIKE '[฀-๿]$' THEN CASE WHEN coalesce(before_blank, 0) >= 3 THEN NULL ELSE 'sentence' END
   WHEN n_lines > 1 AND n_words IN (2, 3) AND coalesce(o_bare, 0) >= 2 AND o_bare > o_marked THEN NULL
-  WHEN n_lines > 1 AND n_words = 1 AND k_seen >= 2 AND o_bare >= 0.1 * o_marked AND coalesce(longer, 0) < 5 * o_bare THEN NULL
-  WHEN coalesce(k_seen, 0) <= 1 THEN 'word'
+  WHEN n_lines > 1 AND n_words = 1 AND k_seen >= 1 AND o_bare >= 0.1 * o_marked AND coalesce(longer, 0) < 5 * o_bare THEN NULL
+  WHEN coalesce(k_seen, 0) < 1 THEN 'word'
   ELSE 'sentence' END AS reason
 FROM {finals}
 LEFT JOIN (SELECT tri AS tri_, inside AS inside3, final AS final3 FROM {trigrams}) ON tri = tri_
@@ -159,17 +158,16 @@ def truncation(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """key, source, is_cut, reason: one row per text that is neither null nor blank."""
     spark = df.sparkSession
     sql = lambda q, **views: spark.sql(q, **views)
-    rows = df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{source}` AS source")
-    distinct = cut_lineage(sql(_DISTINCT, rows=rows))
-    lines = sql(_LINES, distinct=distinct)
+    texts = sql(_ROWS, rows=df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{source}` AS source"))
+    lines = sql(_LINES, texts=texts)
     words = cut_lineage(sql(_WORDS, lines=lines))
     openers = cut_lineage(sql(_OPENERS, lines=lines))
-    finals = sql(_FINALS, tails=sql(_TAILS, distinct=distinct))
+    tails = cut_lineage(sql(_TAILS, texts=texts))
     verdicts = sql(
-        _VERDICTS, finals=finals, trigrams=sql(_TRIGRAMS, lines=lines), words=words, known=sql(_KNOWN, words=words), openers=openers,
-        beginnings=sql(_BEGINNINGS, openers=openers), unspaced=sql(_UNSPACED, lines=lines), lengths=sql(_LENGTHS, distinct=distinct),
+        _VERDICTS, finals=sql(_FINALS, tails=tails), trigrams=sql(_TRIGRAMS, lines=lines), words=words, known=sql(_KNOWN, words=words), openers=openers,
+        beginnings=sql(_BEGINNINGS, openers=openers), unspaced=sql(_UNSPACED, lines=lines), lengths=sql(_LENGTHS, tails=tails),
     )
-    return sql("SELECT t.key, t.source, v.reason IS NOT NULL AS is_cut, v.reason FROM {keys} AS t JOIN {verdicts} AS v ON t.h = v.h", keys=sql(_KEYS, rows=rows), verdicts=verdicts)
+    return sql("SELECT t.key, t.source, v.reason IS NOT NULL AS is_cut, v.reason FROM {keys} AS t JOIN {verdicts} AS v ON t.h = v.h", keys=sql(_KEYS, texts=texts), verdicts=verdicts)
 
 
 def rates(found: DataFrame) -> DataFrame:

@@ -96,5 +96,35 @@ def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _scans(spark, d).paragraphs()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_volumes, p5_paragraphs, p6_found, p6_share, p7_found, p7_groups, p9_found, p9_leaks, p10_found, p10_sources)}
+def _garbled(spark: SparkSession, d: str):
+    from pothi.llm.p02_encoding import Garbled
+
+    return Garbled(table(spark, d, "chunks", "id", "work_id", "text"), "id", "work_id", "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).affected().select("id")
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The affected chunks with their text put right."""
+    return _garbled(spark, d).repaired()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from pothi.llm.p03_lookalikes import equal_looking, one_form
+
+    bodies = one_form(table(spark, d, "quotes", "quote_id", "body"), "quote_id", "body")
+    cites = one_form(table(spark, d, "chunks", "id", "cite_text"), "id", "cite_text")
+    return equal_looking(bodies, cites).select(F.col("key_a").alias("quote_id"), F.col("key_b").alias("id"))
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every quotation in its one form."""
+    from pothi.llm.p03_lookalikes import one_form
+
+    return one_form(table(spark, d, "quotes", "quote_id", "body"), "quote_id", "body").select(F.col("key").alias("quote_id"), "form").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_forms, p5_found, p5_volumes, p5_paragraphs, p6_found, p6_share, p7_found, p7_groups, p9_found, p9_leaks, p10_found, p10_sources)}
 SQL: dict[str, str] = {}
