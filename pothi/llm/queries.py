@@ -126,5 +126,52 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return one_form(table(spark, d, "quotes", "quote_id", "body"), "quote_id", "body").select(F.col("key").alias("quote_id"), "form").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_forms, p5_found, p5_volumes, p5_paragraphs, p6_found, p6_share, p7_found, p7_groups, p9_found, p9_leaks, p10_found, p10_sources)}
+def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of all chunks and quotations."""
+    from pothi.llm.p01_sentences import sentences
+
+    chunks = table(spark, d, "chunks", "id", "text").select(F.lit("chunk").alias("kind"), F.col("id").alias("key"), "text")
+    quotes = table(spark, d, "quotes", "quote_id", "body").select(F.lit("quote").alias("kind"), F.col("quote_id").cast("string").alias("key"), F.col("body").alias("text"))
+    units = sentences(chunks.unionByName(quotes).where("key IS NOT NULL").withColumn("key", F.concat_ws(" ", "kind", "key")), "key", "text")
+    return units.select(F.substring("key", 1, 5).alias("rec_kind"), F.expr("substring(key, 7)").alias("rec_key"), "unit_no", "after", "end_char")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from pothi.llm.p01_sentences import sentences
+
+    sample = table(spark, d, "unit_sample", "rec_kind", "rec_key").distinct()
+    chunks = table(spark, d, "chunks", "id", "text").select(F.lit("chunk").alias("rec_kind"), F.col("id").alias("rec_key"), "text")
+    quotes = table(spark, d, "quotes", "quote_id", "body").select(F.lit("quote").alias("rec_kind"), F.col("quote_id").cast("string").alias("rec_key"), F.col("body").alias("text"))
+    judged = chunks.unionByName(quotes).join(sample, ["rec_kind", "rec_key"], "left_semi").withColumn("key", F.concat_ws(" ", "rec_kind", "rec_key"))
+    units = sentences(judged, "key", "text")
+    return units.select(F.substring("key", 1, 5).alias("rec_kind"), F.expr("substring(key, 7)").alias("rec_key"), "end_char")
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    from pothi.llm.p04_language import languages
+
+    return languages(table(spark, d, "chunks", "id", "kind_level", "language", "text", "built_at"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from pothi.llm.p04_language import mislabelled
+
+    return mislabelled(_languages(spark, d)).drop("confidence")
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's stretches with language and confidence."""
+    return _languages(spark, d).select("id", "named", F.explode("segs").alias("s")).select("id", "named", "s.seg_start", "s.language", "s.confidence", "s.sentences")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a container of each capacity."""
+    from pothi.llm.p08_packing import lengths, packed
+    from pothi.plans.lineage import cut
+
+    items = cut(lengths(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"))
+    return packed(items, table(spark, d, "context_sizes", "size_id", "capacity")).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_repaired, p3_found, p3_forms, p4_found, p4_languages, p5_found, p5_volumes, p5_paragraphs, p6_found, p6_share, p7_found, p7_groups, p8_packed, p9_found, p9_leaks, p10_found, p10_sources)}
 SQL: dict[str, str] = {}
