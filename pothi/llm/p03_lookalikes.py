@@ -14,19 +14,25 @@ letters, and danda and visarga the bar and colon they look like, on either side.
 Characters that add something to see (superscripts, fractions, circled digits)
 keep it. Joiners after a virama change the letter's shape and stay.
 
-Defined results: a null text has a null form; an empty text, or one of invisible
+Defined results: a null text has no row; an empty text, or one of invisible
 characters only, an empty form, which equals nothing in ``equal_looking``; keys
 that occur twice count once per distinct text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pothi.plans.lineage import cut
+
 # Look-alikes of Latin letters and of signs, in pairs.
 LOOKALIKES = {
     **dict(zip("аеорсухіѕјԁԛԝһӏѵ", "aeopcyxisjdqwhlv")),
@@ -80,12 +86,12 @@ def _tables() -> tuple[list[tuple[str, str]], list[tuple[str, int]], dict[str, s
 
 
 def _cls(chars) -> str:
-    """Java class of characters, by ranges."""
+    """Pattern class of characters, by ranges."""
     points, out = sorted({ord(c) for c in chars}), []
     start = last = points[0]
     for p in points[1:] + [0x110001]:
         if p != last + 1:
-            out.append(f"\\x{{{start:x}}}" + (f"-\\x{{{last:x}}}" if last > start else ""))
+            out.append(f"\\U{start:08x}" + (f"-\\U{last:08x}" if last > start else ""))
             start = p
         last = p
     return "[" + "".join(out) + "]"
@@ -98,29 +104,51 @@ def _changing() -> str:
 
 
 @cache
-def _marked() -> str:
-    """Java pattern of joiners, and of letters with marks that compose or stand out of order."""
-    _, classes, pairs = _tables()
+def _seconds() -> tuple[list[str], dict[str, set[str]]]:
+    """Marks that compose with letters of any script, and others with the letters they compose with."""
     seconds: dict[str, set[str]] = {}
-    for pair in pairs:
+    for pair in _tables()[2]:
         seconds.setdefault(pair[1], set()).add(pair[0])
     general = [s for s in seconds if 0x300 <= ord(s) < 0x370 or ord(s) in (0x3099, 0x309A)]
-    own = [f"{_cls(first)}{_cls(second)}" for second, first in seconds.items() if second not in general]
-    marks = _cls(ch for ch, _ in classes)
-    return "|".join([f"(?s:.){_cls(general)}{marks}*", *own, f"(?s:.){marks}{{2,}}", f"(?<!{_cls(VIRAMAS)}){_cls(JOINERS)}"])
+    return general, {s: f for s, f in seconds.items() if s not in general}
 
 
 @cache
-def unsettled() -> str:
-    """Java pattern of the clusters that may change."""
-    return f"{_cls(_changing())}{_cls(ch for ch, _ in _tables()[1])}*|{_marked()}"
-
-
-_EDGE = "﷐"
+def unsettled() -> re.Pattern:
+    """Clusters that may change: changing characters, joiners, letters with marks that compose or stand out of order."""
+    general, own = _seconds()
+    marks = _cls(ch for ch, _ in _tables()[1])
+    pairs = [f"{_cls(first)}{_cls(second)}" for second, first in own.items()]
+    return re.compile("|".join([f"{_cls(_changing())}{marks}*", f"(?s:.){_cls(general)}{marks}*", *pairs, f"(?s:.){marks}{{2,}}", f"(?<!{_cls(VIRAMAS)}){_cls(JOINERS)}"]))
 
 
-def _pieces(text: Column) -> Column:
-    return F.split(F.regexp_replace(F.translate(text, _EDGE, ""), unsettled(), f"{_EDGE}$0{_EDGE}"), _EDGE)
+@cache
+def _triggers() -> re.Pattern:
+    """Characters without which a text is settled: one class, so that looking is cheap."""
+    general, own = _seconds()
+    return re.compile(_cls([*_changing(), *general, *own, *JOINERS]) + "|" + _cls(ch for ch, _ in _tables()[1]) + "{2}")
+
+
+def _taken_apart(keep: bool):
+    """Per row the digest of the text; if it is settled that is the form's, else its pieces, every second one a cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, clusters = _triggers().search, unsettled()
+        for batch in batches:
+            digests, pieces = [], []
+            for text in batch.column("text").to_pylist():
+                digests.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest())
+                parts = None
+                if find(text):
+                    parts, at = [], 0
+                    for m in clusters.finditer(text):
+                        parts += [text[at : m.start()], m.group()]
+                        at = m.end()
+                    parts = [*parts, text[at:]] if parts else None
+                pieces.append(parts if parts or not keep else [text])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(digests, pa.string()), pa.array(pieces, pa.list_(pa.string()))], names=["key", "digest", "pieces"])
+
+    return run
 
 
 def settled(clusters: DataFrame) -> DataFrame:
@@ -154,29 +182,32 @@ def settled(clusters: DataFrame) -> DataFrame:
     return clusters.join(done, "piece", "left").select("piece", F.coalesce("form", F.lit("")).alias("form"))
 
 
-def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, form: one row per distinct pair of key and text."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    # Looking characters up is much cheaper than a pattern of thousands of them.
-    changes = (F.translate("text", _changing() + _EDGE, "") != F.col("text")) | F.col("text").rlike(_marked())
-    still = rows.where(F.col("text").isNull() | ~changes).select("key", "text", F.col("text").alias("form"))
-    moving = rows.where(changes).select("key", "text", F.xxhash64("key", "text").alias("row")).dropDuplicates(["key", "row"])
-    parts = moving.select("row", F.posexplode(_pieces(F.col("text"))).alias("at", "piece"))
-    clusters = parts.where("at % 2 = 1").select("piece").distinct()
-    forms = settled(clusters)
-    kept = parts.where("at % 2 = 0").select("row", "at", F.col("piece").alias("s"))
-    put = parts.where("at % 2 = 1").join(forms, "piece").select("row", "at", F.col("form").alias("s"))
-    rebuilt = kept.unionByName(put).groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda p: p["s"]), "").alias("form"))
-    return still.unionByName(moving.join(rebuilt, "row").select("key", "text", "form"))
+def one_form(df: DataFrame, key: str, text: str, keep: bool = False) -> DataFrame:
+    """key, digest, form_digest: digests of a text and of its form; with ``keep`` also the form itself."""
+    kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    apart = cut(rows.mapInArrow(_taken_apart(keep), f"key {kind}, digest string, pieces array<string>"))
+    moving = apart.where("size(pieces) > 1")
+    # Texts stored alike have one form.
+    parts = moving.dropDuplicates(["digest"]).select("digest", F.posexplode("pieces").alias("at", "piece"))
+    forms = settled(parts.where("at % 2 = 1").select("piece").distinct())
+    kept = parts.where("at % 2 = 0").select("digest", "at", F.col("piece").alias("s"))
+    put = parts.where("at % 2 = 1").join(forms, "piece").select("digest", "at", F.col("form").alias("s"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda p: p["s"]), "")
+    rebuilt = kept.unionByName(put).groupBy("digest").agg(whole.alias("form")).select("digest", F.md5("form").alias("form_digest"), *["form"] * keep)
+    still = apart.where("coalesce(size(pieces), 0) <= 1").select("key", "digest", F.col("digest").alias("form_digest"), *[F.get("pieces", F.lit(0)).alias("form")] * keep)
+    return still.unionByName(moving.select("key", "digest").join(rebuilt, "digest").select("key", "digest", "form_digest", *["form"] * keep))
+
+
+_EMPTY = hashlib.md5(b"").hexdigest()
 
 
 def equal_looking(a: DataFrame, b: DataFrame) -> DataFrame:
     """key_a, key_b: rows of two results of ``one_form`` that look the same and are stored otherwise."""
-    # Digests go through the join, not texts.
-    digest = lambda df, k: df.where("form <> ''").select(F.col("key").alias(k), F.md5("form").alias("form"), F.xxhash64("text").alias(f"h_{k}")).distinct()
-    return digest(a, "key_a").join(digest(b, "key_b"), "form").where("h_key_a <> h_key_b").select("key_a", "key_b").distinct()
+    some = lambda df, k: df.where(F.col("form_digest") != _EMPTY).select(F.col("key").alias(f"key_{k}"), F.col("digest").alias(f"d_{k}"), "form_digest").distinct()
+    return some(a, "a").join(some(b, "b"), "form_digest").where("d_a <> d_b").select("key_a", "key_b").distinct()
 
 
 def normalised(spark: SparkSession, text: str) -> str:
     """The form of one string, for trying things out."""
-    return one_form(spark.createDataFrame([(1, text)], "key int, text string"), "key", "text").first().form
+    return one_form(spark.createDataFrame([(1, text)], "key int, text string"), "key", "text", keep=True).first().form

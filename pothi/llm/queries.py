@@ -123,7 +123,7 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every quotation in its one form."""
     from pothi.llm.p03_lookalikes import one_form
 
-    return one_form(table(spark, d, "quotes", "quote_id", "body"), "quote_id", "body").select(F.col("key").alias("quote_id"), "form").distinct()
+    return one_form(table(spark, d, "quotes", "quote_id", "body"), "quote_id", "body", keep=True).select(F.col("key").alias("quote_id"), "form").distinct()
 
 
 def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
