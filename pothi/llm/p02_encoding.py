@@ -70,8 +70,8 @@ def suspicious() -> str:
     return f"{cls(lead)}{cls(following)}|\\ufffd"
 
 
-def undo(text: str, charset: str) -> tuple[str, float]:
-    """Text with the UTF-8 sequences of its runs decoded, and the log odds against them by chance."""
+def undo(text: str, charset: str, halfway: bool = False) -> tuple[str, float]:
+    """Text with the UTF-8 sequences of its runs decoded, and the log odds against them by chance; halfway controls may come out."""
     images, found = _IMAGES[charset], 0.0
 
     def run(m: re.Match) -> str:
@@ -81,7 +81,7 @@ def undo(text: str, charset: str) -> tuple[str, float]:
         out, at = [], 0
         for s in _SEQUENCE.finditer(raw):
             piece = s.group().decode("utf-8")
-            if ord(piece) < 0xA0 or unicodedata.category(piece) in ("Co", "Cn", "Cs"):
+            if ord(piece) < 0xA0 and not halfway or unicodedata.category(piece) in ("Co", "Cn", "Cs"):
                 continue
             out += [chars[at : s.start()], piece]
             at = s.end()
@@ -93,7 +93,7 @@ def undo(text: str, charset: str) -> tuple[str, float]:
 
 def unwind(text: str, chain: str) -> tuple[str, float]:
     charset, _, twice = chain.partition("+")
-    once, n = undo(text, charset)
+    once, n = undo(text, charset, bool(twice))
     if not twice:
         return once, n
     again, m = undo(once, charset)

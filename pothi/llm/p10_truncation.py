@@ -65,7 +65,7 @@ GROUP BY shiftright(g, 1)
 
 # seen leaves out the last word of a text.
 _WORDS = r"""
-SELECT raw, count_if(at < n - 1) AS inside, count_if(at = n - 1 AND NOT is_last) AS ending, count_if(at < n - 1 OR NOT is_last OR right(raw, 3) RLIKE '[.!?।॥。！？]["”’»」』)]*$') AS seen
+SELECT raw, count_if(at < n - 1) AS inside, count_if(at = n - 1) AS ending, count_if(at < n - 1 OR NOT is_last OR right(raw, 3) RLIKE '[.!?।॥。！？]["”’»」』)]*$') AS seen
 FROM (SELECT size(words) AS n, is_last, words FROM {lines} LATERAL VIEW explode(array(split(line, ' '))) AS words) LATERAL VIEW posexplode(words) AS at, raw
 GROUP BY raw
 """
@@ -75,8 +75,8 @@ SELECT word, sum(seen) AS seen FROM (SELECT regexp_replace(raw, '^\\p{{P}}+|\\p{
 """
 
 _OPENERS = r"""
-SELECT opener, sum(marked) AS marked, count_if(bare) AS bare FROM (
-  SELECT substring_index(line, ' ', 1) AS opener, coalesce(short, '') AS short, NOT marked AND short IS NOT NULL AS bare, count_if(marked) AS marked
+SELECT opener, sum(marked) AS marked, count_if(bare) AS bare, sum(CASE WHEN bare THEN n ELSE 0 END) AS bare_rows FROM (
+  SELECT substring_index(line, ' ', 1) AS opener, coalesce(short, '') AS short, NOT marked AND short IS NOT NULL AS bare, count_if(marked) AS marked, count(*) AS n
   FROM (SELECT line, right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AS marked, CASE WHEN NOT right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AND length(line) - length(replace(line, ' ', '')) < 4 THEN line END AS short FROM {lines})
   GROUP BY substring_index(line, ' ', 1), coalesce(short, ''), NOT marked AND short IS NOT NULL)
 GROUP BY opener
@@ -139,15 +139,15 @@ SELECT h, CASE
   WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '^[—–-]' THEN NULL
   WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '[,،、] ?(\\p{{L}}+ )?\\p{{Nd}}+$' THEN NULL
   WHEN line RLIKE '[฀-๿]$' THEN CASE WHEN coalesce(before_blank, 0) >= 3 THEN NULL ELSE 'sentence' END
-  WHEN n_lines > 1 AND n_words IN (2, 3) AND coalesce(o_bare, 0) >= 2 AND o_bare > o_marked THEN NULL
-  WHEN n_lines > 1 AND n_words = 1 AND k_seen >= 1 AND o_bare >= 0.1 * o_marked AND coalesce(longer, 0) < 5 * o_bare THEN NULL
+  WHEN n_lines > 1 AND n_words IN (2, 3) AND coalesce(bare_rows, 0) >= 2 AND bare_rows > o_marked THEN NULL
+  WHEN n_lines > 1 AND n_words = 1 AND (k_seen >= 1 OR bare_rows >= 2) AND o_bare >= 0.1 * o_marked AND coalesce(longer, 0) < 5 * bare_rows THEN NULL
   WHEN coalesce(k_seen, 0) < 1 THEN 'word'
   ELSE 'sentence' END AS reason
 FROM {finals}
 LEFT JOIN (SELECT tri AS tri_, inside AS inside3, final AS final3 FROM {trigrams}) ON tri = tri_
 LEFT JOIN (SELECT raw AS raw_, inside AS w_inside, ending AS w_ending FROM {words}) ON raw = raw_
 LEFT JOIN (SELECT word AS word_, seen AS k_seen FROM {known}) ON word = word_
-LEFT JOIN (SELECT opener AS opener_, marked AS o_marked, bare AS o_bare FROM {openers}) ON opener = opener_
+LEFT JOIN (SELECT opener AS opener_, marked AS o_marked, bare AS o_bare, bare_rows FROM {openers}) ON opener = opener_
 LEFT JOIN (SELECT opener AS b_, longer FROM {beginnings}) ON opener = b_
 LEFT JOIN (SELECT tail6 AS t_, before_blank FROM {unspaced}) ON tail6 = t_
 LEFT JOIN (SELECT source AS s_, n_chars AS c_, same, n_texts FROM {lengths}) ON source = s_ AND n_chars = c_
