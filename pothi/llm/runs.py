@@ -58,8 +58,23 @@ def runs_of(n: int, known: np.ndarray | None = None) -> Callable[[Iterator[pa.Re
     return run
 
 
+BITS = 256
+_FACTORS = (np.random.default_rng(11).integers(1, 1 << 63, BITS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def fingerprint(runs: np.ndarray) -> np.ndarray:
+    """One bit of each of ``BITS`` minhashes of a set, as four 64-bit words."""
+    with np.errstate(over="ignore"):
+        least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+        for k in range(0, len(runs), 4096):
+            h = runs[k : k + 4096, None] * _FACTORS[None, :]
+            least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(0))
+        bits = ((least * _BASE) >> np.uint64(40)) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
 def run_sets(df: DataFrame, n: int) -> DataFrame:
-    """key, runs: the sorted distinct runs of ``n`` words of each row of df(key, text)."""
+    """key, runs, print: the sorted distinct runs of ``n`` words of each row of df(key, text), and their fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,6 +86,8 @@ def run_sets(df: DataFrame, n: int) -> DataFrame:
                 h, row = h[new], row[new]
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=["key", "runs"])
+            prints = np.stack([fingerprint(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]).view(np.int64) if batch.num_rows else np.zeros((0, 4), np.int64)
+            four = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * batch.num_rows + 1, 4, dtype=np.int32)), pa.array(prints.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), lists, four], names=["key", "runs", "print"])
 
-    return df.select("key", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "key string, runs array<bigint>")
+    return df.select("key", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "key string, runs array<bigint>, print array<bigint>")
