@@ -145,4 +145,19 @@ SQL = {
     "S05_daily_counts": f"SELECT CAST(CAST(tm AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT name) AS readers, max(ms) AS slowest FROM {_REQ} GROUP BY ALL",
     "S04_stream_counts": f"SELECT CAST(CAST(tm AS DATE) AS VARCHAR) AS day, count(*) AS n FROM {_REQ} GROUP BY ALL",
     "A13_readable_works": f"SELECT work_id, array_to_string(list_sort(list_distinct(list(language) FILTER (language IS NOT NULL))), ',') AS languages, min(title) AS title FROM {_CHUNKS} WHERE kind = 'canonical' GROUP BY work_id",
+    "D14_answer_shape": "SELECT answer_id, count(*) AS quotes, sum(length(coalesce(body, ''))) AS chars, max(CAST(read_page IS NOT NULL AS INT)) AS has_page FROM (SELECT DISTINCT quote_id, answer_id, body, read_page FROM quotes) GROUP BY answer_id",
+    "G12_best_match": """WITH w AS (SELECT work_id, list_distinct(regexp_split_to_array(lower(trim(title_en, ' ')), ' +')) AS w FROM works WHERE title_en IS NOT NULL),
+      p AS (SELECT a.work_id, b.work_id AS other, len(list_intersect(a.w, b.w)) AS shared, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS score FROM w a JOIN w b ON a.work_id <> b.work_id)
+      SELECT work_id, other, shared, score FROM p WHERE shared > 0 AND (score >= 0.5 OR shared >= 3) QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, other) = 1""",
+    "H06_numbering": f"SELECT id, sum(CASE WHEN is_heading THEN 0 ELSE 1 END) OVER (PARTITION BY work_id ORDER BY n) AS body_no FROM {_READER}",
+    "H11_chapter_starts": f"SELECT id, NOT coalesce(lag(chapter) OVER (PARTITION BY work_id ORDER BY n) = chapter, false) AS starts FROM {_READER}",
+    "H13_first_per_chapter": f"SELECT work_id, chapter, id, n FROM {_READER} QUALIFY row_number() OVER (PARTITION BY work_id, chapter ORDER BY n) = 1",
+    "H14_section_slices": f"WITH f AS (SELECT work_id, chapter, min(n) AS n FROM {_READER} GROUP BY ALL) SELECT work_id, chapter, n, lead(n, 1, -1) OVER (PARTITION BY work_id ORDER BY n) AS until FROM f",
+    "I09_best_samples": f"SELECT id, quality_score FROM {_CHUNKS} WHERE quality_score IS NOT NULL ORDER BY quality_score DESC, id LIMIT 40",
+    "I10_kept_links": """SELECT answer_id, count(*) FILTER (r <= 3) AS kept, count(*) FILTER (r > 3) AS dropped FROM (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY ord, quote_id) AS r
+      FROM (SELECT DISTINCT quote_id, answer_id, ord, work_id FROM quotes WHERE work_id <> '') WHERE work_id IN (SELECT work_id FROM works)) GROUP BY answer_id""",
+    "J09_new_entries": """SELECT DISTINCT ts, name, path FROM access_log n WHERE received_at >= '2026-02-01' AND NOT EXISTS (SELECT 1 FROM access_log o WHERE o.received_at < '2026-02-01'
+      AND o.ts IS NOT DISTINCT FROM n.ts AND o.name IS NOT DISTINCT FROM n.name AND o.path IS NOT DISTINCT FROM n.path)""",
+    "J10_filled_ids": "SELECT coalesce(nullif(trim(name, ' '), ''), ts || '-' || (row_number() OVER (PARTITION BY ts ORDER BY path, name NULLS FIRST) - 1)) AS id, ts, path FROM (SELECT DISTINCT ts, name, path FROM access_log)",
+    "K29_word_count": f"SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS n_words FROM {_DOCS}",
 }

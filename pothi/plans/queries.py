@@ -405,5 +405,68 @@ def a13_readable_works(s, d):
     return c.groupBy("work_id").agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"), F.min("title").alias("title"))
 
 
+def d14_answer_shape(s, d):
+    q = t(s, d, "quotes", "quote_id", "answer_id", "body", "read_page").distinct()
+    return q.groupBy("answer_id").agg(F.count("*").alias("quotes"), F.sum(F.length(F.coalesce("body", F.lit("")))).alias("chars"), F.max(F.col("read_page").isNotNull().cast("int")).alias("has_page"))
+
+
+def g12_best_match(s, d):
+    words = t(s, d, "works", "work_id", "title_en").where("title_en IS NOT NULL").select("work_id", F.array_distinct(F.split(F.lower(F.trim("title_en")), " +")).alias("w"))
+    token = words.select("work_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    a, b = token.alias("a"), token.alias("b")
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.work_id") != F.col("b.work_id"))).groupBy(F.col("a.work_id").alias("work_id"), F.col("b.work_id").alias("other"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).agg(F.count("*").alias("shared"))
+    scored = met.withColumn("score", F.round(F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")), 6)).where("score >= 0.5 OR shared >= 3")
+    return re_.top(scored, "work_id", "score", "other", 1).select("work_id", "other", "shared", "score")
+
+
+def h06_numbering(s, d):
+    w = W.partitionBy("work_id").orderBy("n")
+    return _reader(s, d).select("id", F.sum((~F.col("is_heading")).cast("int")).over(w).alias("body_no"))
+
+
+def h11_chapter_starts(s, d):
+    w = W.partitionBy("work_id").orderBy("n")
+    return _reader(s, d).select("id", (~F.coalesce(F.lag("chapter").over(w) == F.col("chapter"), F.lit(False))).alias("starts"))
+
+
+def h13_first_per_chapter(s, d):
+    return _reader(s, d).groupBy("work_id", "chapter").agg(F.min_by("id", "n").alias("id"), F.min("n").alias("n"))
+
+
+def h14_section_slices(s, d):
+    starts = h13_first_per_chapter(s, d)
+    w = W.partitionBy("work_id").orderBy("n")
+    return starts.select("work_id", "chapter", "n", F.lead("n", 1, -1).over(w).alias("until"))
+
+
+def i09_best_samples(s, d):
+    return _chunks(s, d, "quality_score").where("quality_score IS NOT NULL").orderBy(F.desc("quality_score"), "id").limit(40).select("id", "quality_score")
+
+
+def i10_kept_links(s, d):
+    q = t(s, d, "quotes", "quote_id", "answer_id", "ord", "work_id").distinct().where("work_id <> ''")
+    valid = q.join(t(s, d, "works", "work_id"), "work_id", "left_semi")
+    rank = F.row_number().over(W.partitionBy("answer_id").orderBy("ord", "quote_id"))
+    return valid.withColumn("r", rank).groupBy("answer_id").agg(F.count_if(F.col("r") <= 3).alias("kept"), F.count_if(F.col("r") > 3).alias("dropped"))
+
+
+def j09_new_entries(s, d):
+    log = t(s, d, "access_log", "ts", "name", "path", "received_at")
+    old = log.where("received_at < timestamp'2026-02-01'").select("ts", "name", "path").distinct()
+    new = log.where("received_at >= timestamp'2026-02-01'").dropDuplicates(["ts", "name", "path"])
+    same = [new[c].eqNullSafe(old[c]) for c in ("ts", "name", "path")]
+    return new.join(old, same, "left_anti").select("ts", "name", "path")
+
+
+def j10_filled_ids(s, d):
+    log = t(s, d, "access_log", "ts", "name", "path").distinct()
+    nth = F.row_number().over(W.partitionBy("ts").orderBy("path", "name"))
+    return log.select(F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat("ts", F.lit("-"), (nth - 1).cast("string"))).alias("id"), "ts", "path")
+
+
+def k29_word_count(s, d):
+    return _documents(s, d, "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.regexp_count("text", F.lit(r"[^ \n]+")).alias("n_words"))
+
+
 _ALL = [f for n, f in list(globals().items()) if n[0] in "acdefghijks" and n[1:3].isdigit() and callable(f)]
 QUERIES = {f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}
