@@ -20,7 +20,8 @@ A text is judged by its end, blanks aside:
   sentence;
 * no mark: whole if the last line has no letters, is bracketed, led by a dash,
   dated, or opens like lines that stand alone; in a script written without
-  marks, whole if its last characters commonly stand before a blank; else cut.
+  marks, whole if its last characters stand before a blank in half of their
+  other places or more; else cut.
 
 Defined results: null, empty and blank texts are not cut and in no row. Repeated
 ids count once (the smallest row), copies of a text share its verdict and are
@@ -89,10 +90,18 @@ FROM (SELECT opener, marked FROM {openers} WHERE marked > 0) LATERAL VIEW explod
 WHERE k < length(opener) GROUP BY left(opener, k)
 """
 
+# Ends in a script written without blanks that stand before a blank in half of their places or more. A word of less than six letters is taken from its start (^); the end of a text counts for nothing.
 _UNSPACED = r"""
-SELECT right(token, 6) AS tail6, count(*) AS before_blank
-FROM (SELECT line FROM {lines} WHERE right(line, 40) RLIKE '[฀-๿]') LATERAL VIEW explode(split(line, ' ')) AS token
-WHERE right(token, 1) RLIKE '[฀-๿]' GROUP BY right(token, 6)
+SELECT seen.tail6, count_if(seen.ends) AS before_blank
+FROM (
+  SELECT run, is_last AND at = size(runs) - 1 AND endswith(line, run) AS of_text
+  FROM (SELECT line, is_last, regexp_extract_all(line, '[\\p{{L}}\\p{{M}}\\p{{N}}]+', 0) AS runs FROM {lines} WHERE line RLIKE '[฀-๿]') LATERAL VIEW posexplode(runs) AS at, run
+  WHERE run RLIKE '[฀-๿]'
+) LATERAL VIEW explode(concat(
+  CASE WHEN of_text THEN array() ELSE array(struct(CASE WHEN length(run) < 6 THEN concat('^', run) ELSE right(run, 6) END AS tail6, true AS ends)) END,
+  CASE WHEN length(run) > 1 THEN transform(sequence(1, least(5, length(run) - 1)), k -> struct(concat('^', left(run, k)) AS tail6, false AS ends)) ELSE array() END,
+  CASE WHEN length(run) > 6 THEN transform(sequence(1, length(run) - 6), i -> struct(substring(run, i, 6) AS tail6, false AS ends)) ELSE array() END)) AS seen
+GROUP BY seen.tail6 HAVING count_if(seen.ends) >= greatest(1, count_if(NOT seen.ends))
 """
 
 _LENGTHS = r"""
@@ -116,9 +125,9 @@ SELECT t.*, size(words) AS n_words, words[0] AS opener, words[size(words) - 1] A
   right(line, 5) RLIKE '(\\.\\.|…)["”’»」』)]*$' AS trailing,
   right(line, 2) RLIKE '\\p{{Nd}}\\.$' AS number_mark,
   line RLIKE '[“‘「『][^”’」』.!?।。！？]*[.!?।。！？]$' OR line RLIKE '(^|\\s)"[^\\s".!?।][^".!?।]*[.!?।]$' AND (length(line) - length(replace(line, '"', ''))) % 2 = 1 AS open_quote,
-  right(line, 6) AS tail6,
+  CASE WHEN length(last_run) BETWEEN 1 AND 5 THEN concat('^', last_run) ELSE right(line, 6) END AS tail6,
   CASE WHEN size(norm) >= 3 THEN shiftright(xxhash64(norm[size(norm) - 3], norm[size(norm) - 2], rtrim('\u0001', norm[size(norm) - 1])), 1) END AS tri
-FROM {tails} AS t LATERAL VIEW explode(array(split(line, '(?U)\\s+'))) AS words LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS norm
+FROM (SELECT *, regexp_extract(line, '[\\p{{L}}\\p{{M}}\\p{{N}}]+$', 0) AS last_run FROM {tails}) AS t LATERAL VIEW explode(array(split(line, '(?U)\\s+'))) AS words LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS norm
 """.replace("PLAIN", _PLAIN)
 
 _VERDICTS = r"""
@@ -138,7 +147,7 @@ SELECT h, CASE
   WHEN line RLIKE '^[\\[(（].*[\\])）]$' THEN NULL
   WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '^[—–-]' THEN NULL
   WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '[,،、] ?(\\p{{L}}+ )?\\p{{Nd}}+$' THEN NULL
-  WHEN line RLIKE '[฀-๿]$' THEN CASE WHEN coalesce(before_blank, 0) >= 3 THEN NULL ELSE 'sentence' END
+  WHEN line RLIKE '[฀-๿]$' THEN CASE WHEN before_blank >= 1 THEN NULL ELSE 'sentence' END
   WHEN n_lines > 1 AND n_words IN (2, 3) AND coalesce(bare_rows, 0) >= 2 AND bare_rows > o_marked THEN NULL
   WHEN n_lines > 1 AND n_words = 1 AND (k_seen >= 1 OR bare_rows >= 2) AND o_bare >= 0.1 * o_marked AND coalesce(longer, 0) < 5 * bare_rows THEN NULL
   WHEN coalesce(k_seen, 0) < 1 THEN 'word'

@@ -242,3 +242,15 @@ def test_empty_tables(spark):
     assert NearDuplicates(e, "id", "text", 3, 0.5).pairs().count() == 0
     assert truncation(e, "id", "text", "w").count() == 0
     assert Scans(e, e).found().count() == 0
+
+
+@pytest.mark.parametrize("n", [30, 300])
+def test_truncation_without_blanks_between_words_goes_by_the_rate(spark, n):
+    rng = random.Random(n)
+    first, then, last = ["แม่ครัวเก็บ", "ยายพบ", "พระอ่าน"], ["จดหมายถึงแม่", "แผนที่ทางเก่า"], ["ในห้องชั้นบน", "ริมทุ่งนา", "บนเรือ"]
+    said = lambda: rng.choice(first) + rng.choice(then) + (rng.choice(last) if rng.random() < 0.8 else "")
+    docs = [(i, " ".join([said() for _ in range(8)] + [first[0] + then[0] + rng.choice(last)]), "s") for i in range(n)]
+    cuts = [(1000 + i, " ".join([said(), rng.choice(first) + then[i % 2]]), "s") for i in range(6)]
+    cuts += [(1006 + i, said() + " " + first[i % 3] + "จดหมายถึ", "s") for i in range(4)]
+    found = truncation(spark.createDataFrame(docs + cuts, "i long, t string, src string"), "i", "t", "src")
+    assert {r.key for r in found.where("is_cut").collect()} == {k for k, _, _ in cuts}
