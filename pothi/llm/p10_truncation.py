@@ -32,6 +32,7 @@ is a source of its own.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pothi.plans.lineage import cut as cut_lineage
 
@@ -41,16 +42,22 @@ _DIGITS = "123456789०१२३४५६७८९೦೧೨೩೪೫೬೭೮೯
 _DROPPED = ",;:()[]“”‘’\"'«»「」『』、，（）—–-*/·"
 _PLAIN = f"translate(lower(line), '{_ENDS}{_DIGITS}{_DROPPED}'".replace("\"'«", "\"\\'«") + ", '" + "\\u0001" * len(_ENDS) + "0" * len(_DIGITS) + "')"
 
+MOST_COPIES = 1_000_000
+
 _ROWS = r"""
 SELECT key, trim(source) AS source, text, xxhash64(text) AS h FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\S'
 """
 
 _KEYS = r"SELECT key, row.source, row.h FROM (SELECT key, min(struct(h, source)) AS row FROM {texts} GROUP BY key)"
 
-# One row per line that isn't blank. Texts aren't exchanged: copies count as often as they stand, and an end that may be a cut counts for nothing.
+# Only texts that have copies are exchanged; of each, one stays.
+_COPIED = "SELECT h FROM {texts} GROUP BY h HAVING count(*) > 1"
+_ONE_OF = "SELECT h, min(text) AS text FROM {copies} GROUP BY h"
+
+# One row per line that isn't blank, of one copy of each text.
 _LINES = r"""
 SELECT trim(line) AS line, at = size(parts) - 1 AS is_last
-FROM (SELECT split(rtrim(' \n\t\r 　', text), '\n') AS parts FROM {texts}) LATERAL VIEW posexplode(parts) AS at, line
+FROM (SELECT split(rtrim(' \n\t\r 　', text), '\n') AS parts FROM {distinct}) LATERAL VIEW posexplode(parts) AS at, line
 WHERE trim(line) <> ''
 """
 
@@ -76,7 +83,7 @@ SELECT word, sum(seen) AS seen FROM (SELECT regexp_replace(raw, '^\\p{{P}}+|\\p{
 """
 
 _OPENERS = r"""
-SELECT opener, sum(marked) AS marked, count_if(bare) AS bare, sum(CASE WHEN bare THEN n ELSE 0 END) AS bare_rows FROM (
+SELECT opener, sum(marked) AS marked, count_if(bare) AS bare, sum(CASE WHEN bare THEN n ELSE 0 END) AS bare_rows, sum(CASE WHEN bare AND short = opener THEN n ELSE 0 END) AS alone FROM (
   SELECT substring_index(line, ' ', 1) AS opener, coalesce(short, '') AS short, NOT marked AND short IS NOT NULL AS bare, count_if(marked) AS marked, count(*) AS n
   FROM (SELECT line, right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AS marked, CASE WHEN NOT right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AND length(line) - length(replace(line, ' ', '')) < 4 THEN line END AS short FROM {lines})
   GROUP BY substring_index(line, ' ', 1), coalesce(short, ''), NOT marked AND short IS NOT NULL)
@@ -125,11 +132,13 @@ SELECT t.*, size(words) AS n_words, words[0] AS opener, words[size(words) - 1] A
   right(line, 5) RLIKE '(\\.\\.|…)["”’»」』)]*$' AS trailing,
   right(line, 2) RLIKE '\\p{{Nd}}\\.$' AS number_mark,
   line RLIKE '[“‘「『][^”’」』.!?।。！？]*[.!?।。！？]$' OR line RLIKE '(^|\\s)"[^\\s".!?।][^".!?।]*[.!?।]$' AND (length(line) - length(replace(line, '"', ''))) % 2 = 1 AS open_quote,
+  CASE WHEN NOT right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AND length(line) - length(replace(line, ' ', '')) < 4 AND words[0] = substring_index(line, ' ', 1) THEN 1 ELSE 0 END AS own,
   CASE WHEN length(last_run) BETWEEN 1 AND 5 THEN concat('^', last_run) ELSE right(line, 6) END AS tail6,
   CASE WHEN size(norm) >= 3 THEN shiftright(xxhash64(norm[size(norm) - 3], norm[size(norm) - 2], rtrim('\u0001', norm[size(norm) - 1])), 1) END AS tri
 FROM (SELECT *, regexp_extract(line, '[\\p{{L}}\\p{{M}}\\p{{N}}]+$', 0) AS last_run FROM {tails}) AS t LATERAL VIEW explode(array(split(line, '(?U)\\s+'))) AS words LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS norm
 """.replace("PLAIN", _PLAIN)
 
+# Of the lines that open like the last one, that line itself is left out; the rates of a single word add one line, as nothing else bare may open with a place's name.
 _VERDICTS = r"""
 SELECT h, CASE
   WHEN line RLIKE '�["”’…]*$' THEN 'broken character'
@@ -149,26 +158,34 @@ SELECT h, CASE
   WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '[,،、] ?(\\p{{L}}+ )?\\p{{Nd}}+$' THEN NULL
   WHEN line RLIKE '[฀-๿]$' THEN CASE WHEN before_blank >= 1 THEN NULL ELSE 'sentence' END
   WHEN n_lines > 1 AND n_words IN (2, 3) AND coalesce(bare_rows, 0) >= 2 AND bare_rows > o_marked THEN NULL
-  WHEN n_lines > 1 AND n_words = 1 AND (k_seen >= 1 OR bare_rows >= 2) AND o_bare >= 0.1 * o_marked AND coalesce(longer, 0) < 5 * bare_rows THEN NULL
+  WHEN n_lines > 1 AND n_words = 1 AND (k_seen >= 1 OR bare_rows >= 2) AND o_bare + 1 >= 0.1 * o_marked AND coalesce(longer, 0) < 5 * (bare_rows + 1) THEN NULL
   WHEN coalesce(k_seen, 0) < 1 THEN 'word'
   ELSE 'sentence' END AS reason
-FROM {finals}
+FROM (SELECT *, rows - own AS bare_rows, bare - CASE WHEN own = 1 AND alone = 1 AND line = opener THEN 1 ELSE 0 END AS o_bare FROM {finals}
 LEFT JOIN (SELECT tri AS tri_, inside AS inside3, final AS final3 FROM {trigrams}) ON tri = tri_
 LEFT JOIN (SELECT raw AS raw_, inside AS w_inside, ending AS w_ending FROM {words}) ON raw = raw_
 LEFT JOIN (SELECT word AS word_, seen AS k_seen FROM {known}) ON word = word_
-LEFT JOIN (SELECT opener AS opener_, marked AS o_marked, bare AS o_bare, bare_rows FROM {openers}) ON opener = opener_
+LEFT JOIN (SELECT opener AS opener_, marked AS o_marked, bare, bare_rows AS rows, alone FROM {openers}) ON opener = opener_
 LEFT JOIN (SELECT opener AS b_, longer FROM {beginnings}) ON opener = b_
 LEFT JOIN (SELECT tail6 AS t_, before_blank FROM {unspaced}) ON tail6 = t_
-LEFT JOIN (SELECT source AS s_, n_chars AS c_, same, n_texts FROM {lengths}) ON source = s_ AND n_chars = c_
+LEFT JOIN (SELECT source AS s_, n_chars AS c_, same, n_texts FROM {lengths}) ON source = s_ AND n_chars = c_)
 """
 
 
-def truncation(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """key, source, is_cut, reason: one row per text that is neither null nor blank."""
+def truncation(df: DataFrame, key: str, text: str, source: str, most_copies: int = MOST_COPIES) -> DataFrame:
+    """key, source, is_cut, reason: one row per text that is neither null nor blank.
+
+    Hashes of texts with copies are sent to all tasks while there are at most
+    ``most_copies``, and joined by a shuffle beyond.
+    """
     spark = df.sparkSession
     sql = lambda q, **views: spark.sql(q, **views)
     texts = sql(_ROWS, rows=df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{source}` AS source"))
-    lines = sql(_LINES, texts=texts)
+    copied = cut_lineage(sql(_COPIED, texts=texts))
+    copied = F.broadcast(copied) if copied.limit(most_copies + 1).count() <= most_copies else copied
+    one_of = cut_lineage(sql(_ONE_OF, copies=texts.join(copied, "h", "left_semi")))
+    distinct = texts.join(copied, "h", "left_anti").select("h", "text").unionByName(one_of)
+    lines = sql(_LINES, distinct=distinct)
     words = cut_lineage(sql(_WORDS, lines=lines))
     openers = cut_lineage(sql(_OPENERS, lines=lines))
     tails = cut_lineage(sql(_TAILS, texts=texts))

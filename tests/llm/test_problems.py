@@ -254,3 +254,16 @@ def test_truncation_without_blanks_between_words_goes_by_the_rate(spark, n):
     cuts += [(1006 + i, said() + " " + first[i % 3] + "จดหมายถึ", "s") for i in range(4)]
     found = truncation(spark.createDataFrame(docs + cuts, "i long, t string, src string"), "i", "t", "src")
     assert {r.key for r in found.where("is_cut").collect()} == {k for k, _, _ in cuts}
+
+
+@pytest.mark.parametrize("most_copies", [1000, 0])
+def test_copies_of_a_cut_text_do_not_vouch_for_it(spark, most_copies):
+    rng = random.Random(8)
+    subj, verb, obj = ["The cook", "My aunt", "A pilgrim"], ["sought the", "kept the", "sang the"], ["copper lamp", "old bell", "river song"]
+    said = lambda: f"{rng.choice(subj)} {rng.choice(verb)} {rng.choice(obj)}."
+    docs = [(i, " ".join(said() for _ in range(4)), "s") for i in range(200)]
+    docs += [(1000 + i, said() + f" {i} lamps.\nHill house", "s") for i in range(5)]
+    two, one, dots = said() + "\nYesterday the", said() + "\nZamin", said() + " A pilgrim sang the…"
+    cuts = [(2000 + i, two, "s") for i in range(4)] + [(3000 + i, one, "s") for i in range(4)] + [(4000 + i, dots, "s") for i in range(120)]
+    found = truncation(spark.createDataFrame(docs + cuts + cuts[:2], "i long, t string, src string"), "i", "t", "src", most_copies=most_copies)
+    assert {r.key for r in found.where("is_cut").collect()} == {k for k, _, _ in cuts}
