@@ -18,7 +18,10 @@ A text is judged by its end, blanks aside:
 * an ellipsis on a word: cut if the text has exactly the length at which its
   source cuts others, the word is unknown, or its trigram hardly ever ends a
   sentence;
-* no mark: whole if the last line has no letters, is bracketed, led by a dash,
+* no mark: cut if its trigram is common inside and hardly ever ends another text
+  or sentence, whole if in half of its other places or more it ends a text
+  without a mark, as that is then the habit (ends with a mark speak for a cut
+  before it). Where the trigram can't tell: whole if the last line has no letters, is bracketed, led by a dash,
   dated, or opens like lines that stand alone; in a script written without
   marks, whole if its last characters stand before a blank in half of their
   other places or more; else cut.
@@ -61,14 +64,16 @@ FROM (SELECT split(rtrim(' \n\t\r 　', text), '\n') AS parts FROM {distinct})
 WHERE trim(line) <> ''
 """
 
+# The end of a text is final, with a mark or without (bare); ends of other lines without a mark tell nothing.
 _TRIGRAMS = r"""
-SELECT shiftright(g, 1) AS tri, count_if(g & 1 = 1) AS inside, count_if(g & 1 = 0) AS final
+SELECT shiftright(g, 2) AS tri, count_if(g & 3 = 1) AS inside, count_if(g & 3 <> 1) AS final, count_if(g & 3 = 2) AS bare
 FROM (
-  SELECT words FROM {lines} LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS words
+  SELECT words, is_last FROM {lines} LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS words
 ) LATERAL VIEW explode(
-  CASE WHEN size(words) >= 3 THEN transform(sequence(2, size(words) - 1), i ->
-    (xxhash64(words[i - 2], words[i - 1], rtrim('\u0001', words[i])) & -2L) | CASE WHEN endswith(words[i], '\u0001') THEN 0L ELSE 1L END) END) AS g
-GROUP BY shiftright(g, 1)
+  CASE WHEN size(words) >= 3 + CASE WHEN is_last OR endswith(words[size(words) - 1], '\u0001') THEN 0 ELSE 1 END THEN transform(
+    sequence(2, size(words) - CASE WHEN is_last OR endswith(words[size(words) - 1], '\u0001') THEN 1 ELSE 2 END), i ->
+    (xxhash64(words[i - 2], words[i - 1], rtrim('\u0001', words[i])) & -4L) | CASE WHEN endswith(words[i], '\u0001') THEN 0L WHEN i = size(words) - 1 THEN 2L ELSE 1L END) END) AS g
+GROUP BY shiftright(g, 2)
 """.replace("PLAIN", _PLAIN)
 
 # seen leaves out the last word of a text.
@@ -134,11 +139,11 @@ SELECT t.*, size(words) AS n_words, words[0] AS opener, words[size(words) - 1] A
   line RLIKE '[“‘「『][^”’」』.!?।。！？]*[.!?।。！？]$' OR line RLIKE '(^|\\s)"[^\\s".!?।][^".!?।]*[.!?।]$' AND (length(line) - length(replace(line, '"', ''))) % 2 = 1 AS open_quote,
   CASE WHEN NOT right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AND length(line) - length(replace(line, ' ', '')) < 4 AND words[0] = substring_index(line, ' ', 1) THEN 1 ELSE 0 END AS own,
   CASE WHEN length(last_run) BETWEEN 1 AND 5 THEN concat('^', last_run) ELSE right(line, 6) END AS tail6,
-  CASE WHEN size(norm) >= 3 THEN shiftright(xxhash64(norm[size(norm) - 3], norm[size(norm) - 2], rtrim('\u0001', norm[size(norm) - 1])), 1) END AS tri
+  CASE WHEN size(norm) >= 3 THEN shiftright(xxhash64(norm[size(norm) - 3], norm[size(norm) - 2], rtrim('\u0001', norm[size(norm) - 1])), 2) END AS tri
 FROM (SELECT *, regexp_extract(line, '[\\p{{L}}\\p{{M}}\\p{{N}}]+$', 0) AS last_run FROM {tails}) AS t LATERAL VIEW explode(array(split(line, '(?U)\\s+'))) AS words LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS norm
 """.replace("PLAIN", _PLAIN)
 
-# Of the lines that open like the last one, that line itself is left out; the rates of a single word add one line, as nothing else bare may open with a place's name.
+# The own end of a text is left out of the counts of its trigram. Of the lines that open like the last one, that line itself is left out; the rates of a single word add one line, as nothing else bare may open with a place's name.
 _VERDICTS = r"""
 SELECT h, CASE
   WHEN line RLIKE '�["”’…]*$' THEN 'broken character'
@@ -153,6 +158,8 @@ SELECT h, CASE
   WHEN trailing AND coalesce(inside3, 0) >= 3 AND final3 < 0.1 * (inside3 + final3) THEN 'sentence'
   WHEN trailing THEN NULL
   WHEN NOT line RLIKE '\\p{{L}}' THEN NULL
+  WHEN inside3 >= 3 AND final3 < 0.1 * (inside3 + final3) THEN 'sentence'
+  WHEN bare3 >= 3 AND bare3 >= 0.5 * (inside3 + final3) AND NOT raw RLIKE '[,;:،、—–-]$' THEN NULL
   WHEN line RLIKE '^[\\[(（].*[\\])）]$' THEN NULL
   WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '^[—–-]' THEN NULL
   WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '[,،、] ?(\\p{{L}}+ )?\\p{{Nd}}+$' THEN NULL
@@ -162,7 +169,7 @@ SELECT h, CASE
   WHEN coalesce(k_seen, 0) < 1 THEN 'word'
   ELSE 'sentence' END AS reason
 FROM (SELECT *, rows - own AS bare_rows, bare - CASE WHEN own = 1 AND alone = 1 AND line = opener THEN 1 ELSE 0 END AS o_bare FROM {finals}
-LEFT JOIN (SELECT tri AS tri_, inside AS inside3, final AS final3 FROM {trigrams}) ON tri = tri_
+LEFT JOIN (SELECT tri AS tri_, inside AS inside3, final - 1 AS final3, bare - 1 AS bare3 FROM {trigrams}) ON tri = tri_
 LEFT JOIN (SELECT raw AS raw_, inside AS w_inside, ending AS w_ending FROM {words}) ON raw = raw_
 LEFT JOIN (SELECT word AS word_, seen AS k_seen FROM {known}) ON word = word_
 LEFT JOIN (SELECT opener AS opener_, marked AS o_marked, bare, bare_rows AS rows, alone FROM {openers}) ON opener = opener_

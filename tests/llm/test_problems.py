@@ -267,3 +267,15 @@ def test_copies_of_a_cut_text_do_not_vouch_for_it(spark, most_copies):
     cuts = [(2000 + i, two, "s") for i in range(4)] + [(3000 + i, one, "s") for i in range(4)] + [(4000 + i, dots, "s") for i in range(120)]
     found = truncation(spark.createDataFrame(docs + cuts + cuts[:2], "i long, t string, src string"), "i", "t", "src", most_copies=most_copies)
     assert {r.key for r in found.where("is_cut").collect()} == {k for k, _, _ in cuts}
+
+
+def test_the_final_trigram_decides_texts_without_a_mark(spark):
+    rng = random.Random(9)
+    subj, verb, obj = ["The cook", "My aunt", "A pilgrim"], ["sought the", "kept the", "sang the"], ["copper lamp", "old bell", "river song"]
+    said = lambda: f"{rng.choice(subj)} {rng.choice(verb)} {rng.choice(obj)}."
+    docs = [(i, " ".join(said() for _ in range(4)), "s") for i in range(200)]
+    notes = [(1000 + i, f"Note {'abcdef'[i]} on the water rights of Umptal", "s") for i in range(6)]
+    cuts = [(2000, said() + "\nThe cook sought", "s"), (2001, "Yesterday the old man went down", "s"), (2002, said() + "\n(A pilgrim sang the)", "s"), (2003, said() + " My aunt kept the", "s")]
+    inside = [(3000 + i, f"{said()} A pilgrim sang the bell (a pilgrim sang the) lamp.", "s") for i in range(5)]
+    found = truncation(spark.createDataFrame(docs + notes + cuts + inside, "i long, t string, src string"), "i", "t", "src")
+    assert {r.key for r in found.where("is_cut").collect()} == {2000, 2001, 2002, 2003}
