@@ -223,7 +223,14 @@ def g03_orphans(s, d):
 
 
 def g05_story_match(s, d):
-    return ma.story_match(_candidates(s, d), t(s, d, "meta", "story_id", "about_member", "key_people", "one_line").withColumns({"locations": F.array().cast("array<string>"), "fingerprint_phrases": F.array("one_line")}))
+    c = _candidates(s, d)
+    m = t(s, d, "meta", "story_id", "about_member", "key_people", "locations", "one_line", "variants")
+    # Stories have no phrases of their own: those of their tellings among the candidates, and the one line.
+    told = m.select("story_id", F.explode("variants").alias("v")).select("story_id", F.col("v.text").alias("raw_text")).distinct()
+    phrases = told.join(c.select("raw_text", F.explode("fingerprint_phrases").alias("phrase")), "raw_text").groupBy("story_id").agg(F.collect_set("phrase").alias("told"))
+    own = F.filter(F.array("one_line"), lambda p: p.isNotNull())
+    stories = m.drop("variants").join(phrases, "story_id", "left").withColumn("fingerprint_phrases", F.array_union(own, F.coalesce("told", F.array().cast("array<string>"))))
+    return ma.story_match(c, stories)
 
 
 def _candidates(s, d):

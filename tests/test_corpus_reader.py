@@ -112,3 +112,14 @@ def test_daily_cap_counts_over_hours(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id int, text string")
     assert co.quality(empty).count() == co.children(empty, "id", "text").count() == rd.paragraphs(empty, "id", "text").count() == 0
+
+
+def test_story_match_reads_places_and_phrases_of_tellings(spark, tmp_path):
+    from pothi.plans.queries import QUERIES
+
+    meta = [("s1", "m", ["a", "b"], ["x"], "no such line", [("old lamp. red door.",)]), ("s2", "m", ["a", "b"], ["y"], None, None)]
+    cand = [("f", 1, "m", "old lamp. red door.", ["a", "b"], ["x"], ["old lamp.", "red door."]), ("f", 2, "m", "the old lamp. and a red door.", ["a", "b"], ["x"], []), ("f", 3, "n", "none", None, None, None)]
+    spark.createDataFrame(meta, "story_id string, about_member string, key_people array<string>, locations array<string>, one_line string, variants array<struct<text string>>").write.parquet(f"{tmp_path}/meta.parquet")
+    spark.createDataFrame(cand, "file string, idx int, about_member string, raw_text string, key_people array<string>, locations array<string>, fingerprint_phrases array<string>").write.parquet(f"{tmp_path}/candidate.parquet")
+    got = {(r.key, r.bucket, r.story_id) for r in QUERIES["G05_story_match"](spark, str(tmp_path)).collect()}
+    assert got == {("f#1", "HIGH", "s1"), ("f#2", "HIGH", "s1"), ("f#3", "LOW", None)}
