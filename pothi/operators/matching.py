@@ -53,3 +53,21 @@ def story_match(candidates: DataFrame, stories: DataFrame) -> DataFrame:
     high = (F.col("best") >= 4) & F.col("sure")
     kept = ranked.where(~high | (F.col("rank") == 1)).select("key", F.when(high, "HIGH").otherwise("MEDIUM").alias("bucket"), "story_id")
     return candidates.select("key").join(kept, "key", "left").select("key", F.coalesce("bucket", F.lit("LOW")).alias("bucket"), "story_id")
+
+
+def word_pairs(df: DataFrame, key: str, group: str, words: str) -> DataFrame:
+    """key_a, key_b, jaccard of all pairs of a group whose sets of words have a Jaccard of 0.5 or more.
+
+    Of n words, rarest first, the first n - ceil(n / 2) + 1 are joined; two sets
+    that are alike enough share one of them.
+    """
+    sets = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.array_distinct(words).alias("ws")).where("g IS NOT NULL AND size(ws) > 0")
+    token = sets.select("k", "g", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    ranked = token.join(token.groupBy("g", "w").agg(F.count("*").alias("df")), ["g", "w"]).withColumn("r", F.row_number().over(W.partitionBy("g", "k").orderBy("df", "w")))
+    first = ranked.where("r <= n - ceil(n / 2) + 1")
+    a, b = first.alias("a"), first.alias("b")
+    near = (F.col("a.g") == F.col("b.g")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.n") <= 2 * F.col("b.n")) & (F.col("b.n") <= 2 * F.col("a.n"))
+    met = a.join(b, near).select(F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b")).distinct()
+    of = lambda end: sets.select(F.col("k").alias(f"key_{end}"), F.col("ws").alias(f"ws_{end}"))
+    scored = met.join(of("a"), "key_a").join(of("b"), "key_b").select("key_a", "key_b", jaccard(F.col("ws_a"), F.col("ws_b")).alias("jaccard"))
+    return scored.where("jaccard >= 0.5")

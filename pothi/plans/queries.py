@@ -239,10 +239,14 @@ def _candidates(s, d):
 
 
 def g06_cross_match(s, d):
+    lines = t(s, d, "candidate", "file", "idx", "about_member", "one_line").distinct().select(F.concat_ws("#", "file", "idx").alias("key"), "about_member", F.regexp_extract_all(F.lower("one_line"), F.lit("[ऀ-ॿA-Za-z0-9]+"), F.lit(0)).alias("words"))
     c = _candidates(s, d).where("about_member IS NOT NULL").select("key", "about_member", F.explode(F.array_distinct("fingerprint_phrases")).alias("phrase"))
     a, b = c.alias("a"), c.alias("b")
     met = a.join(b, (F.col("a.phrase") == F.col("b.phrase")) & (F.col("a.about_member") == F.col("b.about_member")) & (F.col("a.key") < F.col("b.key")))
-    return met.groupBy(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).agg(F.count("*").alias("shared"))
+    shared = met.groupBy(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).agg(F.count("*").alias("shared"))
+    # Pairs without a phrase in common are alike by their one line; shared is 0 for them.
+    alike = ma.word_pairs(lines, "key", "about_member", "words").join(shared, ["key_a", "key_b"], "left_anti")
+    return shared.unionByName(alike.select("key_a", "key_b", F.lit(0).cast("bigint").alias("shared")))
 
 
 def g08_mentioned_work(s, d):

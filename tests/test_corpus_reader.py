@@ -123,3 +123,23 @@ def test_story_match_reads_places_and_phrases_of_tellings(spark, tmp_path):
     spark.createDataFrame(cand, "file string, idx int, about_member string, raw_text string, key_people array<string>, locations array<string>, fingerprint_phrases array<string>").write.parquet(f"{tmp_path}/candidate.parquet")
     got = {(r.key, r.bucket, r.story_id) for r in QUERIES["G05_story_match"](spark, str(tmp_path)).collect()}
     assert got == {("f#1", "HIGH", "s1"), ("f#2", "HIGH", "s1"), ("f#3", "LOW", None)}
+
+
+def test_cross_match_equals_brute_force(spark, tmp_path):
+    from pothi.plans.queries import QUERIES
+
+    rng = random.Random(3)
+    words = ["lamp", "Bell", "river", "घर", "दिवा", "x1", "tank"]
+    rows = [("f", i, rng.choice(["m", "n", None]), rng.choice([["p1"], ["p2", "p3"], [f"q{i}"], [], None]), rng.choice([None, "", ", ".join(rng.choices(words, k=rng.randrange(1, 6)))])) for i in range(60)]
+    spark.createDataFrame([(f, i, m, "", [], [], p, o) for f, i, m, p, o in rows], "file string, idx int, about_member string, raw_text string, key_people array<string>, locations array<string>, fingerprint_phrases array<string>, one_line string").write.parquet(f"{tmp_path}/candidate.parquet")
+    want = set()
+    for x in rows:
+        for y in rows:
+            a, b = f"f#{x[1]}", f"f#{y[1]}"
+            if a < b and x[2] and x[2] == y[2]:
+                both = len(set(x[3] or []) & set(y[3] or []))
+                u, v = (set((z[4] or "").lower().replace(",", "").split()) for z in (x, y))
+                if both or u and v and 2 * len(u & v) >= len(u | v):
+                    want.add((a, b, both))
+    got = [(r.key_a, r.key_b, r.shared) for r in QUERIES["G06_cross_match"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and any(n == 0 for *_, n in want)
