@@ -1,206 +1,233 @@
 r"""Text cut off by field limits (problem 10), in SQL.
 
-A whole text ends where texts of its kind end. The word trigrams of all
-distinct texts are counted by where they stand, inside a sentence or at its
-end; the final trigram of a text joins those counts, and one that is common
-inside and all but never final marks a cut. Counts of single words tell a word
-broken off from a whole one, counts of lines by their first word tell a closing
-line (signature, place, formula) from a paragraph that breaks off, and lengths
-that many texts of a source share point at the limit of its field.
-
-A text is judged by its end, blanks aside:
-
-* a replacement character, or a comma, dash or ellipsis set apart: cut;
-* a sentence mark: whole, unless the last word with its mark is common inside
-  lines and almost never ends one (an abbreviation), a number before the mark
-  stands where numbers don't end sentences, or a quotation opened in the last
-  paragraph stays open;
-* an ellipsis on a word: cut if the text has exactly the length at which its
-  source cuts others, the word is unknown, or its trigram hardly ever ends a
-  sentence;
-* no mark: cut if its trigram is common inside and hardly ever ends another text
-  or sentence, whole if in half of its other places or more it ends a text
-  without a mark, as that is then the habit (ends with a mark speak for a cut
-  before it). Where the trigram can't tell: whole if the last line has no letters, is bracketed, led by a dash,
-  dated, or opens like lines that stand alone; in a script written without
-  marks, whole if its last characters stand before a blank in half of their
-  other places or more; else cut.
+A whole text ends where texts of its kind end. Word trigrams of all distinct
+texts are counted by where their third word stands: inside a sentence, before a
+mark, or as the last word of a text without a mark. A line or sentence begins
+with blanks of its own in the trigram, so the first words of a line have one
+too. The final trigram of a text joins those counts; its last word may be broken
+off, so longer third words count as places where the text goes on. A text that
+ends without a mark is cut where its final trigram almost never (less than one
+place in fifty) ends other texts so, and whole by habit where it does (closing
+formulas, places, dates). One that ends in an ellipsis on a word is cut where
+its trigram almost never ends a sentence either.
+
+In a script written without blanks or marks the trigram's part is taken by the
+last letters, in several lengths: a text is whole if in one length, over two
+other places or more, half of them or more are before a blank.
+
+Only where the trigram is unknown or rare do patterns and single words decide: a
+line without letters, in brackets, led by a dash, dated, or of one word known
+elsewhere is whole; what ends in an unknown word, in the middle of a line's
+habit, or at a length its source cuts at, is cut. A final mark makes a text
+whole, unless it is a replacement character's, a number's that hardly ever ends
+a sentence, or an abbreviation's that hardly ever ends a line.
+
+Texts aren't exchanged to be counted once: a filter of constant size tells the
+texts that may have copies, only those are. Another tells the contexts some text
+ends in, so that other trigrams don't leave their task; both may let more
+through, never less, and the joins behind them are exact.
 
 Defined results: null, empty and blank texts are not cut and in no row. Repeated
 ids count once (the smallest row), copies of a text share its verdict and are
 counted once in the statistics. Rows without an id are left out, a null source
-is a source of its own.
+is a source of its own. A word of more than ``MOST_LETTERS`` letters (of a script
+without blanks) counts as a whole only, not by its beginnings.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pothi.plans.lineage import cut as cut_lineage
 
-# Signs that end sentences become \u0001, digits 0; other punctuation is dropped.
+# Signs that end sentences become \u0001, digits 0; other punctuation is dropped, blanks are one.
 _ENDS = ".!?।॥。！？…"
-_DIGITS = "123456789०१२३४५६७८९೦೧೨೩೪೫೬೭೮೯๐๑๒๓๔๕๖๗๘๙"
+_DIGITS = "0123456789०१२३४५६७८९೦೧೨೩೪೫೬೭೮೯๐๑๒๓๔๕๖๗๘๙"
+_BLANKS = "\\t\\r 　"
 _DROPPED = ",;:()[]“”‘’\"'«»「」『』、，（）—–-*/·"
-_PLAIN = f"translate(lower(line), '{_ENDS}{_DIGITS}{_DROPPED}'".replace("\"'«", "\"\\'«") + ", '" + "\\u0001" * len(_ENDS) + "0" * len(_DIGITS) + "')"
+_PLAIN = f"translate(lower(line), '{_ENDS}{_DIGITS}{_BLANKS}{_DROPPED}'".replace("\"'«", "\"\\'«") + ", '" + "\\u0001" * len(_ENDS) + "0" * len(_DIGITS) + "    ')"
 
 MOST_COPIES = 1_000_000
-
-_ROWS = r"""
-SELECT key, trim(source) AS source, text, xxhash64(text) AS h FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL AND text RLIKE '\\S'
+MOST_LETTERS = 64
+# A share of the places under which a trigram almost never ends a text, and the places from which on that can be told.
+ALMOST_NEVER, ENOUGH = 0.02, 50
+# Words of the filter of contexts (64 bits each), and the parts a frequent final trigram is joined in.
+FILTER, SALT = 1 << 18, 8
+
+_HEADS = r"""
+SELECT key, source, h, n_chars, n_lines, trim(substring_index(end, '\n', -1)) AS line
+FROM (SELECT key, trim(source) AS source, xxhash64(text) AS h, length(text) AS n_chars, length(text) - length(replace(text, '\n', '')) + 1 AS n_lines, rtrim(' \n\t\r 　', text) AS end
+  FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL)
+WHERE end <> ''
 """
 
-_KEYS = r"SELECT key, row.source, row.h FROM (SELECT key, min(struct(h, source)) AS row FROM {texts} GROUP BY key)"
+_COPIED = "SELECT h AS k FROM {heads} GROUP BY h HAVING count(*) > 1"
+
+_BITS = "SELECT k & {last} AS at, bit_or(shiftleft(1L, CAST(shiftrightunsigned(k, 58) AS INT))) AS bits FROM {{keys}} GROUP BY 1"
+_FILTER = "SELECT transform(array_sort(collect_list(struct(id, coalesce(bits, 0L) AS bits))), x -> x.bits) AS bits FROM range({size}) LEFT JOIN {{words}} ON id = at"
+_MIGHT = "get((SELECT bits FROM {{{view}}}), CAST({k} & {last} AS INT)) & shiftleft(1L, CAST(shiftrightunsigned({k}, 58) AS INT)) <> 0"
 
-# Only texts that have copies are exchanged; of each, one stays.
-_COPIED = "SELECT h FROM {texts} GROUP BY h HAVING count(*) > 1"
-_ONE_OF = "SELECT h, min(text) AS text FROM {copies} GROUP BY h"
+# One copy of each text: most at once, those that may have copies by an exchange.
+_DISTINCT = "SELECT text FROM (SELECT text, xxhash64(text) AS h FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL) WHERE NOT (MIGHT)"
+_ONE_OF = "SELECT min(text) AS text FROM (SELECT text, xxhash64(text) AS h FROM {rows} WHERE key IS NOT NULL AND text IS NOT NULL) WHERE MIGHT GROUP BY h"
 
-# One row per line that isn't blank, of one copy of each text.
+# One row per line that isn't blank.
 _LINES = r"""
 SELECT trim(line) AS line, at = size(parts) - 1 AS is_last
 FROM (SELECT split(rtrim(' \n\t\r 　', text), '\n') AS parts FROM {distinct}) LATERAL VIEW posexplode(parts) AS at, line
 WHERE trim(line) <> ''
 """
 
-# The end of a text is final, with a mark or without (bare); ends of other lines without a mark tell nothing.
-_TRIGRAMS = r"""
-SELECT shiftright(g, 2) AS tri, count_if(g & 3 = 1) AS inside, count_if(g & 3 <> 1) AS final, count_if(g & 3 = 2) AS bare
-FROM (
-  SELECT words, is_last FROM {lines} LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS words
-) LATERAL VIEW explode(
-  CASE WHEN size(words) >= 3 + CASE WHEN is_last OR endswith(words[size(words) - 1], '\u0001') THEN 0 ELSE 1 END THEN transform(
-    sequence(2, size(words) - CASE WHEN is_last OR endswith(words[size(words) - 1], '\u0001') THEN 1 ELSE 2 END), i ->
-    (xxhash64(words[i - 2], words[i - 1], rtrim('\u0001', words[i])) & -4L) | CASE WHEN endswith(words[i], '\u0001') THEN 0L WHEN i = size(words) - 1 THEN 2L ELSE 1L END) END) AS g
-GROUP BY shiftright(g, 2)
-""".replace("PLAIN", _PLAIN)
-
-# seen leaves out the last word of a text.
-_WORDS = r"""
-SELECT raw, count_if(at < n - 1) AS inside, count_if(at = n - 1) AS ending, count_if(at < n - 1 OR NOT is_last OR right(raw, 3) RLIKE '[.!?।॥。！？]["”’»」』)]*$') AS seen
-FROM (SELECT size(words) AS n, is_last, words FROM {lines} LATERAL VIEW explode(array(split(line, ' '))) AS words) LATERAL VIEW posexplode(words) AS at, raw
-GROUP BY raw
-"""
-
-_KNOWN = r"""
-SELECT word, sum(seen) AS seen FROM (SELECT regexp_replace(raw, '^\\p{{P}}+|\\p{{P}}+$', '') AS word, seen FROM {words} WHERE seen > 0) WHERE word <> '' GROUP BY word
-"""
-
-_OPENERS = r"""
-SELECT opener, sum(marked) AS marked, count_if(bare) AS bare, sum(CASE WHEN bare THEN n ELSE 0 END) AS bare_rows, sum(CASE WHEN bare AND short = opener THEN n ELSE 0 END) AS alone FROM (
-  SELECT substring_index(line, ' ', 1) AS opener, coalesce(short, '') AS short, NOT marked AND short IS NOT NULL AS bare, count_if(marked) AS marked, count(*) AS n
-  FROM (SELECT line, right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AS marked, CASE WHEN NOT right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AND length(line) - length(replace(line, ' ', '')) < 4 THEN line END AS short FROM {lines})
-  GROUP BY substring_index(line, ' ', 1), coalesce(short, ''), NOT marked AND short IS NOT NULL)
-GROUP BY opener
-"""
+_CONTEXT = r"""xxhash64(
+    CASE WHEN at = 0 THEN led WHEN endswith(words[at - 1], '\u0001') THEN '^' WHEN at = 1 THEN led WHEN endswith(words[at - 2], '\u0001') THEN '^' ELSE words[at - 2] END,
+    CASE WHEN at = 0 THEN led WHEN endswith(words[at - 1], '\u0001') THEN '^' ELSE words[at - 1] END)"""
+_LED = "CASE WHEN left(line, 1) IN ('—', '–', '-') THEN '—' ELSE '|' END"
 
-# How often lines open with a longer word than this beginning of one.
-_BEGINNINGS = r"""
-SELECT left(opener, k) AS opener, sum(marked) AS longer
-FROM (SELECT opener, marked FROM {openers} WHERE marked > 0) LATERAL VIEW explode(sequence(1, greatest(1, length(opener) - 1))) AS k
-WHERE k < length(opener) GROUP BY left(opener, k)
-"""
+# kind 3: the words after a context that some text ends in; kind 1: all words.
+_COUNTS = r"""
+SELECT kind, ctx, rtrim('\u0001', raw) AS word, count_if(at < n - 1 AND NOT mark) AS inside, count_if(mark) AS marked, count_if(mark AND at = n - 1) AS line_end,
+  count_if(at = n - 1 AND NOT mark AND is_last) AS bare, count_if(at = n - 1 AND NOT mark AND NOT is_last) AS open
+FROM (
+  SELECT at, n, is_last, raw, endswith(raw, '\u0001') AS mark, context
+  FROM (
+    SELECT at, size(words) AS n, is_last, raw, CONTEXT AS context
+    FROM (SELECT is_last, words, led FROM (SELECT line, is_last, LED AS led FROM {lines}) LATERAL VIEW explode(array(split(trim(PLAIN), ' +'))) AS words) LATERAL VIEW posexplode(words) AS at, raw)
+) LATERAL VIEW inline(array(struct(3 AS kind, context AS ctx), struct(1 AS kind, 0L AS ctx))) AS kind, ctx
+WHERE kind = 1 OR MIGHT
+GROUP BY kind, ctx, rtrim('\u0001', raw)
+""".replace("CONTEXT", _CONTEXT).replace("LED", _LED).replace("PLAIN", _PLAIN)
+
+# What is asked for: a beginning of a word after a context. Longer words count where the text goes on.
+_EVIDENCE = r"""
+SELECT need, sum(CASE WHEN whole THEN inside ELSE 0 END) AS inside, sum(CASE WHEN whole THEN marked ELSE 0 END) AS marked, sum(CASE WHEN whole THEN line_end ELSE 0 END) AS line_end,
+  sum(CASE WHEN whole THEN bare ELSE 0 END) AS bare, sum(CASE WHEN whole THEN open ELSE 0 END) AS open, sum(CASE WHEN whole THEN 0 ELSE inside + marked + bare END) AS longer, sum(CASE WHEN whole THEN 0 ELSE bare END) AS longer_bare
+FROM (
+  SELECT *, xxhash64(kind, ctx, left(word, k)) AS need, k = length(word) AS whole
+  FROM {counts} LATERAL VIEW explode(CASE WHEN length(word) <= LETTERS THEN sequence(0, length(word)) ELSE array(0, length(word)) END) AS k)
+WHERE MIGHT GROUP BY need
+""".replace("LETTERS", str(MOST_LETTERS))
 
-# Ends in a script written without blanks that stand before a blank in half of their places or more. A word of less than six letters is taken from its start (^); the end of a text counts for nothing.
+# Last letters in a script without blanks or marks, of several lengths; ^ is the start of a run. The end of a text counts for nothing.
+_LENGTHS_OF_ENDS = "array(6, 12, 16, 20, 24, 28)"
 _UNSPACED = r"""
-SELECT seen.tail6, count_if(seen.ends) AS before_blank
+SELECT seen.tail, count_if(seen.ends) AS ends, count(*) AS places
 FROM (
   SELECT run, is_last AND at = size(runs) - 1 AND endswith(line, run) AS of_text
-  FROM (SELECT line, is_last, regexp_extract_all(line, '[\\p{{L}}\\p{{M}}\\p{{N}}]+', 0) AS runs FROM {lines} WHERE line RLIKE '[฀-๿]') LATERAL VIEW posexplode(runs) AS at, run
+  FROM (SELECT line, is_last, regexp_extract_all(line, '[\\p{{L}}\\p{{M}}\\p{{N}}]+', 0) AS runs FROM {unspaced} WHERE line RLIKE '[฀-๿]') LATERAL VIEW posexplode(runs) AS at, run
   WHERE run RLIKE '[฀-๿]'
-) LATERAL VIEW explode(concat(
-  CASE WHEN of_text THEN array() ELSE array(struct(CASE WHEN length(run) < 6 THEN concat('^', run) ELSE right(run, 6) END AS tail6, true AS ends)) END,
-  CASE WHEN length(run) > 1 THEN transform(sequence(1, least(5, length(run) - 1)), k -> struct(concat('^', left(run, k)) AS tail6, false AS ends)) ELSE array() END,
-  CASE WHEN length(run) > 6 THEN transform(sequence(1, length(run) - 6), i -> struct(substring(run, i, 6) AS tail6, false AS ends)) ELSE array() END)) AS seen
-GROUP BY seen.tail6 HAVING count_if(seen.ends) >= greatest(1, count_if(NOT seen.ends))
-"""
-
-_LENGTHS = r"""
-SELECT source, n_chars, count(*) AS same, first(n_texts) AS n_texts
-FROM (SELECT source, n_chars, count(*) OVER (PARTITION BY source) AS n_texts FROM {tails})
-GROUP BY source, n_chars
-"""
+) LATERAL VIEW explode(LENGTHS) AS n LATERAL VIEW explode(concat(
+  CASE WHEN NOT of_text THEN array(struct(CASE WHEN length(run) < n THEN concat('^', run) ELSE right(run, n) END AS tail, true AS ends)) ELSE array() END,
+  CASE WHEN length(run) > 1 THEN transform(sequence(1, least(n - 1, length(run) - 1)), k -> struct(concat('^', left(run, k)) AS tail, false AS ends)) ELSE array() END,
+  CASE WHEN length(run) > n THEN transform(sequence(1, length(run) - n), i -> struct(substring(run, i, n) AS tail, false AS ends)) ELSE array() END)) AS seen
+WHERE MIGHT GROUP BY seen.tail
+""".replace("LENGTHS", _LENGTHS_OF_ENDS)
 
 # One row per distinct text.
-_TAILS = r"""
-SELECT h, row.source, row.n_chars, row.n_lines, row.line FROM (
-  SELECT h, min(struct(coalesce(source, '') AS source, length(text) AS n_chars, length(text) - length(replace(text, '\n', '')) + 1 AS n_lines,
-    trim(substring_index(rtrim(' \n\t\r 　', text), '\n', -1)) AS line)) AS row
-  FROM {texts} GROUP BY h)
-"""
+_SINGLE = "SELECT h, coalesce(source, '') AS source, n_chars, n_lines, line FROM {heads} WHERE NOT (MIGHT)"
+_SINGLE_OF = "SELECT h, row.* FROM (SELECT h, min(struct(coalesce(source, '') AS source, n_chars, n_lines, line)) AS row FROM {heads} WHERE MIGHT GROUP BY h)"
 
+# One row per distinct text, with all that its verdict takes but counts.
 _FINALS = r"""
-SELECT t.*, size(words) AS n_words, words[0] AS opener, words[size(words) - 1] AS raw,
-  regexp_replace(words[size(words) - 1], '^\\p{{P}}+|\\p{{P}}+$', '') AS word,
+SELECT h, source, n_chars, n_lines, size(words) AS n_words, size(norm) > 0 AND norm[0] <> '' AS worded,
+  line RLIKE '�["”’…]*$' AS broken, line RLIKE '\\p{{L}}' AS lettered,
   right(line, 4) RLIKE '[.!?।॥。！？]["”’»」』)]*$' AND NOT right(line, 5) RLIKE '(\\.\\.|…)["”’»」』)]*$' AS marked,
-  right(line, 5) RLIKE '(\\.\\.|…)["”’»」』)]*$' AS trailing,
-  right(line, 2) RLIKE '\\p{{Nd}}\\.$' AS number_mark,
-  line RLIKE '[“‘「『][^”’」』.!?।。！？]*[.!?।。！？]$' OR line RLIKE '(^|\\s)"[^\\s".!?।][^".!?।]*[.!?।]$' AND (length(line) - length(replace(line, '"', ''))) % 2 = 1 AS open_quote,
-  CASE WHEN NOT right(line, 3) RLIKE '[.!?।॥。！？…]["”’»」』)]*$' AND length(line) - length(replace(line, ' ', '')) < 4 AND words[0] = substring_index(line, ' ', 1) THEN 1 ELSE 0 END AS own,
-  CASE WHEN length(last_run) BETWEEN 1 AND 5 THEN concat('^', last_run) ELSE right(line, 6) END AS tail6,
-  CASE WHEN size(norm) >= 3 THEN shiftright(xxhash64(norm[size(norm) - 3], norm[size(norm) - 2], rtrim('\u0001', norm[size(norm) - 1])), 2) END AS tri
-FROM (SELECT *, regexp_extract(line, '[\\p{{L}}\\p{{M}}\\p{{N}}]+$', 0) AS last_run FROM {tails}) AS t LATERAL VIEW explode(array(split(line, '(?U)\\s+'))) AS words LATERAL VIEW explode(array(split(PLAIN, ' +'))) AS norm
-""".replace("PLAIN", _PLAIN)
-
-# The own end of a text is left out of the counts of its trigram. Of the lines that open like the last one, that line itself is left out; the rates of a single word add one line, as nothing else bare may open with a place's name.
+  right(line, 5) RLIKE '(\\.\\.|…)["”’»」』)]*$' AS trailing, right(line, 2) RLIKE '\\p{{Nd}}\\.$' AS number_mark, endswith(line, '.') AS stop,
+  line RLIKE '[฀-๿]$' AS unspaced, words[size(words) - 1] RLIKE '^\\p{{P}}+$' AND words[size(words) - 1] <> words[0] AND NOT right(line, 1) RLIKE '[)\\]）」』”’"]' AS mark_apart,
+  line RLIKE '^[\\[(（].*[\\])）]$' AS bracketed, n_lines > 1 AND size(words) <= 4 AND line RLIKE '^[—–-]' AS dashed, n_lines > 1 AND size(words) <= 4 AND line RLIKE '[,،、] ?(\\p{{L}}+ )?\\p{{Nd}}+$' AS dated,
+  right(line, 1) RLIKE '[,;:،、—–-]' AS comma,
+  CASE WHEN line RLIKE '[฀-๿]$' THEN transform(LENGTHS, n -> CASE WHEN length(last_run) < n THEN concat('^', last_run) ELSE right(last_run, n) END) END AS ends,
+  context, xxhash64(3, context, rtrim('\u0001', norm[size(norm) - 1])) AS trigram, xxhash64(3, context, '') AS bigram, xxhash64(1, 0L, rtrim('\u0001', norm[size(norm) - 1])) AS word
+FROM (
+  SELECT t.*, words, norm, regexp_extract(line, '[\\p{{L}}\\p{{M}}\\p{{N}}]+$', 0) AS last_run, CONTEXT AS context
+  FROM (SELECT *, LED AS led FROM {single}) AS t
+  LATERAL VIEW explode(array(split(line, '(?U)\\s+'))) AS words LATERAL VIEW explode(array(split(trim(PLAIN), ' +'))) AS norm)
+""".replace("CONTEXT", _CONTEXT.replace("words", "norm").replace("at = 0", "size(norm) = 1").replace("at = 1", "size(norm) = 2").replace("at - 1", "size(norm) - 2").replace("at - 2", "size(norm) - 3")).replace("LED", _LED).replace("PLAIN", _PLAIN).replace("LENGTHS", _LENGTHS_OF_ENDS)
+
+_ASKING = "worded AND lettered AND (NOT marked OR number_mark OR stop)"
+_CONTEXTS = f"SELECT context AS k FROM {{finals}} WHERE {_ASKING} UNION ALL SELECT xxhash64(tail) AS k FROM {{finals}} LATERAL VIEW explode(ends) AS tail"
+_ASKED = f"SELECT h, role, need FROM {{finals}} LATERAL VIEW inline(array(struct('t' AS role, trigram AS need), struct('b' AS role, bigram AS need), struct('w' AS role, word AS need))) AS role, need WHERE {_ASKING}"
+_NEEDS = "SELECT DISTINCT need AS k FROM {asked}"
+
+# Final trigrams that many texts share are joined in parts.
+_ANSWERS = r"""
+SELECT h, max(CASE WHEN role = 't' THEN e END) AS t, max(CASE WHEN role = 'b' THEN e END) AS b, max(CASE WHEN role = 'w' THEN e END) AS w
+FROM (SELECT h, role, need, pmod(h, SALT) AS salt FROM {asked}) AS a
+JOIN (SELECT need, salt, struct(inside, marked, line_end, bare, open, longer, longer_bare) AS e FROM {evidence} LATERAL VIEW explode(sequence(0, SALT - 1)) AS salt) AS e ON a.need = e.need AND a.salt = e.salt
+GROUP BY h
+""".replace("SALT", str(SALT))
+
+_UNSPACED_ANSWERS = r"""
+SELECT f.h, max(u.ends / u.places) AS before_blank FROM (SELECT h, tail FROM {finals} LATERAL VIEW explode(ends) AS tail) AS f JOIN {unspaced} AS u ON f.tail = u.tail
+WHERE u.places >= 2 GROUP BY f.h
+"""
+
+_LENGTHS = r"""
+SELECT source, n_chars, same, n_texts FROM (SELECT source, n_chars, count(*) AS same FROM {finals} GROUP BY source, n_chars) JOIN (SELECT source AS s, count(*) AS n_texts FROM {finals} GROUP BY source) ON source = s
+WHERE same >= 3 AND same >= 0.02 * n_texts
+"""
+
+# The own end of a text is left out of the counts of its trigram and its word.
 _VERDICTS = r"""
 SELECT h, CASE
-  WHEN line RLIKE '�["”’…]*$' THEN 'broken character'
-  WHEN raw RLIKE '^\\p{{P}}+$' AND NOT marked AND line RLIKE '\\p{{L}}' AND n_words > 1 AND NOT line RLIKE '[)\\]）」』”’"]$' AND opener <> raw THEN 'mark inside'
-  WHEN marked AND open_quote THEN 'open quotation'
-  WHEN marked AND number_mark AND coalesce(inside3, 0) >= 3 AND final3 < 0.2 * (inside3 + final3) THEN 'number'
-  WHEN marked AND raw RLIKE '\\.$' AND NOT number_mark AND coalesce(w_inside, 0) >= 40 AND w_ending < 0.01 * w_inside THEN 'abbreviation'
+  WHEN broken THEN 'broken character'
+  WHEN NOT worded OR NOT lettered THEN NULL
+  WHEN marked AND number_mark AND places3 >= ENOUGH AND finals3 < NEVER * places3 THEN 'number'
+  WHEN marked AND stop AND NOT number_mark AND coalesce(w.marked, 0) > ENOUGH AND w.line_end - 1 < NEVER * w.marked THEN 'abbreviation'
   WHEN marked THEN NULL
-  WHEN trailing AND raw RLIKE '^\\p{{P}}+$' THEN 'mark inside'
-  WHEN trailing AND (same >= 3 AND same >= 0.02 * n_texts) THEN 'field limit'
-  WHEN trailing AND coalesce(k_seen, 0) < 1 THEN 'word'
-  WHEN trailing AND coalesce(inside3, 0) >= 3 AND final3 < 0.1 * (inside3 + final3) THEN 'sentence'
+  WHEN trailing AND places3 > 0 AND finals3 < NEVER * places3 THEN 'trigram'
+  WHEN trailing AND (same IS NOT NULL OR mark_apart) THEN 'field limit'
+  WHEN trailing AND seen1 < 1 THEN 'word'
   WHEN trailing THEN NULL
-  WHEN NOT line RLIKE '\\p{{L}}' THEN NULL
-  WHEN inside3 >= 3 AND final3 < 0.1 * (inside3 + final3) THEN 'sentence'
-  WHEN bare3 >= 3 AND bare3 >= 0.5 * (inside3 + final3) AND NOT raw RLIKE '[,;:،、—–-]$' THEN NULL
-  WHEN line RLIKE '^[\\[(（].*[\\])）]$' THEN NULL
-  WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '^[—–-]' THEN NULL
-  WHEN n_lines > 1 AND n_words <= 4 AND line RLIKE '[,،、] ?(\\p{{L}}+ )?\\p{{Nd}}+$' THEN NULL
-  WHEN line RLIKE '[฀-๿]$' THEN CASE WHEN before_blank >= 1 THEN NULL ELSE 'sentence' END
-  WHEN n_lines > 1 AND n_words IN (2, 3) AND coalesce(bare_rows, 0) >= 2 AND bare_rows > o_marked THEN NULL
-  WHEN n_lines > 1 AND n_words = 1 AND (k_seen >= 1 OR bare_rows >= 2) AND o_bare + 1 >= 0.1 * o_marked AND coalesce(longer, 0) < 5 * (bare_rows + 1) THEN NULL
-  WHEN coalesce(k_seen, 0) < 1 THEN 'word'
+  WHEN unspaced THEN CASE WHEN before_blank < 0.5 THEN 'trigram' END
+  WHEN places3 >= ENOUGH AND bare3 < NEVER * places3 THEN 'trigram'
+  WHEN bare3 >= NEVER * places3 AND bare3 > 0 AND NOT comma THEN NULL
+  WHEN bracketed OR dashed OR dated THEN NULL
+  WHEN places3 > 0 AND (n_words > 1 OR n_lines = 1 OR seen1 < 1) THEN 'trigram'
+  WHEN places3 = 0 AND coalesce(b.longer, 0) - 1 >= 3 AND b.longer_bare - 1 >= 0.5 * (b.longer - 1) AND NOT comma THEN NULL
+  WHEN n_words = 1 AND n_lines > 1 AND seen1 >= 1 THEN NULL
+  WHEN seen1 < 1 THEN 'word'
   ELSE 'sentence' END AS reason
-FROM (SELECT *, rows - own AS bare_rows, bare - CASE WHEN own = 1 AND alone = 1 AND line = opener THEN 1 ELSE 0 END AS o_bare FROM {finals}
-LEFT JOIN (SELECT tri AS tri_, inside AS inside3, final - 1 AS final3, bare - 1 AS bare3 FROM {trigrams}) ON tri = tri_
-LEFT JOIN (SELECT raw AS raw_, inside AS w_inside, ending AS w_ending FROM {words}) ON raw = raw_
-LEFT JOIN (SELECT word AS word_, seen AS k_seen FROM {known}) ON word = word_
-LEFT JOIN (SELECT opener AS opener_, marked AS o_marked, bare, bare_rows AS rows, alone FROM {openers}) ON opener = opener_
-LEFT JOIN (SELECT opener AS b_, longer FROM {beginnings}) ON opener = b_
-LEFT JOIN (SELECT tail6 AS t_, before_blank FROM {unspaced}) ON tail6 = t_
-LEFT JOIN (SELECT source AS s_, n_chars AS c_, same, n_texts FROM {lengths}) ON source = s_ AND n_chars = c_)
-"""
+FROM (
+  SELECT f.*, a.b, a.w, same, before_blank, coalesce(a.t.inside + a.t.marked + a.t.bare + a.t.longer - 1, 0) AS places3, coalesce(a.t.marked + a.t.bare - 1, 0) AS finals3, coalesce(a.t.bare - 1, 0) AS bare3,
+    coalesce(a.w.inside + a.w.marked + a.w.bare + a.w.open - 1, 0) AS seen1
+  FROM {finals} AS f LEFT JOIN {answers} AS a ON f.h = a.h LEFT JOIN {lengths} AS l ON f.source = l.source AND f.n_chars = l.n_chars LEFT JOIN {ends} AS u ON f.h = u.h)
+""".replace("ENOUGH", str(ENOUGH)).replace("NEVER", str(ALMOST_NEVER))
 
 
 def truncation(df: DataFrame, key: str, text: str, source: str, most_copies: int = MOST_COPIES) -> DataFrame:
     """key, source, is_cut, reason: one row per text that is neither null nor blank.
 
-    Hashes of texts with copies are sent to all tasks while there are at most
-    ``most_copies``, and joined by a shuffle beyond.
+    The filter of texts with copies is made for ``most_copies``; with more of
+    them more texts than need be are exchanged.
     """
     spark = df.sparkSession
-    sql = lambda q, **views: spark.sql(q, **views)
-    texts = sql(_ROWS, rows=df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{source}` AS source"))
-    copied = cut_lineage(sql(_COPIED, texts=texts))
-    copied = F.broadcast(copied) if copied.limit(most_copies + 1).count() <= most_copies else copied
-    one_of = cut_lineage(sql(_ONE_OF, copies=texts.join(copied, "h", "left_semi")))
-    distinct = texts.join(copied, "h", "left_anti").select("h", "text").unionByName(one_of)
+    size = 1 << max(0, (most_copies // 4).bit_length())
+
+    def sql(query: str, might: tuple[str, str, int] | None = None, **views: DataFrame) -> DataFrame:
+        if might:
+            view, k, words = might
+            query = query.replace("MIGHT", _MIGHT.format(view=view, k=k, last=words - 1))
+        return spark.sql(query, **views)
+
+    def filter_of(keys: DataFrame, words: int) -> DataFrame:
+        return cut_lineage(sql(_FILTER.format(size=words), words=sql(_BITS.format(last=words - 1), keys=keys)))
+
+    rows = df.selectExpr(f"`{key}` AS key", f"`{text}` AS text", f"`{source}` AS source")
+    heads = cut_lineage(sql(_HEADS, rows=rows))
+    copied = filter_of(sql(_COPIED, heads=heads), size)
+    distinct = sql(_DISTINCT, ("copied", "h", size), rows=rows, copied=copied).unionByName(sql(_ONE_OF, ("copied", "h", size), rows=rows, copied=copied))
     lines = sql(_LINES, distinct=distinct)
-    words = cut_lineage(sql(_WORDS, lines=lines))
-    openers = cut_lineage(sql(_OPENERS, lines=lines))
-    tails = cut_lineage(sql(_TAILS, texts=texts))
-    verdicts = sql(
-        _VERDICTS, finals=sql(_FINALS, tails=tails), trigrams=sql(_TRIGRAMS, lines=lines), words=words, known=sql(_KNOWN, words=words), openers=openers,
-        beginnings=sql(_BEGINNINGS, openers=openers), unspaced=sql(_UNSPACED, lines=lines), lengths=sql(_LENGTHS, tails=tails),
-    )
-    return sql("SELECT t.key, t.source, v.reason IS NOT NULL AS is_cut, v.reason FROM {keys} AS t JOIN {verdicts} AS v ON t.h = v.h", keys=sql(_KEYS, texts=texts), verdicts=verdicts)
+    single = sql(_SINGLE, ("copied", "h", size), heads=heads, copied=copied).unionByName(sql(_SINGLE_OF, ("copied", "h", size), heads=heads, copied=copied))
+    finals = cut_lineage(sql(_FINALS, single=single))
+    contexts = filter_of(sql(_CONTEXTS, finals=finals), FILTER)
+    asked = sql(_ASKED, finals=finals)
+    needs = filter_of(sql(_NEEDS, asked=asked), FILTER)
+    counts = sql(_COUNTS, ("contexts", "ctx", FILTER), lines=lines, contexts=contexts)
+    evidence = sql(_EVIDENCE, ("needs", "need", FILTER), counts=counts, needs=needs)
+    unspaced = sql(_UNSPACED, ("contexts", "xxhash64(seen.tail)", FILTER), unspaced=sql(_LINES, distinct=distinct.where("text RLIKE '[฀-๿]'")), contexts=contexts)
+    verdicts = sql(_VERDICTS, finals=finals, answers=sql(_ANSWERS, asked=asked, evidence=evidence), lengths=sql(_LENGTHS, finals=finals), ends=sql(_UNSPACED_ANSWERS, finals=finals, unspaced=unspaced))
+    keys = sql("SELECT key, row.source, row.h FROM (SELECT key, min(struct(h, source)) AS row FROM {heads} GROUP BY key)", heads=heads)
+    return sql("SELECT t.key, t.source, v.reason IS NOT NULL AS is_cut, v.reason FROM {keys} AS t JOIN {verdicts} AS v ON t.h = v.h", keys=keys, verdicts=verdicts)
 
 
 def rates(found: DataFrame) -> DataFrame:
