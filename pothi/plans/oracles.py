@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pothi.functions.lexical import PROSE_WORDS_EN, PROSE_WORDS_MR, STOPWORDS, SUFFIXES
 from pothi.operators.retrieval import TIER_WEIGHTS
+from pothi.plans import texts
 
 _SPACE = r"[\s\x{0085}\x{00A0}\x{2007}\x{202F}\x{3000}]"
 _list = lambda xs: ", ".join("'" + x + "'" for x in xs)
@@ -161,3 +162,4 @@ SQL = {
     "J10_filled_ids": "SELECT coalesce(nullif(trim(name, ' '), ''), ts || '-' || (row_number() OVER (PARTITION BY ts ORDER BY path, name NULLS FIRST) - 1)) AS id, ts, path FROM (SELECT DISTINCT ts, name, path FROM access_log)",
     "K29_word_count": f"SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS n_words FROM {_DOCS}",
 }
+SQL |= texts.SQL

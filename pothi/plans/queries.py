@@ -13,6 +13,7 @@ from pothi.operators import logs as lo
 from pothi.operators import matching as ma
 from pothi.operators import reader as rd
 from pothi.operators import retrieval as re_
+from pothi.plans import texts
 from pothi.sources.tables import latest
 from pothi.sources.tables import table as t
 
@@ -480,4 +481,4 @@ def k29_word_count(s, d):
 
 
 _ALL = [f for n, f in list(globals().items()) if n[0] in "acdefghijks" and n[1:3].isdigit() and callable(f)]
-QUERIES = {f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}
+QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES}
