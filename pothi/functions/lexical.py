@@ -28,7 +28,8 @@ def words(text: Column) -> Column:
 def stem(token: Column) -> Column:
     """Token without the first listed ending that leaves two characters; null if none does."""
     fits = F.filter(F.array(*[F.lit(s) for s in SUFFIXES]), lambda s: F.endswith(token, s) & (F.length(token) - F.length(s) >= 2))
-    return F.when(F.size(fits) > 0, F.left(token, F.length(token) - F.length(F.get(fits, F.lit(0)))))
+    # One pattern tells the many tokens without an ending.
+    return F.when(token.rlike(f"({'|'.join(SUFFIXES)})$"), F.when(F.size(fits) > 0, F.left(token, F.length(token) - F.length(F.get(fits, F.lit(0))))))
 
 
 def trimmed(token: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pothi.functions.lexical import index_terms, trimmed, words
+from pothi.plans.lineage import cut
 
 K1, B = 1.5, 0.75
 # Score added by intent and tier, bonuses of primary authors, duplicate threshold.
@@ -33,28 +34,54 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return terms(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+_ROW = "\u0001"
+
+
+def hits(df: DataFrame, key: str, text: str, asked: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
+    """key, term, tf, dl of every text: one row per term of asked(term) it has, and one with a null term.
+
+    Texts are taken apart once and stay where they are; what is exchanged are the
+    counts of asked terms and one count of all others. A text whose key occurs
+    twice counts once (the text of the least hash). The asked terms go to all
+    tasks while there are at most ``most_terms``, beyond by a shuffle.
+    """
+    few = asked.limit(most_terms + 1).count() <= most_terms
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.explode(F.concat(F.array(F.lit(_ROW)), words(F.col(text)))).alias("raw"))
+    token = trimmed(F.col("raw"))
+    occurs = rows.select("key", "h", F.explode(F.when(F.col("raw") == _ROW, F.array(F.lit(_ROW))).otherwise(index_terms(token))).alias("term"))
+    wanted = asked.select(F.col("term").alias("asked")).distinct()
+    marked = occurs.join(F.broadcast(wanted) if few else wanted, F.col("term") == F.col("asked"), "left")
+    counted = marked.groupBy("key", "h", F.when(F.col("term") == _ROW, F.col("term")).otherwise(F.col("asked")).alias("term")).agg(F.count("*").alias("n"))
+    # Repeated rows: a row's mark counts its copies.
+    per = counted.groupBy("key", "h").agg(F.sum(F.when(F.col("term") == _ROW, F.col("n"))).alias("copies"), F.sum(F.when(F.col("term") == _ROW, 0).otherwise(F.col("n"))).alias("all"), F.collect_list(F.when(F.col("term") != _ROW, F.struct("term", "n"))).alias("found"))
+    one = per.groupBy("key").agg(F.min_by(F.struct("copies", "all", "found"), "h").alias("r"))
+    blank = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n")))
+    each = one.select("key", "r.copies", "r.all", F.explode(F.concat(F.col("r.found"), blank)).alias("f"))
+    return each.select(F.col("key").alias(key), "f.term", F.floor(F.col("f.n") / F.col("copies")).alias("tf"), F.floor(F.col("all") / F.col("copies")).alias("dl"))
+
+
+def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, most_terms: int = MOST_TERMS) -> DataFrame:
     """query, key, score of every text sharing a term with a query.
 
-    Statistics are those of ``df``: filter first and they are the subset's. The
-    terms of the queries are sent to all tasks while there are at most
-    ``MOST_TERMS``, and joined by a shuffle beyond.
+    Statistics are those of ``df``: filter first and they are the subset's.
     """
-    post = postings(df, key, text)
     asked = terms(queries, query_key, query_text).distinct()
-    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    asked_terms = asked.select("term").distinct()
-    wanted = post.join(F.broadcast(asked_terms) if few else asked_terms, "term", "left_semi")
-    lengths = post.groupBy(key).agg(F.sum("tf").alias("dl"))
-    total = df.select(key).distinct().agg(F.count("*").alias("n_docs"))
-    stats = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).crossJoin(total)
+    have = cut(hits(df, key, text, asked.select("term"), most_terms))
+    stats = have.where("term IS NULL").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
     stats = stats.select("n_docs", F.greatest(F.lit(1.0), F.col("tokens") / F.greatest(F.lit(1), F.col("n_docs"))).alias("avgdl"))
-    df_t = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = wanted.join(df_t, "term").join(lengths, key).crossJoin(F.broadcast(stats))
+    wanted = have.where("term IS NOT NULL")
+    # One row per asked term, as the asked ones.
+    df_t = wanted.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term").crossJoin(F.broadcast(stats))
+    few = asked.limit(most_terms + 1).count() <= most_terms
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.select(key, "term", part.alias("part"))
-    return scored.join(F.broadcast(asked) if few else asked, "term").groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    return wanted.join(F.broadcast(df_t) if few else df_t, "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def with_zeros(scores: DataFrame, queries: DataFrame, query_key: str, docs: DataFrame, key: str) -> DataFrame:
+    """query, key, score of every text for a stated set of queries, 0 where no term is shared."""
+    every = F.broadcast(queries.select(query_key).distinct()) if queries.limit(1001).count() <= 1000 else queries.select(query_key).distinct()
+    return docs.select(key).distinct().crossJoin(every).join(scores, [query_key, key], "left").select(query_key, key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def top(df: DataFrame, partition: str | list[str], score: str, tie: str, k: int, name: str = "rank") -> DataFrame:
@@ -116,10 +143,34 @@ def tier_weight(intent: Column, tier_: Column, primary: Column) -> Column:
     return base + F.when((tier_ == "canonical") & primary, PRIMARY_BONUS).otherwise(0.0)
 
 
+def ranked(scores: DataFrame, by: list[str], score: str, key: str) -> DataFrame:
+    """``scores`` with r: places 1 to n within ``by``, best first."""
+    return scores.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), F.asc(key))))
+
+
 def fuse(rankings: DataFrame, query: str, key: str, lists: str, score: str, k: int = RRF_K) -> DataFrame:
     """query, key, fused: reciprocal ranks summed over the lists; scores of 0 or less aren't ranked in list ``lexical``."""
-    ranked = rankings.where((F.col(lists) != "lexical") | (F.col(score) > 0)).withColumn("r", F.row_number().over(W.partitionBy(query, lists).orderBy(F.desc(score), F.asc(key))))
-    return ranked.groupBy(query, key).agg(F.round(F.sum(1.0 / (k + F.col("r"))), 9).alias("fused"))
+    places = ranked(rankings.where((F.col(lists) != "lexical") | (F.col(score) > 0)), [query, lists], score, key)
+    return places.groupBy(query, key).agg(F.round(F.sum(1.0 / (k + F.col("r"))), 9).alias("fused"))
+
+
+def fused_candidates(dense: DataFrame, lexical: DataFrame, about: DataFrame, query: str, key: str, intents: DataFrame, candidates: int = 100, weigh_quality: bool = False) -> DataFrame:
+    """query, key, fused, rank: the pool that is diversified later.
+
+    dense(query, variant, key, score) holds a score list per variant of a query,
+    lexical(query, key, score) the best lexical score over its variants,
+    about(key, kind, is_primary, quality) what is known of a text and
+    intents(query, intent) what is asked for. Intent and tier weigh every dense
+    score before it is ranked; fused scores get the bonus of primary canonical
+    texts and are multiplied by quality if asked to.
+    """
+    known = about.select(key, tier(F.col("kind")).alias("tier"), F.coalesce("is_primary", F.lit(False)).alias("is_primary"), "quality")
+    weighed = dense.join(known, key).join(intents, query).select(query, key, F.col("variant").cast("string").alias("list"), F.round(F.col("score") + tier_weight(F.col("intent"), F.col("tier"), F.col("is_primary")), 6).alias("score"))
+    fused = fuse(weighed.unionByName(lexical.select(query, key, F.lit("lexical").alias("list"), "score")), query, key, "list", "score")
+    bonus = F.when((F.col("tier") == "canonical") & F.col("is_primary"), FUSED_BONUS).otherwise(0.0)
+    quality = F.coalesce("quality", F.lit(1.0)) if weigh_quality else F.lit(1.0)
+    final = fused.join(known, key).select(query, key, F.round((F.col("fused") + bonus) * quality, 9).alias("fused"))
+    return top(final, query, "fused", key, candidates)
 
 
 def mmr(candidates: DataFrame, query: str, key: str, work: str, score: str, vector: str, k: int = 12, balance: float = 0.7, cap: int = 2, duplicate: float = DUPLICATE) -> DataFrame:

@@ -53,10 +53,23 @@ _READER = f"""(SELECT work_id, id, row_number() OVER (PARTITION BY work_id ORDER
 _KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
 
 
+_DENSE = """dn AS (SELECT item_id, variant, v.vec_id AS doc_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+  FROM (SELECT item_id, 1 AS variant, item_id AS qid FROM gold WHERE query IS NOT NULL UNION ALL SELECT item_id, 2, item_id + 240 FROM gold WHERE query IS NOT NULL) JOIN embeddings q ON q.vec_id = qid CROSS JOIN embeddings v)"""
+_RRF = lambda dense: f"""rk AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id, variant ORDER BY score DESC, doc_id) AS r FROM {dense} UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) FROM scored WHERE score > 0),
+  fused AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + r)), 9) AS fused FROM rk GROUP BY ALL)"""
+_ABOUT = """about AS (SELECT DISTINCT doc_id, kind, coalesce(d.author IN ('lokesh-mani-th', 'pinor-rudh'), false) AS prim, CASE WHEN kind = 'canonical' AND coalesce(d.author IN ('lokesh-mani-th', 'pinor-rudh'), false) THEN 0.003 ELSE 0 END AS bonus, n_chars
+  FROM documents d LEFT JOIN works USING (work_id))"""
+
+
 def _weights() -> str:
     return " ".join(f"WHEN intent = '{k}' THEN CASE {_TIER} WHEN 'canonical' THEN {a} WHEN 'reference' THEN {c} ELSE {b} END" for k, (a, b, c) in TIER_WEIGHTS.items())
 
 
+_ASKED = f"""(SELECT item_id, CASE WHEN top = 0 OR (CASE WHEN a = top THEN 1 ELSE 0 END + CASE WHEN b = top THEN 1 ELSE 0 END + CASE WHEN c = top THEN 1 ELSE 0 END) > 1 THEN 'unknown' WHEN a = top THEN 'doctrinal' WHEN b = top THEN 'narrative' ELSE 'navigational' END AS intent
+  FROM (SELECT *, greatest(a, b, c) AS top FROM (SELECT item_id, {texts._hits['doctrinal']} AS a, {texts._hits['narrative']} AS b, {texts._hits['navigational']} AS c FROM (SELECT item_id, lower(query) AS low FROM gold WHERE query IS NOT NULL))))"""
+_WEIGHED = f"""wd AS (SELECT item_id, variant, doc_id, round(score + (CASE {_weights()} ELSE CASE {_TIER} WHEN 'canonical' THEN 0.02 WHEN 'reference' THEN -0.08 ELSE 0.02 END END) + CASE WHEN kind = 'canonical' AND prim THEN 0.04 ELSE 0 END, 6) AS score
+  FROM dn JOIN about USING (doc_id) JOIN {_ASKED} USING (item_id))"""
+
 SQL = {
     "C01_metadata_filter": f"SELECT id, kind, language FROM {_CHUNKS} WHERE kind = 'canonical' AND language = 'mr' AND kind_level = 'parent'",
     "C02_chunk_tier": f"SELECT {_TIER} AS tier, count(*) AS n FROM {_CHUNKS} GROUP BY ALL",
@@ -75,7 +88,7 @@ SQL = {
     "D01_kind_rollup": f"SELECT kind, language, count(*) AS chunks, count(DISTINCT work_id) AS works FROM {_CHUNKS} GROUP BY GROUPING SETS ((kind), (language), ())",
     "D02_tallies": f"SELECT kind, kind_level, count(*) AS n, sum(token_estimate) AS tokens FROM {_CHUNKS} GROUP BY ALL",
     "D03_library_stats": "SELECT about_member, count(*) AS stories, count(*) FILTER (coalesce(len(variants), 0) >= 2) AS several, sum(coalesce(len(variants), 0)) AS variants, count(*) FILTER (consolidated IS NOT NULL) AS consolidated FROM meta GROUP BY about_member",
-    "D04_term_stats": f"SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM ({_terms(_DOCS, 'doc_id', 'text')}) GROUP BY ALL) GROUP BY term HAVING count(*) >= 20",
+    "D04_term_stats": f"SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM ({_terms(_DOCS, 'doc_id', 'text')}) GROUP BY ALL) GROUP BY term",
     "D05_works_catalog": f"SELECT work_id, id AS first_id, title, language FROM {_CHUNKS} QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY id) = 1",
     "D06_running_headers": f"""SELECT source_path, line, count(*) AS n FROM (SELECT source_path, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM {_CHUNKS} WHERE kind_level = 'parent')
       WHERE length(line) > 3 AND length(line) <= 80 AND NOT regexp_matches(line, '^[०-९\\d\\s।॥\\-\\.]+$') GROUP BY ALL HAVING count(*) >= 2""".replace(">= 2", ">= greatest(2, 2)"),
@@ -116,9 +129,18 @@ SQL = {
     "G08_mentioned_work": f"""WITH q AS (SELECT DISTINCT question FROM access_log WHERE question IS NOT NULL), w AS (SELECT DISTINCT work_id, {_KEY.format('title')} AS k FROM (SELECT work_id, unnest([title, title_en]) AS title FROM works) WHERE length(trim(title)) >= 8)
       SELECT question, CASE WHEN count(DISTINCT work_id) = 1 THEN min(work_id) END AS work_id, CASE count(DISTINCT work_id) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS method FROM q LEFT JOIN w ON contains({_KEY.format('question')}, k) GROUP BY question""",
     "G13_semi_join": "SELECT work_id, title FROM works WHERE work_id IN (SELECT work_id FROM quotes WHERE work_id <> '')",
-    "H02_rrf": f"""{_B}, lens AS ({_top(50, '(SELECT item_id, doc_id, n_chars FROM scored JOIN (SELECT DISTINCT doc_id, n_chars FROM documents) USING (doc_id))', 'item_id', 'n_chars DESC, doc_id', 'r')}),
-      lx AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0),
-      fused AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + r)), 9) AS fused FROM (SELECT item_id, doc_id, r FROM lens UNION ALL SELECT * FROM lx) GROUP BY ALL) {_top(10, 'fused', 'item_id', 'fused DESC, doc_id')}""",
+    "H02_rrf": f"""{_B}, {_DENSE}, {_RRF('dn')} {_top(10, 'fused', 'item_id', 'fused DESC, doc_id')}""",
+    "H01_ranks": "SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0",
+    "H03_fused_candidates": f"""{_B}, {_DENSE}, {_ABOUT}, {_WEIGHED}, {_RRF('wd')}, fin AS (SELECT item_id, doc_id, round(fused + bonus, 9) AS fused FROM fused JOIN about USING (doc_id)) {_top(100, 'fin', 'item_id', 'fused DESC, doc_id')}""",
+    "C05_quality_weights": f"""{_B}, {_DENSE}, {_ABOUT}, {_WEIGHED}, {_RRF('wd')}, fin AS (SELECT item_id, doc_id, round((fused + bonus) * CASE WHEN n_chars < 200 THEN 0.5 ELSE 1.0 END, 9) AS fused FROM fused JOIN about USING (doc_id)) {_top(10, 'fin', 'item_id', 'fused DESC, doc_id')}""",
+    "C04_primary_bonus": f"WITH {_ABOUT} SELECT kind, prim AS is_primary, count(*) AS n, round(sum(bonus), 6) AS bonus FROM about GROUP BY ALL",
+    "E04_zero_filled": f"{_B} SELECT item_id, count(*) AS n, count(*) FILTER (coalesce(score, 0) = 0) AS zeros, round(max(coalesce(score, 0)), 6) AS best FROM {_GOLD} CROSS JOIN (SELECT DISTINCT doc_id FROM {_DOCS}) LEFT JOIN scored USING (item_id, doc_id) GROUP BY item_id",
+    "F05_best_cosine": f"WITH {_DENSE}, b AS (SELECT item_id, doc_id, max(score) AS score FROM dn GROUP BY ALL) {_top(20, 'b')}",
+    "I01_candidates": f"{_B} {_top(100)}",
+    "J03_near_vectors": "SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) WHERE score >= 0.3",
+    "D04_lengths": f"WITH l AS (SELECT doc_id, count(*) AS dl FROM ({_terms(_DOCS, 'doc_id', 'text')}) GROUP BY doc_id) SELECT doc_id, dl, (SELECT count(*) FROM l) AS n_docs, round((SELECT sum(dl) FROM l) / (SELECT count(*) FROM l), 6) AS avgdl FROM l",
+    "I06_parents_without_cap": "WITH kids AS (SELECT * FROM " + _CHUNKS + " WHERE kind_level = 'child'), " + _bm25("kids", "id", "text", _GOLD, "item_id", "query") + f", ranked AS ({_top(100, 'scored', 'item_id', 'score DESC, id')}), "
+    "f AS (SELECT item_id, parent_id, work_id, min(rank) AS best, count(*) AS m FROM ranked JOIN kids USING (id) GROUP BY ALL) SELECT item_id, parent_id, work_id, row_number() OVER (PARTITION BY item_id ORDER BY best) AS place, least(m, 3) AS children FROM f QUALIFY place <= 12",
     "H07_verse_runs": f"""WITH p AS {_READER}, o AS (SELECT *, is_verse OR (len < 600 AND NOT is_heading) AS op FROM p), r AS (SELECT *, n - row_number() OVER (PARTITION BY work_id, op ORDER BY n) AS isl FROM o)
       SELECT id, op AND bool_or(op AND is_verse) OVER (PARTITION BY work_id, op, isl) AS in_verse FROM r""",
     "H08_pages": f"""WITH p AS {_READER}, a AS (SELECT *, CASE WHEN chapter = lag(chapter) OVER w THEN 0 ELSE 1 END AS t FROM p WINDOW w AS (PARTITION BY work_id ORDER BY n)), b AS (SELECT *, sum(t) OVER (PARTITION BY work_id ORDER BY n) AS run FROM a),

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pothi.functions import lexical as lx
+from pothi.functions import text as tx
 from pothi.operators import citations as ci
 from pothi.operators import corpus as co
 from pothi.operators import logs as lo
@@ -101,8 +102,16 @@ def d03_library_stats(s, d):
 
 
 def d04_term_stats(s, d):
+    """Documents and places of every term."""
     post = re_.postings(_documents(s, d, "doc_id", "text"), "doc_id", "text")
-    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
+    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def d04_lengths(s, d):
+    """Terms of each document, of all and on average."""
+    per = re_.terms(_documents(s, d, "doc_id", "text"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("dl"))
+    total = per.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("tokens"))
+    return per.crossJoin(F.broadcast(total)).select("doc_id", "dl", "n_docs", F.round(F.col("tokens") / F.col("n_docs"), 6).alias("avgdl"))
 
 
 def d05_works_catalog(s, d):
@@ -271,11 +280,79 @@ def g13_semi_join(s, d):
     return t(s, d, "works", "work_id", "title").join(used, "work_id", "left_semi")
 
 
+def _dense(s, d):
+    """item_id, variant, doc_id, score: the vectors of the documents of the same number against two vectors of each test question."""
+    v = t(s, d, "embeddings", "vec_id", "embedding")
+    asked = _gold(s, d).select("item_id", F.explode(F.array(F.struct(F.lit(1).alias("variant"), F.col("item_id").alias("vec_id")), F.struct(F.lit(2).alias("variant"), (F.col("item_id") + 240).alias("vec_id")))).alias("q")).select("item_id", "q.variant", "q.vec_id")
+    q = asked.join(v, "vec_id").select((F.col("item_id") * 10 + F.col("variant")).alias("query_id"), F.col("embedding").alias("query_vector"))
+    scores = re_.cosine_scores(v, "vec_id", "embedding", q, "query_id", "query_vector")
+    return scores.select(F.floor(F.col("query_id") / 10).alias("item_id"), (F.col("query_id") % 10).cast("int").alias("variant"), F.col("vec_id").alias("doc_id"), "score")
+
+
+def h01_ranks(s, d):
+    v, q = _vectors(s, d)
+    return re_.ranked(re_.cosine_scores(v, "vec_id", "embedding", q, "query_id", "query_vector"), ["query_id"], "score", "vec_id").select("query_id", "vec_id", F.col("r").alias("rank"))
+
+
 def h02_rrf(s, d):
     lexical = _scores(s, d).select("item_id", "doc_id", F.lit("lexical").alias("list"), "score")
-    lengths = re_.top(_scores(s, d).join(_documents(s, d, "doc_id", "n_chars"), "doc_id"), "item_id", "n_chars", "doc_id", 50).select("item_id", "doc_id", F.lit("dense").alias("list"), F.col("n_chars").cast("double").alias("score"))
-    fused = re_.fuse(lexical.unionByName(lengths), "item_id", "doc_id", "list", "score")
-    return re_.top(fused, "item_id", "fused", "doc_id", 10)
+    dense = _dense(s, d).select("item_id", "doc_id", F.concat(F.lit("dense "), "variant").alias("list"), "score")
+    return re_.top(re_.fuse(lexical.unionByName(dense), "item_id", "doc_id", "list", "score"), "item_id", "fused", "doc_id", 10)
+
+
+def _about(s, d):
+    works = t(s, d, "works", "work_id", "kind")
+    docs = _documents(s, d, "doc_id", "work_id", "author", "n_chars").join(F.broadcast(works), "work_id", "left")
+    return docs.select("doc_id", "kind", F.coalesce(F.col("author").isin("lokesh-mani-th", "pinor-rudh"), F.lit(False)).alias("is_primary"), F.when(F.col("n_chars") < 200, 0.5).alias("quality"))
+
+
+def _intents(s, d):
+    return _gold(s, d).select("item_id", tx.intent(F.col("query")).alias("intent"))
+
+
+def h03_fused_candidates(s, d):
+    """The pool of a hundred documents of each test question."""
+    return re_.fused_candidates(_dense(s, d), _scores(s, d), _about(s, d), "item_id", "doc_id", _intents(s, d))
+
+
+def c04_primary_bonus(s, d):
+    """What intent, tier and the bonus of primary authors add to a document of each kind."""
+    add = F.when((re_.tier(F.col("kind")) == "canonical") & F.col("is_primary"), re_.FUSED_BONUS).otherwise(0.0)
+    return _about(s, d).groupBy("kind", "is_primary").agg(F.count("*").alias("n"), F.round(F.sum(add), 6).alias("bonus"))
+
+
+def c05_quality_weights(s, d):
+    """The first ten of the pool when its scores are weighed by quality."""
+    return re_.fused_candidates(_dense(s, d), _scores(s, d), _about(s, d), "item_id", "doc_id", _intents(s, d), 10, weigh_quality=True)
+
+
+def e04_zero_filled(s, d):
+    """Scores of the test questions for all documents, those without a common word too, summed up."""
+    q = _gold(s, d)
+    every = re_.with_zeros(_scores(s, d), q, "item_id", _documents(s, d, "doc_id", "text").where("text IS NOT NULL"), "doc_id")
+    return every.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") == 0).alias("zeros"), F.round(F.max("score"), 6).alias("best"))
+
+
+def f05_best_cosine(s, d):
+    """The better of a question's two cosines for each document, of the twenty best."""
+    best = _dense(s, d).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
+    return re_.top(best, "item_id", "score", "doc_id", 20)
+
+
+def i01_candidates(s, d):
+    return re_.top(_scores(s, d), "item_id", "score", "doc_id", 100)
+
+
+def i06_parents_without_cap(s, d):
+    c = _chunks(s, d, "parent_id", "work_id", "kind_level", "text").where("kind_level = 'child'")
+    ranked = re_.top(re_.bm25(c, "id", "text", _gold(s, d), "item_id", "query"), "item_id", "score", "id", 100)
+    return re_.parents_of(ranked.join(c.select("id", "parent_id", "work_id"), "id"), "item_id", "rank", "parent_id", "work_id", 12, 1_000_000, 3)
+
+
+def j03_near_vectors(s, d):
+    """Vectors whose cosine with one of the stated ones is 0.3 or more."""
+    v, q = _vectors(s, d)
+    return re_.cosine_scores(v, "vec_id", "embedding", q, "query_id", "query_vector").where("vec_id <> query_id AND score >= 0.3")
 
 
 def h04_children(s, d):
