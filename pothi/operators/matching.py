@@ -20,39 +20,65 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def story_scores(candidates: DataFrame, stories: DataFrame) -> DataFrame:
-    """key, story_id, score, people, places, hits of candidates and stories with any of them in common.
+    """key, story_id, score, about, people, places, hits of candidates and stories that share a place or two people.
 
-    Of a story only what an equi-join can find is compared: member, people and
-    places are exploded to features, and only pairs with a feature in common (a
-    score above 0 needs one, or phrase hits alone, which give 1 and never reach a
-    bucket) are scored.
+    Of pairs that share the member only, none is written: they all score 2, and
+    ``story_match`` names them by the member.
     """
-    def features(df: DataFrame, key: str) -> DataFrame:
-        col = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(kind), x))
-        one = F.when(F.col("about_member").isNotNull(), F.array(F.concat(F.lit("m:"), "about_member"))).otherwise(F.array().cast("array<string>"))
-        return df.select(F.col(key), F.explode(F.array_distinct(F.concat(one, col("p:", F.col("key_people")), col("l:", F.col("locations"))))).alias("feature"))
-
-    met = features(candidates, "key").join(features(stories, "story_id"), "feature")
-    kind = lambda k: F.count_if(F.substring("feature", 1, 2) == k)
-    sums = met.groupBy("key", "story_id").agg(kind("m:").alias("about"), kind("p:").alias("people"), kind("l:").alias("places"))
-    base = F.when(F.col("about") > 0, 2).otherwise(0) + F.when(F.col("people") >= 2, 1).otherwise(0) + F.when(F.col("places") >= 1, 1).otherwise(0)
-    likely = sums.withColumn("base", base).where("base >= 1")
-    texts = candidates.select("key", "raw_text")
-    phrases = stories.select("story_id", F.coalesce("fingerprint_phrases", F.array().cast("array<string>")).alias("phrases"))
+    names = lambda df, key, c: df.select(key, F.explode(F.array_distinct(c)).alias("name"))
+    shared = lambda c: names(candidates, "key", c).join(names(stories, "story_id", c), "name").groupBy("key", "story_id").agg(F.count("*").alias("n"))
+    people, places = shared("key_people").where("n >= 2").withColumnRenamed("n", "people"), shared("locations").withColumnRenamed("n", "places")
+    met = people.join(places, ["key", "story_id"], "full_outer").na.fill(0, ["people", "places"])
+    texts = candidates.select("key", F.col("about_member").alias("member"), "raw_text", F.col("key_people").alias("own_people"))
+    told = stories.select("story_id", "about_member", F.col("key_people").alias("their_people"), F.coalesce("fingerprint_phrases", F.array().cast("array<string>")).alias("phrases"))
     hits = F.size(F.filter("phrases", lambda p: (p != "") & F.col("raw_text").contains(p)))
-    return likely.join(texts, "key").join(phrases, "story_id").select("key", "story_id", "people", "places", hits.alias("hits"), (F.col("base") + F.when(hits >= 2, 1).otherwise(0)).alias("score"))
+    about = F.coalesce(F.col("member") == F.col("about_member"), F.lit(False))
+    pair = met.join(texts, "key").join(told, "story_id").select("key", "story_id", about.alias("about"), F.coalesce(F.size(F.array_intersect("own_people", "their_people")), F.lit(0)).alias("people"), "places", hits.alias("hits"))
+    score = F.when(F.col("about"), 2).otherwise(0) + F.when(F.col("people") >= 2, 1).otherwise(0) + F.when(F.col("places") >= 1, 1).otherwise(0) + F.when(F.col("hits") >= 2, 1).otherwise(0)
+    return pair.withColumn("score", score)
+
+
+def told_again(candidates: DataFrame, stories: DataFrame) -> DataFrame:
+    """key, story_id: candidates with two phrases of a story or more, of a member in common.
+
+    A phrase is found by its longest word, so that a text meets only phrases one
+    word of which it has.
+    """
+    phrases = stories.where("about_member IS NOT NULL").select("story_id", "about_member", F.explode(F.array_distinct("fingerprint_phrases")).alias("p")).where("p <> ''")
+    inner = F.size(F.split("p", r"[ \n]")) >= 3
+    middle = F.slice(F.split("p", r"[ \n]"), 2, F.greatest(F.lit(1), F.size(F.split("p", r"[ \n]")) - 2))
+    longest = F.element_at(F.array_sort(F.transform(middle, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    keyed = phrases.select("story_id", "about_member", "p", F.when(inner, longest).alias("w"))
+    texts = candidates.select("key", "about_member", "raw_text")
+    words = texts.select("key", "about_member", "raw_text", F.explode(F.array_distinct(F.split("raw_text", r"[ \n]"))).alias("w"))
+    found = words.join(keyed.where("w IS NOT NULL"), ["about_member", "w"]).where(F.col("raw_text").contains(F.col("p"))).select("key", "story_id", "p")
+    rest = texts.join(keyed.where("w IS NULL").drop("w"), "about_member").where(F.col("raw_text").contains(F.col("p"))).select("key", "story_id", "p")
+    return found.unionByName(rest).distinct().groupBy("key", "story_id").agg(F.count("*").alias("n")).where("n >= 2").select("key", "story_id")
 
 
 def story_match(candidates: DataFrame, stories: DataFrame) -> DataFrame:
-    """key, bucket, story_id: HIGH with the one best story, MEDIUM with all that tie, LOW with none."""
-    scored = story_scores(candidates, stories)
-    per = W.partitionBy("key")
-    tops = scored.withColumn("best", F.max("score").over(per)).where("score = best AND best >= 2")
-    rank = F.row_number().over(per.orderBy(F.desc("people"), "story_id"))
-    ranked = tops.withColumns({"rank": rank, "sure": F.max(F.when(rank == 1, F.col("hits") >= 1)).over(per)})
-    high = (F.col("best") >= 4) & F.col("sure")
-    kept = ranked.where(~high | (F.col("rank") == 1)).select("key", F.when(high, "HIGH").otherwise("MEDIUM").alias("bucket"), "story_id")
-    return candidates.select("key").join(kept, "key", "left").select("key", F.coalesce("bucket", F.lit("LOW")).alias("bucket"), "story_id")
+    """key, bucket, score, story_id, all_of: HIGH with the one best story, MEDIUM with all that tie, LOW with none.
+
+    A member counts 2, two people 1, a place 1, two phrases 1. HIGH needs 4 and a
+    phrase of the best story (of most people, then of least id). Where stories tie
+    at 2 for being of the candidate's member, one row names them all by ``all_of``,
+    the member, instead of one row a story; stories of others have rows of their own.
+    """
+    paired = story_scores(candidates, stories)
+    # Two phrases and the member without people or places make 3.
+    again = told_again(candidates, stories).join(paired, ["key", "story_id"], "left_anti")
+    scored = paired.unionByName(again.select("key", "story_id", F.lit(True).alias("about"), F.lit(0).alias("people"), F.lit(0).cast("bigint").alias("places"), F.lit(2).alias("hits"), F.lit(3).alias("score")))
+    members = stories.where("about_member IS NOT NULL").select("about_member").distinct().withColumn("told", F.lit(True))
+    base = candidates.select("key", "about_member").join(members, "about_member", "left").select("key", F.when(F.col("told"), F.col("about_member")).alias("of"))
+    tops = scored.groupBy("key").agg(F.max("score").alias("most"))
+    best = base.join(tops, "key", "left").select("key", "of", F.greatest(F.coalesce("most", F.lit(0)), F.when(F.col("of").isNotNull(), 2).otherwise(0)).alias("best"))
+    first = F.row_number().over(W.partitionBy("key").orderBy(F.desc("people"), "story_id"))
+    tied = scored.join(best, "key").where("score = best AND best >= 2").withColumn("first", first)
+    sure = F.max(F.when(F.col("first") == 1, (F.col("hits") >= 1) & (F.col("best") >= 4))).over(W.partitionBy("key"))
+    rows = tied.withColumn("sure", sure).where("NOT sure OR first = 1").where("best > 2 OR NOT about").select("key", F.when(F.col("sure"), "HIGH").otherwise("MEDIUM").alias("bucket"), F.col("best").alias("score"), "story_id", F.lit(None).cast("string").alias("all_of"))
+    whole = best.where("best = 2 AND of IS NOT NULL").select("key", F.lit("MEDIUM").alias("bucket"), F.col("best").alias("score"), F.lit(None).cast("string").alias("story_id"), F.col("of").alias("all_of"))
+    low = best.where("best < 2").select("key", F.lit("LOW").alias("bucket"), F.lit(0).alias("score"), F.lit(None).cast("string").alias("story_id"), F.lit(None).cast("string").alias("all_of"))
+    return rows.unionByName(whole).unionByName(low)
 
 
 def word_pairs(df: DataFrame, key: str, group: str, words: str) -> DataFrame:
@@ -61,7 +87,7 @@ def word_pairs(df: DataFrame, key: str, group: str, words: str) -> DataFrame:
     Of n words, rarest first, the first n - ceil(n / 2) + 1 are joined; two sets
     that are alike enough share one of them.
     """
-    sets = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.array_distinct(words).alias("ws")).where("g IS NOT NULL AND size(ws) > 0")
+    sets = df.select(F.col(key).alias("k"), F.coalesce(F.col(group), F.lit("")).alias("g"), F.array_distinct(words).alias("ws")).where("size(ws) > 0")
     token = sets.select("k", "g", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     ranked = token.join(token.groupBy("g", "w").agg(F.count("*").alias("df")), ["g", "w"]).withColumn("r", F.row_number().over(W.partitionBy("g", "k").orderBy("df", "w")))
     first = ranked.where("r <= n - ceil(n / 2) + 1")
@@ -71,3 +97,37 @@ def word_pairs(df: DataFrame, key: str, group: str, words: str) -> DataFrame:
     of = lambda end: sets.select(F.col("k").alias(f"key_{end}"), F.col("ws").alias(f"ws_{end}"))
     scored = met.join(of("a"), "key_a").join(of("b"), "key_b").select("key_a", "key_b", jaccard(F.col("ws_a"), F.col("ws_b")).alias("jaccard"))
     return scored.where("jaccard >= 0.5")
+
+
+def cross_match(df: DataFrame, key: str, group: str, phrases: str, line: str) -> DataFrame:
+    """key_a, key_b, shared, jaccard: rows of a group that share a phrase, and else those whose lines are alike.
+
+    Rows without a group are one. ``shared`` counts phrases in common; where there
+    are none, ``jaccard`` of the words of the lines is 0.5 or more, to two places.
+    """
+    each = df.select(F.col(key).alias("k"), F.coalesce(F.col(group), F.lit("")).alias("g"), F.explode(F.array_distinct(phrases)).alias("p"))
+    a, b = each.alias("a"), each.alias("b")
+    met = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")))
+    shared = met.groupBy(F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b")).agg(F.count("*").alias("shared"))
+    lines = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.regexp_extract_all(F.lower(F.coalesce(F.col(line), F.lit(""))), F.lit("[ऀ-ॿA-Za-z0-9]+"), F.lit(0)).alias("ws"))
+    alike = word_pairs(lines, "k", "g", "ws").join(shared, ["key_a", "key_b"], "left_anti")
+    return shared.withColumn("jaccard", F.lit(None).cast("double")).unionByName(alike.select("key_a", "key_b", F.lit(0).cast("bigint").alias("shared"), F.round("jaccard", 2).alias("jaccard")))
+
+
+def aliases(containers: DataFrame, originals: DataFrame, key: str, language: str, text: str, blocking: int = 8, least: float = 0.55, shortest: int = 40) -> DataFrame:
+    """id, alias_id, confidence: for each container the likest original of its language.
+
+    A container is compared with the ``blocking`` originals that score best by BM25
+    for its text, by the Jaccard similarity of their runs of five characters; texts
+    of fewer than ``shortest`` characters aren't compared.
+    """
+    from pothi.operators.retrieval import bm25, top
+
+    long = lambda df, k: df.where(F.length(text) >= shortest).select(F.concat_ws("|", F.coalesce(F.col(language), F.lit("")), F.col(key)).alias(k), F.coalesce(F.col(language), F.lit("")).alias(f"lang_{k}"), F.col(text).alias(f"text_{k}"))
+    c, o = long(containers, "c"), long(originals, "o")
+    scores = bm25(o, "o", "text_o", c, "c", "text_c").join(c.select("c", "lang_c"), "c").join(o.select("o", "lang_o"), "o").where("lang_c = lang_o AND score > 0")
+    pairs = top(scores, "c", "score", "o", blocking).select("c", "o")
+    grams = lambda df, k: df.select(k, char_grams(F.col(f"text_{k}")).alias(f"g_{k}"))
+    sized = pairs.join(grams(c, "c"), "c").join(grams(o, "o"), "o").select("c", "o", F.round(jaccard(F.col("g_c"), F.col("g_o")), 6).alias("confidence"))
+    name = lambda col: F.substring_index(col, "|", -1)
+    return top(sized, "c", "confidence", "o", 1).where(F.col("confidence") >= least).select(name("c").alias("id"), name("o").alias("alias_id"), "confidence")

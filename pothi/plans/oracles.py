@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pothi.functions.lexical import PROSE_WORDS_EN, PROSE_WORDS_MR, STOPWORDS, SUFFIXES
 from pothi.operators.retrieval import TIER_WEIGHTS
-from pothi.plans import texts
+from pothi.plans import matching, texts
 
 _SPACE = r"[\s\x{0085}\x{00A0}\x{2007}\x{202F}\x{3000}]"
 _list = lambda xs: ", ".join("'" + x + "'" for x in xs)
@@ -94,7 +94,6 @@ SQL = {
       WHERE length(line) > 3 AND length(line) <= 80 AND NOT regexp_matches(line, '^[०-९\\d\\s।॥\\-\\.]+$') GROUP BY ALL HAVING count(*) >= 2""".replace(">= 2", ">= greatest(2, 2)"),
     "D07_gate": f"""SELECT doc_id, n_chars, broken, mojibake, devanagari, latin, CASE WHEN broken > 0.001 OR mojibake > 0.0005 THEN 'fail' WHEN devanagari < 0.35 THEN 'warn' ELSE 'pass' END AS verdict FROM (
       SELECT doc_id, length(text) AS n_chars, round({_n('text', '�')} / greatest(1, length(text)), 6) AS broken, round({_n('text', '[˜Ï¡Ô†¬»½ѽ]')} / greatest(1, length(text)), 6) AS mojibake, round({_n('text', _DEVA)} / greatest(1, length(text)), 6) AS devanagari, round({_n('text', '[A-Za-z]')} / greatest(1, length(text)), 6) AS latin FROM {_DOCS})""",
-    "D09_histogram": f"SELECT CAST(floor(quality_score * 20) AS INT) AS bin, count(*) AS n FROM {_CHUNKS} WHERE quality_score IS NOT NULL GROUP BY ALL",
     "D10_hit_at_k": f"{_B}, best AS ({_top(10)}) SELECT item_id, max(CAST(coalesce(list_contains(expected, work_id), false) AS INT)) AS hit, count(*) AS n FROM best JOIN (SELECT DISTINCT doc_id, work_id FROM documents) USING (doc_id) JOIN gold USING (item_id) GROUP BY item_id",
     "D12_ingest_check": f"""SELECT work_id, count(*) FILTER (kind_level = 'child') AS children, count(*) FILTER (kind_level = 'child' AND cite_text IS NOT NULL) AS citable, count(*) FILTER (kind_level = 'child' AND cite_text IS NULL) AS retrieval_only, count(*) FILTER (trim(cite_text) = '') AS empty_cites,
       count(*) FILTER (kind_level = 'child' AND parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM chunks WHERE kind_level = 'parent')) AS orphans FROM {_CHUNKS} GROUP BY work_id""",
@@ -119,15 +118,6 @@ SQL = {
     "G01_child_to_parent": f"SELECT c.id, c.parent_id, length(p.text) AS parent_chars FROM {_CHUNKS} c LEFT JOIN {_CHUNKS} p ON c.parent_id = p.id AND p.kind_level = 'parent' WHERE c.kind_level = 'child'",
     "G02_carry_over": f"SELECT CASE WHEN built_at < TIMESTAMPTZ '2026-07-01 00:00:00+00' THEN 'carried' ELSE 'new' END AS state, count(*) AS n FROM {_CHUNKS} GROUP BY ALL",
     "G03_orphans": f"SELECT id, parent_id FROM {_CHUNKS} WHERE kind_level = 'child' AND (parent_id IS NULL OR parent_id NOT IN (SELECT id FROM chunks WHERE kind_level = 'parent'))",
-    "G05_story_match": f"""WITH c AS {_CAND}, f AS (SELECT key, unnest(list_distinct(list_concat(CASE WHEN about_member IS NULL THEN [] ELSE ['m:' || about_member] END, list_transform(coalesce(key_people, []), lambda x: 'p:' || x)))) AS feature FROM c),
-      g AS (SELECT story_id, unnest(list_distinct(list_concat(CASE WHEN about_member IS NULL THEN [] ELSE ['m:' || about_member] END, list_transform(coalesce(key_people, []), lambda x: 'p:' || x)))) AS feature FROM meta),
-      sums AS (SELECT key, story_id, count(*) FILTER (feature LIKE 'm:%') AS about, count(*) FILTER (feature LIKE 'p:%') AS people FROM f JOIN g USING (feature) GROUP BY ALL),
-      sc AS (SELECT key, story_id, people, CASE WHEN one_line <> '' AND contains(raw_text, one_line) THEN 1 ELSE 0 END AS hits, CASE WHEN about > 0 THEN 2 ELSE 0 END + CASE WHEN people >= 2 THEN 1 ELSE 0 END AS score FROM sums JOIN c USING (key) JOIN meta USING (story_id)),
-      tops AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY people DESC, story_id) AS r FROM (SELECT * FROM sc QUALIFY score = max(score) OVER (PARTITION BY key) AND score >= 2))
-      SELECT c.key, CASE WHEN story_id IS NULL THEN 'LOW' ELSE 'MEDIUM' END AS bucket, story_id FROM c LEFT JOIN tops USING (key)""",
-    "G06_cross_match": f"WITH c AS (SELECT key, about_member, unnest(list_distinct(fingerprint_phrases)) AS phrase FROM {_CAND} WHERE about_member IS NOT NULL) SELECT a.key AS key_a, b.key AS key_b, count(*) AS shared FROM c a JOIN c b ON a.phrase = b.phrase AND a.about_member = b.about_member AND a.key < b.key GROUP BY ALL",
-    "G08_mentioned_work": f"""WITH q AS (SELECT DISTINCT question FROM access_log WHERE question IS NOT NULL), w AS (SELECT DISTINCT work_id, {_KEY.format('title')} AS k FROM (SELECT work_id, unnest([title, title_en]) AS title FROM works) WHERE length(trim(title)) >= 8)
-      SELECT question, CASE WHEN count(DISTINCT work_id) = 1 THEN min(work_id) END AS work_id, CASE count(DISTINCT work_id) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS method FROM q LEFT JOIN w ON contains({_KEY.format('question')}, k) GROUP BY question""",
     "G13_semi_join": "SELECT work_id, title FROM works WHERE work_id IN (SELECT work_id FROM quotes WHERE work_id <> '')",
     "H02_rrf": f"""{_B}, {_DENSE}, {_RRF('dn')} {_top(10, 'fused', 'item_id', 'fused DESC, doc_id')}""",
     "H01_ranks": "SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0",
@@ -154,14 +144,12 @@ SQL = {
     "I08_tail": f"SELECT ts, name, path, status FROM {_REQ} ORDER BY tm DESC, concat_ws('|', name, method, path) DESC LIMIT 50",
     "I11_recent": f"SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY tm DESC, path) AS place FROM (SELECT name, path, max(tm) AS tm FROM {_REQ} WHERE name <> '' AND path LIKE '/read/%' GROUP BY ALL) QUALIFY place <= 20",
     "J01_union_sources": "SELECT src, count(*) AS n, count(DISTINCT work_id) AS works FROM (SELECT 'chunks' AS src, work_id FROM chunks UNION ALL SELECT 'documents', work_id FROM documents UNION ALL SELECT 'quotes', work_id FROM quotes) GROUP BY src",
-    "J05_merge_variants": f"SELECT story_id, array_to_string(list_sort(list(DISTINCT person)), ',') AS people FROM (SELECT story_id, unnest(key_people) AS person FROM meta) WHERE person IN (SELECT unnest(key_people) FROM {_CAND} WHERE about_member IS NOT NULL) GROUP BY story_id",
     "J07_evict": f"SELECT work_id, count(*) AS n FROM {_CHUNKS} WHERE NOT starts_with(id, 'window-') AND NOT starts_with(id, 'salt-') GROUP BY work_id",
     "J08_title_dedupe": "SELECT DISTINCT lower(trim(title, ' ')) AS title, work_id FROM works WHERE trim(title, ' ') <> ''",
     "K05_clean_body": r"SELECT DISTINCT quote_id, md5(regexp_replace(replace(body, '�', ' '), '[\x{200B}\x{FEFF}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]', '', 'g')) AS body_md5 FROM quotes WHERE body IS NOT NULL",
     "K10_check_quotes": f"""WITH q AS (SELECT DISTINCT quote_id, work_id, body FROM quotes WHERE work_id <> ''), c AS (SELECT work_id, text FROM {_CHUNKS} WHERE kind_level = 'parent'),
       p AS (SELECT quote_id, max(CASE WHEN trim(coalesce(body, ''), ' ') = '' THEN 0 WHEN text IS NULL THEN 1 WHEN contains(trim(regexp_replace(text, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' '), trim(regexp_replace(body, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ')) THEN 3 ELSE 2 END) AS s FROM q LEFT JOIN c USING (work_id) GROUP BY quote_id)
       SELECT ['no body', 'no source', 'changed', 'verbatim'][s + 1] AS status, count(*) AS n FROM p GROUP BY ALL""",
-    "K19_people": f"SELECT person, count(DISTINCT key) AS n FROM (SELECT key, unnest(key_people) AS person FROM {_CAND}) GROUP BY person",
     "K23_labels": "SELECT DISTINCT quote_id, CASE WHEN ord < 26 THEN chr(65 + ord) ELSE chr(65 + ord // 26 - 1) || chr(65 + ord % 26) END AS label FROM quotes",
     "K28_correct": "SELECT DISTINCT quote_id, CASE WHEN contains(body, 'the ') THEN md5(left(body, strpos(body, 'the ') - 1) || 'THE ' || substr(body, strpos(body, 'the ') + 4)) END AS corrected_md5 FROM quotes WHERE body IS NOT NULL",
     "K34_provenance": f"SELECT doc_id, sha256(text) AS sha256 FROM {_DOCS}",
@@ -184,4 +172,5 @@ SQL = {
     "J10_filled_ids": "SELECT coalesce(nullif(trim(name, ' '), ''), ts || '-' || (row_number() OVER (PARTITION BY ts ORDER BY path, name NULLS FIRST) - 1)) AS id, ts, path FROM (SELECT DISTINCT ts, name, path FROM access_log)",
     "K29_word_count": f"SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS n_words FROM {_DOCS}",
 }
-SQL |= texts.SQL
+SQL |= texts.SQL | matching.SQL
+SQL |= {"G04_citation_aliases": matching._alias_sql("SELECT split_part(c, '|', 2) AS id, split_part(o, '|', 2) AS alias_id, confidence FROM al"), "D09_histogram": matching._alias_sql(matching.BINS)}

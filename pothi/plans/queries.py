@@ -11,10 +11,9 @@ from pothi.functions import text as tx
 from pothi.operators import citations as ci
 from pothi.operators import corpus as co
 from pothi.operators import logs as lo
-from pothi.operators import matching as ma
 from pothi.operators import reader as rd
 from pothi.operators import retrieval as re_
-from pothi.plans import texts
+from pothi.plans import matching, texts
 from pothi.sources.tables import latest
 from pothi.sources.tables import table as t
 
@@ -133,11 +132,6 @@ def d08_verdict(s, d):
     return co.verdict(co.gate(c, "id", "text"), co.gate(c, "id", "cite_text")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-def d09_histogram(s, d):
-    q = _chunks(s, d, "quality_score").where("quality_score IS NOT NULL")
-    return q.groupBy(F.floor(F.col("quality_score") * 20).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
 def d10_hit_at_k(s, d):
     best = re_.top(_scores(s, d), "item_id", "score", "doc_id", 10)
     works = _documents(s, d, "doc_id", "work_id")
@@ -232,42 +226,6 @@ def g03_orphans(s, d):
     return co.orphans(c.where("kind_level = 'child'"), c.where("kind_level = 'parent'"), "parent_id", "id").select("id", "parent_id")
 
 
-def g05_story_match(s, d):
-    c = _candidates(s, d)
-    m = t(s, d, "meta", "story_id", "about_member", "key_people", "locations", "one_line", "variants")
-    # Stories have no phrases of their own: those of their tellings among the candidates, and the one line.
-    told = m.select("story_id", F.explode("variants").alias("v")).select("story_id", F.col("v.text").alias("raw_text")).distinct()
-    phrases = told.join(c.select("raw_text", F.explode("fingerprint_phrases").alias("phrase")), "raw_text").groupBy("story_id").agg(F.collect_set("phrase").alias("told"))
-    own = F.filter(F.array("one_line"), lambda p: p.isNotNull())
-    stories = m.drop("variants").join(phrases, "story_id", "left").withColumn("fingerprint_phrases", F.array_union(own, F.coalesce("told", F.array().cast("array<string>"))))
-    return ma.story_match(c, stories)
-
-
-def _candidates(s, d):
-    c = t(s, d, "candidate", "file", "idx", "about_member", "raw_text", "key_people", "locations", "fingerprint_phrases").distinct()
-    return c.withColumn("key", F.concat_ws("#", "file", "idx"))
-
-
-def g06_cross_match(s, d):
-    lines = t(s, d, "candidate", "file", "idx", "about_member", "one_line").distinct().select(F.concat_ws("#", "file", "idx").alias("key"), "about_member", F.regexp_extract_all(F.lower("one_line"), F.lit("[ऀ-ॿA-Za-z0-9]+"), F.lit(0)).alias("words"))
-    c = _candidates(s, d).where("about_member IS NOT NULL").select("key", "about_member", F.explode(F.array_distinct("fingerprint_phrases")).alias("phrase"))
-    a, b = c.alias("a"), c.alias("b")
-    met = a.join(b, (F.col("a.phrase") == F.col("b.phrase")) & (F.col("a.about_member") == F.col("b.about_member")) & (F.col("a.key") < F.col("b.key")))
-    shared = met.groupBy(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).agg(F.count("*").alias("shared"))
-    # Pairs without a phrase in common are alike by their one line; shared is 0 for them.
-    alike = ma.word_pairs(lines, "key", "about_member", "words").join(shared, ["key_a", "key_b"], "left_anti")
-    return shared.unionByName(alike.select("key_a", "key_b", F.lit(0).cast("bigint").alias("shared")))
-
-
-def g08_mentioned_work(s, d):
-    log = lo.requests(t(s, d, "access_log")).where("question IS NOT NULL").select("question").distinct()
-    w = t(s, d, "works", "work_id", "title", "title_en").select("work_id", F.explode(F.array("title", "title_en")).alias("title")).where("length(trim(title)) >= 8").select("work_id", lx.title_key(F.col("title")).alias("k")).distinct()
-    # A few hundred titles, of a catalogue that doesn't grow, against every question.
-    hit = log.join(F.broadcast(w), F.instr(lx.title_key(F.col("question")), F.col("k")) > 0, "left")
-    found = hit.groupBy("question").agg(F.array_sort(F.collect_set("work_id")).alias("works"))
-    return found.select("question", F.when(F.size("works") == 1, F.get("works", F.lit(0))).alias("work_id"), F.when(F.size("works") == 0, "none").when(F.size("works") == 1, "one").otherwise("ambiguous").alias("method"))
-
-
 def g09_paragraph_at(s, d):
     docs = _documents(s, d, "doc_id", "text").where("text IS NOT NULL AND text <> ''")
     paras = rd.paragraphs(docs, "doc_id", "text").withColumnRenamed("key", "doc_id")
@@ -421,13 +379,6 @@ def j01_union_sources(s, d):
     return c.unionByName(o).unionByName(q).groupBy("src").agg(F.count("*").alias("n"), F.countDistinct("work_id").alias("works"))
 
 
-def j05_merge_variants(s, d):
-    m = t(s, d, "meta", "story_id", "key_people", "variants")
-    c = _candidates(s, d).select("about_member", F.explode("key_people").alias("person")).where("about_member IS NOT NULL")
-    people = m.select("story_id", F.explode("key_people").alias("person")).distinct()
-    return people.join(c.select("person").distinct(), "person", "left_semi").groupBy("story_id").agg(F.array_join(F.array_sort(F.collect_set("person")), ",").alias("people"))
-
-
 def j07_evict(s, d):
     return _chunks(s, d, "work_id").where(~F.col("id").startswith("window-") & ~F.col("id").startswith("salt-")).groupBy("work_id").agg(F.count("*").alias("n"))
 
@@ -452,18 +403,6 @@ def k10_check_quotes(s, d):
     return ci.check(q, c, "quote_id", "work_id", "body", "text").groupBy("status").agg(F.count("*").alias("n"))
 
 
-def k11_gram_similarity(s, d):
-    m = t(s, d, "meta", "variants").select(F.explode("variants").alias("v")).select(F.col("v.file").alias("file"), F.col("v.text").alias("text"), F.col("v.source_work_id").alias("work"))
-    w = W.partitionBy("work").orderBy("file")
-    near = m.withColumn("other", F.lead("text").over(w)).where("other IS NOT NULL").select("file", ma.char_grams(F.substring("text", 1, 60)).alias("a"), ma.char_grams(F.substring("other", 1, 60)).alias("b"))
-    return near.select("file", F.round(ma.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
-
-
-def k19_people(s, d):
-    c = _candidates(s, d).select("key", F.explode("key_people").alias("person"))
-    return c.groupBy("person").agg(F.countDistinct("key").alias("n"))
-
-
 def k23_labels(s, d):
     q = t(s, d, "quotes", "quote_id", "answer_id", "ord").distinct()
     return q.select("quote_id", ci.passage_label(F.col("ord")).alias("label"))
@@ -558,4 +497,4 @@ def k29_word_count(s, d):
 
 
 _ALL = [f for n, f in list(globals().items()) if n[0] in "acdefghijks" and n[1:3].isdigit() and callable(f)]
-QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES}
+QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES, **matching.QUERIES}
