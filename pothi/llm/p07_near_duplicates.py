@@ -2,62 +2,60 @@
 
 Anchor covering: every record is replicated to a set of anchors chosen so that
 any two records whose similarity reaches the threshold meet at one of them, and
-records are compared per anchor. The anchors are shingles, ordered from rare to
-common over the whole collection; a record of n shingles goes to its first
-``n - ceil(t n) + 1``. That radius makes the cover complete: records with a
-Jaccard similarity of t or more have an anchor in common. (A covering code over
-Hamming fingerprints can't do this at t = 0.5: see the README.)
+records are compared per anchor. The anchors are shingles in one order for all
+records; a record of n shingles goes to its first ``n - ceil(t n) + 5``. That
+radius makes the cover complete: records with a Jaccard similarity of t or more
+have an anchor in common. (A covering code over Hamming fingerprints can't do
+this at t = 0.5: see the README.) Shingles come from rare to common by the number
+of classes they stand in, counted in blocks of about a million; those of one
+class find nothing and don't leave their record. A table of constant size tells
+shingles too common to be counted one by one: they come last, and where they are
+anchors still, they are split into parts.
 
-Exact copies of a shingle set are one class and are compared once. A record
-takes its fingerprint (one bit of each of 256 minhashes) along to its anchors;
-pairs at an anchor are pruned by length, position and fingerprint before their
-sets are looked at. The fingerprint allows for five standard deviations at the
-threshold, which loses three pairs in ten million of those just at it.
+Exact copies of a shingle set are one class and are compared once. Anchors go to
+blocks, about a million a block whatever the data. A record goes to four anchors
+more than one in common would take, so that two alike records share five; only
+those standing early enough in both count, and only pairs with five have their
+sets compared. Nothing is lost by it.
 
 Defined results: null, empty and too short texts have no shingles and are in no
-pair, each its own class in ``classes``; a key that occurs twice counts once
-(the smallest text); rows without a key are left out; extra columns are ignored.
+pair, each its own class in ``groups``; a key that occurs twice counts once (the
+text of the least hash); rows without a key are left out; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from pothi.llm.runs import BITS, run_sets
+from pothi.llm.runs import anchored, frequencies, loads, meetings, run_sets
 from pothi.plans.lineage import cut
 
+BUCKETS, HOT, EACH = 1 << 17, 2000, 1 << 20
+
 
 class NearDuplicates:
-    def __init__(self, df: DataFrame, key: str, text: str, shingle: int, threshold: float):
-        one = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
-        keyed = cut(run_sets(one, shingle))
+    def __init__(self, df: DataFrame, key: str, text: str, shingle: int, threshold: float, buckets: int = BUCKETS, hot: int = HOT, each: int = EACH):
+        named = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
         alone = F.size("runs") == 0
-        #: key, cls: the class of equal shingle sets, named by a hash of the set.
-        self.members = keyed.select("key", F.when(alone, F.xxhash64("key", F.lit("alone"))).otherwise(F.xxhash64("runs")).alias("cls"), alone.alias("alone"), "runs", "print")
-        self.sets = cut(self.members.where(~F.col("alone")).groupBy("cls").agg(F.first("runs").alias("runs"), F.first("print").alias("print")))
-        self.threshold = threshold
+        cls = F.when(alone, F.xxhash64("key", F.lit("alone"))).otherwise(F.xxhash64("runs"))
+        self._keyed = cut(run_sets(named, shingle).select("key", "digest", cls.alias("cls"), "runs"))
+        #: key, cls, alone: the class of equal shingle sets, named by a hash of the set.
+        self.members = self._keyed.groupBy("key").agg(F.min(F.struct("digest", "cls", alone.alias("alone"))).alias("r")).select("key", "r.cls", "r.alone")
+        self.threshold, self.buckets, self.hot, self.each = threshold, buckets, hot, each
 
     def class_pairs(self) -> DataFrame:
         """a, b, shared, either: classes with a Jaccard similarity of the threshold or more; a < b."""
         t = self.threshold
-        each = self.sets.select("cls", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-        # Rare first; a run of one class can join nothing but still takes its place in the order.
-        common = each.groupBy("run").agg(F.count("*").alias("df"))
-        ranked = each.join(common, "run").withColumn("at", F.row_number().over(W.partitionBy("cls").orderBy("df", "run")))
-        anchors = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1) & (F.col("df") > 1)).select("run", "cls", "n", "at").join(self.sets.select("cls", "print"), "cls")
-        x, y = anchors.alias("x"), anchors.alias("y")
-        need = F.ceil((F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-9)
-        reach = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + F.least(F.col("x.at"), F.col("y.at")) - 1
-        # Bits agree with probability (1 + similarity) / 2; five deviations below that are allowed.
-        agree = (1 + t) / 2
-        most = round(BITS * (1 - agree) + 5 * (BITS * agree * (1 - agree)) ** 0.5)
-        apart = sum((F.bit_count(F.get("x.print", F.lit(k)).bitwiseXOR(F.get("y.print", F.lit(k)))) for k in range(4)), F.lit(0))
-        meet = (F.col("x.run") == F.col("y.run")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.n") >= F.col("y.n") * t - 1e-9) & (F.col("y.n") >= F.col("x.n") * t - 1e-9) & (reach >= need) & (apart <= most)
-        candidates = x.join(y, meet).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-        left = self.sets.select(F.col("cls").alias("a"), F.col("runs").alias("ra"))
-        right = self.sets.select(F.col("cls").alias("b"), F.col("runs").alias("rb"))
+        filled = self._keyed.where(F.size("runs") > 0).select("cls", "runs")
+        sets = filled.groupBy("cls").agg(F.first("runs").alias("runs"))
+        load = loads(filled, self.buckets)
+        counts = frequencies(filled, load, self.hot, self.each).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("block", "counts"))).alias("c"))
+        counted = sets.join(counts.select("cls", F.array_join(F.transform("c", lambda x: F.hex(x["counts"])), "").alias("c")), "cls", "left").select("cls", "runs", F.unhex(F.coalesce("c", F.lit(""))).alias("counts"))
+        met = meetings(anchored(counted, load, t, self.hot, self.each), t)
+        candidates = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
+        left, right = sets.select(F.col("cls").alias("a"), F.col("runs").alias("ra")), sets.select(F.col("cls").alias("b"), F.col("runs").alias("rb"))
         sized = candidates.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ra", "rb")).alias("shared"), (F.size("ra") + F.size("rb")).alias("total"))
         return sized.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("either")).where(F.col("shared") >= F.col("either") * t - 1e-9)
 
