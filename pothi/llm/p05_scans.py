@@ -60,9 +60,10 @@ _KEY = r"regexp_replace(regexp_replace(line, '^\\s*[\\p{Nd}lOoISZ]{1,4}\\s{2,}|(
 
 _FORMS = "SELECT form FROM (SELECT {key} AS form, kind = 'numbered' OR beside_number AS numbered FROM lines WHERE kind IN ('numbered', 'short')) GROUP BY form HAVING count_if(numbered) >= 2 OR count_if(numbered) >= 0.2 * count(*) AND count_if(numbered) >= 1"
 
+# Lines that can't be headers have a key of their own, so that they don't all meet in one task.
 _KINDS = """
 SELECT l.*, CASE WHEN kind = 'numbered' OR kind = 'short' AND f.form IS NOT NULL THEN 'header' WHEN kind IN ('number', 'blank') THEN kind ELSE 'text' END AS what
-FROM (SELECT *, CASE WHEN kind = 'short' THEN {key} END AS form FROM lines) AS l LEFT JOIN forms AS f ON l.form = f.form
+FROM (SELECT *, CASE WHEN kind = 'short' THEN {key} ELSE concat_ws('|', '', id, line_no) END AS form FROM lines) AS l LEFT JOIN forms AS f ON l.form = f.form
 """
 
 _WIDTHS = "SELECT source_path, percentile_approx(length(trim(line)), 0.98, 1000) AS width FROM kinds WHERE what = 'text' GROUP BY source_path"
@@ -122,7 +123,9 @@ class Scans:
         """split_word holds only where the hyphen isn't the word's own."""
         compounds = self.vocabulary.where("word LIKE '%-%'").selectExpr("lower(word) AS compound", "n").groupBy("compound").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n_compound")
         whole = self.vocabulary.where("word NOT LIKE '%-%'").selectExpr("lower(word) AS whole", "n").groupBy("whole").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n_whole")
-        keyed = joined.selectExpr("*", "CASE WHEN split_word AND line RLIKE '[-‐]$' THEN concat(lower(head), '-', lower(rest)) END AS compound_", "CASE WHEN split_word THEN concat(lower(head), lower(rest)) END AS whole_")
+        # Lines without a parted word have a key of their own, so that they don't all meet in one task.
+        own = "concat_ws('|', '', id, line_no)"
+        keyed = joined.selectExpr("*", f"CASE WHEN split_word AND line RLIKE '[-‐]$' THEN concat(lower(head), '-', lower(rest)) ELSE {own} END AS compound_", f"CASE WHEN split_word THEN concat(lower(head), lower(rest)) ELSE {own} END AS whole_")
         marked = keyed.join(compounds, keyed["compound_"] == compounds["compound"], "left").join(whole, keyed["whole_"] == whole["whole"], "left")
         return marked.selectExpr(*joined.columns, "split_word AND coalesce(n_compound, 0) <= coalesce(n_whole, 0) AS hyphen", "split_word AND coalesce(n_compound, 0) > coalesce(n_whole, 0) AS own_hyphen")
 
