@@ -8,11 +8,13 @@ take the last boundary back. It writes ``cut`` at a boundary and ``undo`` where
 a later sign shows the last cut to be none: a half verse before its double
 danda, a question before the words that ask it.
 
-A text of more than ``piece`` characters is parted between words. Each piece is
-run from every state, which gives its state-transition function; a parallel
-prefix scan (doubling, one join a round) composes the functions of a text, so
-that each piece learns the state it begins in and is run once more from it. A
-cut and its undo may lie in different pieces: they meet in a window.
+A text of more than two pieces (of about ``piece`` characters) is parted between
+words and its pieces go to different tasks. Each is run from every state it can
+begin in, which gives its state-transition function; a parallel prefix scan
+(doubling, one join a round) composes the functions of a text, so that each piece
+learns the state it begins in and is run once more from it. A cut and its undo may
+lie in different pieces: they meet in a window. The result is that of one run over
+the whole text, whatever ``piece`` is.
 
 Defined results: null and empty texts and texts of blanks only have no units;
 an unclosed quotation ends with its line's sentence or the text; repeated keys
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PIECE = 200_000
+PIECE = 1000
 # Abbreviations that never end a sentence, those that may, words that carry on after a quotation, verbs that ask it.
 NEVER_LAST = "Mr Mrs Ms Dr Prof Shri Smt Sri St Rev No Nos cf ch chs pp p vol vols ed eds viz fig i.e e.g vs प्रा डॉ कै सौ न्या श्री श्रीमती पं ह.भ.प इ.स ई.स उदा पृ भा खं क्र सं स्व चि ಡಾ ಶ್ರೀ ಕ್ರಿ.ಶ ಪು ಸಂ".split()
 MAY_BE_LAST = "a.m p.m Co Ltd Inc etc".split()
@@ -61,8 +63,19 @@ START: State = ("", False, False, "", False)
 
 @cache
 def states() -> tuple[State, ...]:
-    """All states, in fixed order: the domain of a piece's function."""
-    return tuple((q, t, s, u, b) for q in ["", *CLOSER_OF] for t in (False, True) for s in (False, True) for u in ("", "v", "q") for b in (False, True))
+    """All states in which a piece can begin, in fixed order: the domain of its function.
+
+    Pieces begin after a letter, so there is text since the last boundary; without
+    an open quotation nothing of one is kept.
+    """
+    none = [("", False, False, u, True) for u in ("", "v", "q")]
+    return tuple(none + [(q, t, s, u, True) for q in CLOSER_OF for t in (False, True) for s in (False, True) for u in ("", "v", "q")])
+
+
+def settled(state: State) -> State:
+    """A state as one in which a piece can begin."""
+    quote, ended, first, undo, _ = state
+    return (quote, ended, first, undo, True) if quote else ("", False, False, undo, True)
 
 
 def run(text: str, begin: int, end: int, state: State) -> tuple[State, list[tuple[int, bool]]]:
@@ -196,11 +209,14 @@ def unit_ends(text: str | None) -> list[int]:
     return kept(run(text, 0, len(text), START)[1], text) if text else []
 
 
+_BETWEEN = re.compile(r"(?<=[^\W\d_฀-๿]{2}) (?=[^\W\d_฀-๿]{2})|(?<=[฀-๿]{3})(?=[฀-๿]{3})|(?<=[぀-ヿ一-鿿]{3})(?=[぀-ヿ一-鿿]{3})")
+
+
 def _parts(text: str, piece: int) -> list[tuple[int, int]]:
-    """Pieces that begin after a blank between letters."""
+    """Pieces that begin after a blank between letters, or between letters of a script without blanks."""
     cuts, at = [0], piece
     while at < len(text):
-        m = re.compile(r"(?<=[^\W\d_]{2}) (?=[^\W\d_]{2})").search(text, at)
+        m = _BETWEEN.search(text, at)
         if not m:
             break
         cuts.append(m.end())
@@ -220,28 +236,51 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _functions(piece: int):
-    """One row per piece of a long text: its bounds and its state-transition function."""
+def _cut_up(piece: int):
+    """key, seq, b, e, text, marks: the pieces of a text with some of what follows, and the quotation marks that open one anywhere in it."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {s: i for i, s in enumerate(states())}
         for batch in batches:
+            rows = []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                for seq, (b, e) in enumerate(_parts(text, piece)):
-                    f = [index[run(text, b, e, s)[0]] for s in states()]
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([seq], pa.int32()), pa.array([b]), pa.array([e]), pa.array([text[b : e + 64]]), pa.array([f], pa.list_(pa.int32()))], names=["key", "seq", "b", "e", "text", "f"])
+                marks = "".join(q for q in CLOSER_OF if q in text)
+                rows += [(key, seq, b, e, text[b : e + 64], marks) for seq, (b, e) in enumerate(_parts(text, piece))]
+            if rows:
+                cols = list(zip(*rows))
+                kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "seq", "b", "e", "text", "marks"])
 
     return go
 
 
+def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with their state-transition functions; states that can't occur in the text lead to the first."""
+    every = states()
+    index = {s: i for i, s in enumerate(every)}
+    for batch in batches:
+        fs = []
+        for seq, b, e, text, marks in zip(*(batch.column(c).to_pylist() for c in ("seq", "b", "e", "text", "marks"))):
+            if seq == 0:
+                end = index[settled(run(text, 0, e - b, START)[0])]
+                fs.append([end] * len(every))
+            else:
+                fs.append([index[settled(run(text, 0, e - b, s)[0])] if not s[0] or s[0] in marks else 0 for s in every])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "seq", "b", "e", "text")), pa.array(fs, pa.list_(pa.int32()))], names=["key", "seq", "b", "e", "text", "f"])
+
+
 def _pieces_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each piece writes from the state it begins in; joins marks a cut with only blanks since the one before."""
     for batch in batches:
+        rows = []
         for key, seq, b, e, text, begin in zip(*(batch.column(c).to_pylist() for c in ("key", "seq", "b", "e", "text", "begin"))):
-            written = run(text, 0, e - b, states()[begin])[1]
-
-            if written:
-                n = len(written)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([seq] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([w[0] + b for w in written]), pa.array([w[1] for w in written])], names=["key", "seq", "k", "at", "is_cut"])
+            written = run(text, 0, e - b, START if begin is None else states()[begin])[1]
+            for k, (at, is_cut) in enumerate(written):
+                joins = is_cut and k > 0 and written[k - 1][1] and not text[written[k - 1][0] : at].strip()
+                rows.append((key, seq, k, at + b, is_cut, joins))
+        if rows:
+            cols = list(zip(*rows))
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "seq", "k", "at", "is_cut", "joins"])
 
 
 def scan(functions: DataFrame, rounds: int) -> DataFrame:
@@ -254,27 +293,37 @@ def scan(functions: DataFrame, rounds: int) -> DataFrame:
 
 
 def sentences(df: DataFrame, key: str, text: str, piece: int = PIECE) -> DataFrame:
-    """key, unit_no, after, end_char: one row per sentence unit; it lies between ``after`` and ``end_char``, blanks first."""
+    """key, unit_no, after, end_char: one row per sentence unit; it lies between ``after`` and ``end_char``, blanks first.
+
+    Texts of up to two pieces are one; the pieces of longer ones are spread over
+    the tasks before they are run.
+    """
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    out = "key string, unit_no int, after int, end_char int"
-    short = rows.where(F.length("text") <= 2 * piece).mapInArrow(_short, out).distinct()
-    long = rows.where(F.length("text") > 2 * piece)
-    return short.unionByName(_long(long, piece)) if not long.isEmpty() else short
+    short = rows.where(F.length("text") <= 2 * piece).mapInArrow(_short, "key string, unit_no int, after int, end_char int").distinct()
+    return short.unionByName(_long(rows.where(F.length("text") > 2 * piece), piece))
 
 
 def _long(rows: DataFrame, piece: int) -> DataFrame:
     from pothi.plans.lineage import cut
 
-    rows = rows.distinct()
-    functions = cut(rows.mapInArrow(_functions(piece), "key string, seq int, b bigint, e bigint, text string, f array<int>"))
+    # A key may stand with several texts: each is scanned for itself.
+    named = rows.select("key", F.xxhash64("text").cast("string").alias("h"), "text").select(F.concat_ws("\u0001", "h", "key").alias("key"), "text")
+    pieces = named.mapInArrow(_cut_up(piece), "key string, seq int, b bigint, e bigint, text string, marks string")
+    once = pieces.dropDuplicates(["key", "seq"])  # an exchange by key and number: the pieces of a text go apart
+    functions = cut(once.mapInArrow(_functions, "key string, seq int, b bigint, e bigint, text string, f array<int>"))
     most = functions.agg(F.max("seq")).first()[0] or 0
     upto = scan(functions, max(1, most.bit_length()))
-    begin = upto.select("key", (F.col("seq") + 1).alias("seq"), F.get("f", F.lit(states().index(START))).alias("begin"))
-    runs = functions.join(begin, ["key", "seq"], "left").select("key", "seq", "b", "e", "text", F.coalesce("begin", F.lit(states().index(START))).alias("begin"))
-    written = runs.mapInArrow(_pieces_run, "key string, seq int, k int, at bigint, is_cut boolean")
+    begin = upto.select("key", (F.col("seq") + 1).alias("seq"), F.get("f", F.lit(0)).alias("begin"))
+    runs = functions.select("key", "seq", "b", "e", "text").join(begin, ["key", "seq"], "left")
+    written = runs.mapInArrow(_pieces_run, "key string, seq int, k int, at bigint, is_cut boolean, joins boolean")
     w = W.partitionBy("key").orderBy("seq", "k")
-    cuts = written.withColumn("taken", F.coalesce(~F.lead("is_cut").over(w), F.lit(False))).where("is_cut AND NOT taken").select("key", "at")
-    tail = rows.select("key", F.length(F.regexp_replace("text", r"(?U)\s+$", "")).cast("bigint").alias("at")).where("at > 0")
-    ends = cuts.unionByName(tail).distinct()
+    # A cut goes when it is taken back, or when only blanks part it from the next.
+    gone = F.coalesce(~F.lead("is_cut").over(w) | F.lead("joins").over(w), F.lit(False))
+    cuts = written.withColumn("gone", gone).where("is_cut AND NOT gone").select("key", "at")
+    # The last piece ends where the text does.
+    tail = functions.groupBy("key").agg(F.max_by(F.struct("b", F.substring("text", F.lit(1), (F.col("e") - F.col("b")).cast("int")).alias("t")), "seq").alias("r"))
+    last = tail.select("key", (F.col("r.b") + F.length(F.regexp_replace("r.t", r"(?U)\s+$", ""))).alias("at")).where("at > 0")
+    ends = cuts.unionByName(last).distinct()
     w = W.partitionBy("key").orderBy("at")
-    return ends.select("key", F.row_number().over(w).alias("unit_no"), F.coalesce(F.lag("at").over(w), F.lit(0)).cast("int").alias("after"), F.col("at").cast("int").alias("end_char"))
+    units = ends.select(F.substring_index("key", "\u0001", -1).alias("key"), F.row_number().over(w).alias("unit_no"), F.coalesce(F.lag("at").over(w), F.lit(0)).cast("int").alias("after"), F.col("at").cast("int").alias("end_char"))
+    return units.distinct()
