@@ -41,6 +41,12 @@ LOOKALIKES = {
     **dict(zip("ον", "ov")),
     "।": "|", "॥": "||", "ः": ":", "‐": "-", "‑": "-", "−": "-", "﹣": "-", "…": "...",
 }
+# Independent vowels and the signs that make another vowel's shape of them, in pairs with it.
+DRAWN = {
+    "अ": "ाआ ोओ ौऔ ॉऑ ॊऒ", "आ": "ेओ ैऔ ॅऑ ॆऒ", "ए": "ेऐ", "ऎ": "ॆऐ", "उ": "ुऊ", "ऋ": "ृॠ",
+    "অ": "াআ", "ঋ": "ৃৠ", "ઋ": "ૃૠ", "અ": "ાઆ ોઓ ૌઔ ૅઍ ેએ ૈઐ ૉઑ", "ਅ": "ਾਆ ੈਐ ੌਔ", "ੲ": "ਿਇ ੀਈ ੇਏ", "ੳ": "ੁਉ ੂਊ",
+    "ଅ": "ାଆ", "ఒ": "ౌఔ ోఓ", "ಒ": "ೌಔ", "ಋ": "ೃೠ",
+}
 # Decompositions that don't change what is seen.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 LIGATURES = range(0xFB00, 0xFB07)
@@ -82,6 +88,8 @@ def _tables() -> tuple[list[tuple[str, str]], list[tuple[str, int]], dict[str, s
         d = unicodedata.decomposition(ch)
         if d and not d.startswith("<") and " " in d and unicodedata.normalize("NFC", ch) == ch:
             pairs["".join(chr(int(x, 16)) for x in d.split())] = ch
+    for base, drawn in DRAWN.items():
+        pairs |= {base + x[0]: x[1] for x in drawn.split()}
     return mapping, classes, pairs
 
 
