@@ -4,8 +4,9 @@ Error-correcting output codes: every language has a codeword, and for every bit
 of it a binary classifier on character n-grams of words (naive Bayes on
 hashed n-grams of one to four characters and whole words). A sentence gets the language whose
 codeword has the least loss over the bits, each weighed by its classifier's
-margin; the gap to the next codeword gives the confidence, and a small gap marks
-the sentence ambiguous. Ambiguous sentences, and those with too few letters,
+margin; the gap to the next codeword gives the confidence (how often sentences
+kept out of training are read right at such a gap), and a small gap marks the
+sentence ambiguous. Ambiguous sentences, and those with too few letters,
 take the language of their neighbours; runs of one language are stretches.
 
 The classifiers are trained on the driver from at most ``per_class`` sentences
@@ -22,7 +23,7 @@ count once (the latest build); unknown labels name no language.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +75,26 @@ def _hash(gram: str) -> int:
     return (h ^ (h >> 15)) % FEATURES
 
 
+def _gram_hashes(w: str) -> list[int]:
+    """``_hash`` of the runs of one to four characters of a long word, each with its length before it."""
+    points, out = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), []
+    for n in (1, 2, 3, 4):
+        h = np.full(max(0, len(points) - n + 1), (2166136261 ^ ord(str(n))) * 16777619 & 0xFFFFFFFF, np.uint64)
+        for k in range(n):
+            h = ((h ^ points[k : k + len(h)]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+        out += ((h ^ (h >> np.uint64(15))) % np.uint64(FEATURES)).tolist()
+    return out
+
+
 def word_features(word: str) -> list[int]:
-    w = f"<{word[:40].lower()}>"
-    return [_hash(f"{n}{w[i : i + n]}") for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)] + [_hash(w)] * 3
+    w = f"<{word.lower()}>"
+    grams = [_hash(f"{n}{w[i : i + n]}") for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)] if len(w) < 24 else _gram_hashes(w)
+    return grams + [_hash(w)] * 3
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias, self.codes = weights, bias, codewords()
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, calibration: tuple[float, float] = (0.0, 1.0)):
+        self.weights, self.bias, self.codes, self.calibration = weights, bias, codewords(), calibration
         self._rows: dict[str, int] = {}
         self._scores = np.zeros((1024, BITS + 1), np.float32)
 
@@ -107,6 +120,11 @@ class Model:
         others = np.where(names[None, :] == names[best][:, None], np.inf, loss)
         return best, others.min(1) - loss[np.arange(len(best)), best]
 
+    def sure(self, gap: float) -> float:
+        """How often a sentence with that gap is read right, by the sentences kept out of training."""
+        a, b = self.calibration
+        return float(1 / (1 + np.exp(-np.clip(a + b * gap, -30, 30))))
+
     def classify(self, sentences: list[str]) -> list[tuple[str, float, int]]:
         """Language, gap to the next, and letters of each sentence."""
         rows, starts, letters = [], [], []
@@ -125,8 +143,8 @@ class Model:
         best, gap = self.nearest(total[:, :-1], total[:, -1])
         return [(CLASSES[b][:2], float(g), n) if n else ("und", 0.0, 0) for b, g, n in zip(best, gap, letters)]
 
-    def stretches(self, texts: list[str]) -> list[list[tuple[int, str, float, int]]]:
-        """start, language, confidence, sentences of each stretch of each text."""
+    def stretches(self, texts: list[str]) -> list[list[tuple[int, str, float, int, bool]]]:
+        """start, language, confidence, sentences of each stretch of each text, and whether it is ambiguous."""
         bounds, sentences = [], []
         for text in texts:
             s, own = 0, []
@@ -139,19 +157,19 @@ class Model:
             bounds.append(own)
         read, at, out = self.classify(sentences), 0, []
         for text, own in zip(texts, bounds):
-            out.append(_runs(text, [(start, *r) for start, r in zip(own, read[at : at + len(own)])]))
+            out.append(_runs(text, [(start, *r) for start, r in zip(own, read[at : at + len(own)])], self.sure))
             at += len(own)
         return out
 
 
-def _runs(text: str, units: list[tuple[int, str, float, int]]) -> list[tuple[int, str, float, int]]:
+def _runs(text: str, units: list[tuple[int, str, float, int]], sure_of: Callable[[float], float]) -> list[tuple[int, str, float, int, bool]]:
     if not units:
-        return [(0, "und", 0.0, 0)] if text.strip() else []
+        return [(0, "und", 0.0, 0, True)] if text.strip() else []
     sure = [lang if letters >= 12 and gap >= AMBIGUOUS else None for _, lang, gap, letters in units]
     first = next((x for x in sure if x), None)
     if first is None:
         best = max(units, key=lambda u: (u[3] > 0, u[2]))
-        return [(0, best[1], round(best[2] / (1 + best[2]), 6), len(units))]
+        return [(0, best[1], round(sure_of(best[2]), 6) if best[3] else 0.0, len(units), True)]
     out: list[list] = []
     now = first
     for (start, _, gap, _), lang in zip(units, sure):
@@ -160,7 +178,7 @@ def _runs(text: str, units: list[tuple[int, str, float, int]]) -> list[tuple[int
             out[-1][2].append(gap)
         else:
             out.append([start if out else 0, now, [gap]])
-    return [(a, b, round(float(np.mean(g)) / (1 + float(np.mean(g))), 6), len(g)) for a, b, g in out]
+    return [(a, b, round(sure_of(float(np.mean(g))), 6), len(g), bool(np.mean(g) < AMBIGUOUS)) for a, b, g in out]
 
 
 def readable(text: str) -> str:
@@ -183,7 +201,9 @@ def train(samples: list[tuple[str, str]], rounds: int = 3) -> Model:
     round but the last the sentences that the model reads otherwise are left out.
     """
     codes = codewords()
-    feats = [(np.array([f for w in _WORD.findall(t) for f in word_features(w)], np.int64), CLASSES.index(c)) for t, c in samples]
+    every = [(np.array([f for w in _WORD.findall(t) for f in word_features(w)], np.int64), CLASSES.index(c)) for t, c in samples]
+    # Every fifth sentence is kept out to tell how sure a gap makes.
+    feats, kept = [x for i, x in enumerate(every) if i % 5], [x for i, x in enumerate(every) if i % 5 == 0 and len(x[0])]
     use = feats
     for k in range(rounds):
         counts = np.zeros((len(CLASSES), FEATURES))
@@ -199,9 +219,24 @@ def train(samples: list[tuple[str, str]], rounds: int = 3) -> Model:
         model = Model(weights, np.zeros(BITS, np.float32))
         if k + 1 < rounds:
             use = [(f, c) for f, c in feats if len(f) and model.nearest(weights[f].sum(0)[None], np.array([len(f)]))[0][0] == c]
+    if kept:
+        best, gap = model.nearest(np.stack([weights[f].sum(0) for f, _ in kept]), np.array([len(f) for f, _ in kept]))
+        model.calibration = _calibrated(gap, best == np.array([c for _, c in kept]))
     return model
 
 
+def _calibrated(gap: np.ndarray, right: np.ndarray) -> tuple[float, float]:
+    """Logistic curve of being right by the gap; one right and one wrong sentence more than seen keep it finite."""
+    x, y = np.append(gap, [gap.mean()] * 2).astype(np.float64), np.append(right, [1, 0]).astype(np.float64)
+    w = np.zeros(2)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -30, 30)))
+        v = p * (1 - p) + 1e-6
+        step = np.linalg.solve([[v.sum() + 1e-3, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 1e-3]], [(y - p).sum(), ((y - p) * x).sum()])
+        w += np.clip(step, -2, 2)
+    return float(w[0]), float(w[1])
+
+
 def training_sample(rows: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, str]]:
     """At most ``per_class`` sentences of each class, from rows whose label and folder agree."""
     folder = F.split("id", "--").getItem(1)
@@ -236,11 +271,11 @@ def training_sample(rows: DataFrame, per_class: int = PER_CLASS) -> list[tuple[s
 
 
 def languages(df: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """id, named, seg_start, language, confidence, sentences: all stretches of all rows of df(id, kind_level, language, text, built_at)."""
+    """id, named, segs(seg_start, language, confidence, sentences, ambiguous): all stretches of all rows of df(id, kind_level, language, text, built_at)."""
     rows = df.where("id IS NOT NULL AND text IS NOT NULL")
     model = train(training_sample(rows, per_class))
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights, model.bias))
+    shared = spark.sparkContext.broadcast((model.weights, model.bias, model.calibration))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -252,11 +287,11 @@ def languages(df: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
                     out += [(ids[i], label_language(labels[i]), built[i], *x) for x in segs]
             if out:
                 cols = list(zip(*out))
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "named", "built", "seg_start", "language", "confidence", "sentences"])
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "named", "built", "seg_start", "language", "confidence", "sentences", "ambiguous"])
 
-    found = rows.select("id", "language", F.coalesce(F.unix_micros("built_at"), F.lit(0)).alias("built"), "text").mapInArrow(go, "id string, named string, built bigint, seg_start int, language string, confidence double, sentences int")
-    segs = found.groupBy("id", "built", "named").agg(F.array_sort(F.collect_set(F.struct("seg_start", "language", "confidence", "sentences"))).alias("segs"))
+    found = rows.select("id", "language", F.coalesce(F.unix_micros("built_at"), F.lit(0)).alias("built"), "text").mapInArrow(go, "id string, named string, built bigint, seg_start int, language string, confidence double, sentences int, ambiguous boolean")
+    segs = found.groupBy("id", "built", "named").agg(F.array_sort(F.collect_set(F.struct("seg_start", "language", "confidence", "sentences", "ambiguous"))).alias("segs"))
     return latest(segs, ["id"], "built").select("id", "named", F.col("segs"))
 
 

@@ -161,7 +161,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_languages(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk's stretches with language and confidence."""
-    return _languages(spark, d).select("id", "named", F.explode("segs").alias("s")).select("id", "named", "s.seg_start", "s.language", "s.confidence", "s.sentences")
+    return _languages(spark, d).select("id", "named", F.explode("segs").alias("s")).select("id", "named", "s.seg_start", "s.language", "s.confidence", "s.sentences", "s.ambiguous")
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
