@@ -15,8 +15,8 @@ Only records with a suspicious run (a JVM pattern) reach Python; the tables of
 the rounds hold one row per such record and chain, and sources enter by sums.
 
 Defined results: null and empty texts are clean; a null source is a source of
-its own; repeated ids count once (the latest build); a replacement character is
-evidence of a decoding that lost bytes, chain ``lost``.
+its own; repeated ids count once (the greatest suspicious row); a replacement
+character is evidence of a decoding that lost bytes, chain ``lost``.
 """
 
 from __future__ import annotations
@@ -63,11 +63,17 @@ _IMAGES = {c: _images(c) for c in CHARSETS}
 
 
 def suspicious() -> str:
-    """Java pattern of a character that can be a lead byte before one that can be a continuation."""
+    """Java pattern of a character that can be a lead byte before one that can be a continuation.
+
+    Blocks of characters that no charset has are passed over by a short class
+    first, as the long ones take a comparison a range.
+    """
     lead = {x for m in _IMAGES.values() for x, b in m.items() if b >= 0xC2} - {"�"}
     following = {x for m in _IMAGES.values() for x, b in m.items() if b < 0xC0}
+    blocks = [(0x00, 0x9F), (0x0900, 0x0DFF), (0x0E00, 0x0E7F), (0x3000, 0x9FFF)]
+    free = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in blocks if not any(a <= ord(x) <= b for x in lead))
     cls = lambda xs: "[" + "".join(f"\\u{ord(x):04x}" for x in sorted(xs)) + "]"
-    return f"{cls(lead)}{cls(following)}|\\ufffd"
+    return f"(?=[^{free}])(?:{cls(lead)}{cls(following)}|\\ufffd)"
 
 
 def undo(text: str, charset: str, halfway: bool = False) -> tuple[str, float]:
@@ -115,41 +121,56 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], names=["id", "source", "chain", "n"])
 
 
+SALT = 16
+
+
 class Garbled:
-    def __init__(self, df: DataFrame, key: str, source: str, text: str, order: str | None = None, rounds: int = 4):
+    """Affected records of ``df`` and their repair; a record's chains are one row, sources enter by sums."""
+
+    def __init__(self, df: DataFrame, key: str, source: str, text: str, rounds: int = 4):
         rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).where(F.col("id").isNotNull())
         self.suspects = rows.where(F.col("text").rlike(suspicious())).groupBy("id").agg(F.max(F.struct("source", "text")).alias("r")).select("id", "r.source", "r.text")
-        evidence = cut(self.suspects.mapInArrow(_evidence, "id string, source string, chain string, n double"))
-        sizes = cut(rows.select("id", "source").distinct().groupBy("source").agg(F.count("*").alias("rows")))
-        everything = sizes.agg(F.sum("rows").alias("all_rows"))
-        likelihood = evidence.select("id", "source", "chain", F.least("n", F.lit(400.0)).alias("ll"))
+        evidence = self.suspects.mapInArrow(_evidence, "id string, source string, chain string, n double")
+        chains = F.collect_list(F.struct("chain", F.least("n", F.lit(400.0)).alias("ll")))
+        records = cut(evidence.groupBy("id", "source").agg(F.array_sort(chains).alias("chains")))
+        sizes = cut(rows.groupBy("source").agg(F.count_distinct("id").alias("rows")))
+        everything = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("all_rows"))
         # The rates start equal for all sources.
-        weights = likelihood.withColumn("prior", F.lit(0.02 / len(CHAINS)))
+        prior = F.lit(0.02 / len(CHAINS))
+        known = records.withColumn("odds", F.transform("chains", lambda c: F.struct(c["chain"].alias("chain"), c["ll"].alias("ll"), prior.alias("prior"))))
         for _ in range(rounds):
-            posterior = self._posterior(weights)
-            by_source = posterior.groupBy("source", "chain").agg(F.sum("p").alias("w"))
+            by_source = self._posterior(known).select("source", F.explode("odds").alias("o")).groupBy("source", F.col("o.chain").alias("chain")).agg(F.sum("o.p").alias("w"))
+            by_source = cut(by_source)
+            # As many rows as there are chains.
             by_chain = by_source.groupBy("chain").agg(F.sum("w").alias("w_all")).crossJoin(F.broadcast(everything)).select("chain", ((F.col("w_all") + 0.1) / (F.col("all_rows") + 1)).alias("rate"))
             rates = by_source.join(F.broadcast(by_chain), "chain").join(sizes, "source").select("source", "chain", ((F.col("w") + SMOOTHING * F.col("rate")) / (F.col("rows") + SMOOTHING)).alias("prior"))
-            weights = cut(likelihood.join(rates, ["source", "chain"]).select("id", "source", "chain", "ll", "prior"))
-        self._weights = weights
+            known = self._with(records, rates)
+        self._known = known
 
     @staticmethod
-    def _posterior(weights: DataFrame) -> DataFrame:
-        """p of each chain of a record; what is missing to one is the record being right as it is."""
-        from pyspark.sql import Window as W
+    def _with(records: DataFrame, rates: DataFrame) -> DataFrame:
+        """``records`` with the rates of their sources; a source with many records is joined in parts."""
+        maps = rates.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "prior"))).alias("priors")).select("source", "priors", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
+        joined = records.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).hint("merge").join(maps, ["source", "part"])
+        return joined.select("id", "source", "chains", F.transform("chains", lambda c: F.struct(c["chain"].alias("chain"), c["ll"].alias("ll"), F.col("priors")[c["chain"]].alias("prior"))).alias("odds"))
 
-        per = W.partitionBy("id")
-        clean = F.greatest(F.lit(1e-6), 1 - F.sum("prior").over(per))
-        odds = F.log("prior") + F.col("ll")
-        top = F.greatest(F.max(odds).over(per), F.log(clean))
-        scaled = F.exp(odds - top)
-        total = F.sum(scaled).over(per) + F.exp(F.log(clean) - top)
-        return weights.withColumn("p", scaled / total)
+    @staticmethod
+    def _posterior(known: DataFrame) -> DataFrame:
+        """p of each chain of a record; what is missing to one is the record being right as it is."""
+        add = lambda a, x: a + x
+        clean = F.log(F.greatest(F.lit(1e-6), 1 - F.aggregate(F.transform("odds", lambda o: o["prior"]), F.lit(0.0), add)))
+        logs = F.transform("odds", lambda o: F.log(o["prior"]) + o["ll"])
+        topped = known.withColumns({"clean": clean, "logs": logs}).withColumn("top", F.greatest(F.array_max("logs"), "clean"))
+        scaled = F.transform("logs", lambda x: F.exp(x - F.col("top")))
+        total = topped.withColumn("scaled", scaled).withColumn("total", F.aggregate("scaled", F.lit(0.0), add) + F.exp(F.col("clean") - F.col("top")))
+        return total.select("id", "source", F.zip_with("odds", "scaled", lambda o, x: F.struct(o["chain"].alias("chain"), (x / F.col("total")).alias("p"))).alias("odds"))
 
     def affected(self, least: float = 0.5) -> DataFrame:
         """id, source, chain, p: the affected records, their likeliest chain and the posterior of being garbled."""
-        best = self._posterior(self._weights).groupBy("id", "source").agg(F.sum("p").alias("p"), F.max_by("chain", F.struct("p", "chain")).alias("chain"))
-        return best.where(F.col("p") > least).select("id", "source", "chain", F.round("p", 6).alias("p"))
+        best = self._posterior(self._known)
+        ranked = F.array_max(F.transform("odds", lambda o: F.struct(o["p"].alias("p"), o["chain"].alias("chain"))))
+        summed = best.select("id", "source", F.aggregate("odds", F.lit(0.0), lambda a, o: a + o["p"]).alias("p"), ranked["chain"].alias("chain"))
+        return summed.where(F.col("p") > least).select("id", "source", "chain", F.round("p", 6).alias("p"))
 
     def repaired(self) -> DataFrame:
         """id, chain, p, text: the affected records with their text put right as far as it can be had."""
