@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pothi.operators.logs import log_time
-from pothi.plans.lineage import shared_folder
+from pothi.plans.lineage import new_path
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Log entries as they arrive in the folder of the table, each retry once within two days of its time."""
+    """Log entries as they arrive in the folder of the table, each retry once within ten days of its time."""
     path = f"{folder}/access_log.parquet"
     schema = spark.read.parquet(path).schema
     # A single file is found by a pattern on its name; a folder of part files is watched whole.
@@ -29,9 +27,13 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 def daily_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
     """day, n: requests of each UTC day, counted by a stream over all that is there."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "days")
     days = stream(spark, folder).groupBy(F.window("at", "1 day").alias("w")).agg(F.count("*").alias("n"))
-    name = f"days_{uuid.uuid4().hex}"
-    query = days.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", base).trigger(availableNow=True).start()
+
+    def store(batch: DataFrame, number: int) -> None:
+        # Days that changed, by batch: the latest count of a day holds. A batch run again replaces its own rows.
+        batch.select(F.to_date("w.start").cast("string").alias("day"), "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = days.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select(F.to_date("w.start").cast("string").alias("day"), "n")
+    return spark.read.option("basePath", out).parquet(out).groupBy("day").agg(F.max_by("n", "batch").alias("n"))
