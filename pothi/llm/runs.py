@@ -42,15 +42,27 @@ def _values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return values.view(np.uint64), starts - starts[0]
 
 
+def bits_of(df: DataFrame, column: str, words: int) -> np.ndarray:
+    """A filter of ``words`` (a power of two) 64-bit words with a bit set for each hash of a column.
+
+    The driver gets at most one row a word.
+    """
+    h = F.col(column)
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{column}`, 58) AS INT))")
+    set_ = df.groupBy(h.bitwiseAND(F.lit(words - 1)).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[set_.column("at").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def runs_of(n: int, known: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """id, run: every run; with ``known`` (sorted), only runs found there."""
+    """id, run: every run; with ``known`` (a filter), only runs it may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, row = run_hashes(*_values(batch), n)
             if known is not None and len(h):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[at] == h
+                hit = (known[h & np.uint64(len(known) - 1)] >> (h >> np.uint64(58))) & np.uint64(1) == 1
                 h, row = h[hit], row[hit]
             if len(h):
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(h.view(np.int64))], names=["id", "run"])
