@@ -23,7 +23,7 @@ def story_scores(candidates: DataFrame, stories: DataFrame) -> DataFrame:
     """key, story_id, score, about, people, places, hits of candidates and stories that share a place or two people.
 
     Of pairs that share the member only, none is written: they all score 2, and
-    ``story_match`` names them by the member.
+    ``story_ties`` names them by the member.
     """
     names = lambda df, key, c: df.select(key, F.explode(F.array_distinct(c)).alias("name"))
     shared = lambda c: names(candidates, "key", c).join(names(stories, "story_id", c), "name").groupBy("key", "story_id").agg(F.count("*").alias("n"))
@@ -57,6 +57,13 @@ def told_again(candidates: DataFrame, stories: DataFrame) -> DataFrame:
 
 
 def story_match(candidates: DataFrame, stories: DataFrame) -> DataFrame:
+    """key, bucket, story_id: as ``story_ties``, but with a row for each story that ties."""
+    ties = story_ties(candidates, stories)
+    members = stories.select(F.col("story_id").alias("of_member"), F.col("about_member").alias("all_of"))
+    return ties.join(members, "all_of", "left").select("key", "bucket", F.coalesce("story_id", "of_member").alias("story_id"))
+
+
+def story_ties(candidates: DataFrame, stories: DataFrame) -> DataFrame:
     """key, bucket, score, story_id, all_of: HIGH with the one best story, MEDIUM with all that tie, LOW with none.
 
     A member counts 2, two people 1, a place 1, two phrases 1. HIGH needs 4 and a
@@ -87,7 +94,7 @@ def word_pairs(df: DataFrame, key: str, group: str, words: str) -> DataFrame:
     Of n words, rarest first, the first n - ceil(n / 2) + 1 are joined; two sets
     that are alike enough share one of them.
     """
-    sets = df.select(F.col(key).alias("k"), F.coalesce(F.col(group), F.lit("")).alias("g"), F.array_distinct(words).alias("ws")).where("size(ws) > 0")
+    sets = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.array_distinct(words).alias("ws")).where("g IS NOT NULL AND size(ws) > 0")
     token = sets.select("k", "g", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     ranked = token.join(token.groupBy("g", "w").agg(F.count("*").alias("df")), ["g", "w"]).withColumn("r", F.row_number().over(W.partitionBy("g", "k").orderBy("df", "w")))
     first = ranked.where("r <= n - ceil(n / 2) + 1")
@@ -102,10 +109,10 @@ def word_pairs(df: DataFrame, key: str, group: str, words: str) -> DataFrame:
 def cross_match(df: DataFrame, key: str, group: str, phrases: str, line: str) -> DataFrame:
     """key_a, key_b, shared, jaccard: rows of a group that share a phrase, and else those whose lines are alike.
 
-    Rows without a group are one. ``shared`` counts phrases in common; where there
+    Rows without a group aren't compared. ``shared`` counts phrases in common; where there
     are none, ``jaccard`` of the words of the lines is 0.5 or more, to two places.
     """
-    each = df.select(F.col(key).alias("k"), F.coalesce(F.col(group), F.lit("")).alias("g"), F.explode(F.array_distinct(phrases)).alias("p"))
+    each = df.where(F.col(group).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g"), F.explode(F.array_distinct(phrases)).alias("p"))
     a, b = each.alias("a"), each.alias("b")
     met = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")))
     shared = met.groupBy(F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b")).agg(F.count("*").alias("shared"))

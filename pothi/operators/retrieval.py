@@ -42,11 +42,12 @@ def hits(df: DataFrame, key: str, text: str, asked: DataFrame, most_terms: int =
 
     Texts are taken apart once and stay where they are; what is exchanged are the
     counts of asked terms and one count of all others. A text whose key occurs
-    twice counts once (the text of the least hash). The asked terms go to all
+    twice counts once (the text of the least hash), a null text has no terms. The asked terms go to all
     tasks while there are at most ``most_terms``, beyond by a shuffle.
     """
     few = asked.limit(most_terms + 1).count() <= most_terms
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.explode(F.concat(F.array(F.lit(_ROW)), words(F.col(text)))).alias("raw"))
+    some = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(some).alias("h"), F.explode(F.concat(F.array(F.lit(_ROW)), words(some))).alias("raw"))
     token = trimmed(F.col("raw"))
     occurs = rows.select("key", "h", F.explode(F.when(F.col("raw") == _ROW, F.array(F.lit(_ROW))).otherwise(index_terms(token))).alias("term"))
     wanted = asked.select(F.col("term").alias("asked")).distinct()

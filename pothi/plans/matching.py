@@ -16,8 +16,8 @@ from pothi.sources.tables import table as t
 EDGES = [0.0, 0.2, 0.4, 0.6, 0.82, 0.86, 0.90, 0.94, 0.98, 1.01]
 
 
-def _candidates(s, d):
-    c = t(s, d, "candidate", "file", "idx", "about_member", "raw_text", "key_people", "locations", "fingerprint_phrases", "one_line").distinct()
+def _candidates(s, d, *more):
+    c = t(s, d, "candidate", "file", "idx", "about_member", "raw_text", "key_people", "locations", "fingerprint_phrases", *more).distinct()
     return c.withColumn("key", F.concat_ws("#", "file", "idx"))
 
 
@@ -31,12 +31,13 @@ def _stories(s, d):
 
 
 def g05_story_match(s, d):
-    return ma.story_match(_candidates(s, d), _stories(s, d))
+    """Ties for being of one member are one row; see the operator."""
+    return ma.story_ties(_candidates(s, d), _stories(s, d))
 
 
 def g06_cross_match(s, d):
     """Candidates of one member that share a phrase, and those alike by their one line."""
-    return ma.cross_match(_candidates(s, d), "key", "about_member", "fingerprint_phrases", "one_line")
+    return ma.cross_match(_candidates(s, d, "one_line"), "key", "about_member", "fingerprint_phrases", "one_line")
 
 
 def k01_title_keys(s, d):
@@ -70,13 +71,13 @@ def k19_people(s, d):
 
 
 def k20_one_lines(s, d):
-    return _candidates(s, d).select("key", F.md5(ig.one_line(F.col("raw_text"), F.col("one_line"))).alias("line_md5"))
+    return _candidates(s, d, "one_line").select("key", F.md5(ig.one_line(F.col("raw_text"), F.col("one_line"))).alias("line_md5"))
 
 
 def _incoming(s, d):
     """Tellings that belong to a story: those of its member and one line."""
     m = t(s, d, "meta", "story_id", "about_member", "one_line").where("one_line IS NOT NULL")
-    return _candidates(s, d).join(m, ["about_member", "one_line"]).select("story_id", F.col("key").alias("file"), "key_people", "locations")
+    return _candidates(s, d, "one_line").join(m, ["about_member", "one_line"]).select("story_id", F.col("key").alias("file"), "key_people", "locations")
 
 
 def j05_merge_variants(s, d):
@@ -171,7 +172,7 @@ BINS = "SELECT CASE " + " ".join(f"WHEN confidence >= {a} AND confidence < {b} T
 SQL = {
     "G05_story_match": f"""WITH {_PAIRS}, rowed AS (SELECT key, CASE WHEN score >= 4 AND best_hits >= 1 THEN 'HIGH' WHEN score >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS bucket, score, CASE WHEN score < 2 OR (score = 2 AND about) THEN NULL ELSE story_id END AS story_id, CASE WHEN score = 2 AND about THEN about_member END AS all_of, r FROM tops)
       SELECT DISTINCT key, bucket, CASE WHEN bucket = 'LOW' THEN 0 ELSE score END AS score, story_id, all_of FROM rowed WHERE bucket <> 'HIGH' OR r = 1""",
-    "G06_cross_match": f"""WITH c AS (SELECT key, coalesce(about_member, '') AS g, coalesce(fingerprint_phrases, []) AS ps, {_WORDS('one_line')} AS ws FROM {_CAND}), p AS (SELECT a.key AS key_a, b.key AS key_b, len(list_intersect(a.ps, b.ps)) AS shared, len(list_intersect(a.ws, b.ws)) AS m, len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)) AS e, len(a.ws) AS n1, len(b.ws) AS n2 FROM c a JOIN c b ON a.g = b.g AND a.key < b.key)
+    "G06_cross_match": f"""WITH c AS (SELECT key, about_member AS g, coalesce(fingerprint_phrases, []) AS ps, {_WORDS('one_line')} AS ws FROM {_CAND}), p AS (SELECT a.key AS key_a, b.key AS key_b, len(list_intersect(a.ps, b.ps)) AS shared, len(list_intersect(a.ws, b.ws)) AS m, len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)) AS e, len(a.ws) AS n1, len(b.ws) AS n2 FROM c a JOIN c b ON a.g = b.g AND a.key < b.key)
       SELECT key_a, key_b, shared, CASE WHEN shared = 0 THEN round(m / e, 2) END AS jaccard FROM p WHERE shared > 0 OR (n1 > 0 AND n2 > 0 AND m / e >= 0.5)""",
     "K01_title_keys": "SELECT work_id, " + ", ".join(f"{_key(f'''coalesce({c}, '')''')} AS of_{c}" for c in ("title", "title_en", "title_translit")) + " FROM works",
     "G07_quoted_titles": f"WITH {_TITLES}, {_QUESTIONS}, {_QUOTED} SELECT qid, work_id FROM quoted",
