@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, MIN_LEN, HOT = 64, 220, 48
+from pothi.plans.lineage import cut
+
+GRAM, MIN_LEN, HOT, PART = 64, 220, 48, 500
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _POS_BITS = np.uint64(22)
@@ -219,7 +221,7 @@ class SharedSpans:
     def __init__(self, df: DataFrame, key: str, group: str, text: str, min_len: int = MIN_LEN, gram: int = GRAM, hot: int = HOT):
         self.min_len = min_len
         rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= min_len))
-        kept = rows.mapInArrow(_anchor_batches(gram, min_len), "id string, grp string, pos int, h bigint").distinct()
+        kept = cut(rows.mapInArrow(_anchor_batches(gram, min_len), "id string, grp string, pos int, h bigint").distinct())
         stats = kept.groupBy("h").agg(F.count("*").alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("h", (F.col("n") > hot).alias("is_hot"))
         hits = kept.join(stats, "h").groupBy("id", "grp").agg(F.collect_list(F.struct("pos", "h", "is_hot")).alias("hits"))
         texts = rows.join(hits, ["id", "grp"])
@@ -235,9 +237,13 @@ class SharedSpans:
     def pairs(self) -> DataFrame:
         ordered = lambda a, b: [F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")]
         cool = self._cool.select(*ordered("id_1", "id_2"))
+        # A window that many records have is met in parts: each record in one part, and with all others there.
         members = self._hot.select("w", "id", "grp").distinct()
-        a, b = members.alias("a"), members.alias("b")
-        hot = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.grp") != F.col("b.grp"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+        parts = members.groupBy("w").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        split = members.join(parts, "w")
+        a = split.select("w", "id", "grp", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).alias("a")
+        b = split.select("w", "id", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("b")
+        hot = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.grp") != F.col("b.grp"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
         return cool.unionByName(hot).where("id_a <> id_b").distinct()
 
     @property
