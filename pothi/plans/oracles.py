@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pothi.functions.lexical import PROSE_WORDS_EN, PROSE_WORDS_MR, STOPWORDS, SUFFIXES
 from pothi.operators.retrieval import TIER_WEIGHTS
-from pothi.plans import matching, texts
+from pothi.plans import citing, matching, texts
 
 _SPACE = r"[\s\x{0085}\x{00A0}\x{2007}\x{202F}\x{3000}]"
 _list = lambda xs: ", ".join("'" + x + "'" for x in xs)
@@ -80,8 +80,6 @@ SQL = {
     "C08_work_filter": "SELECT work_id, title, title_en FROM works WHERE contains(lower(title), 'river') OR contains(lower(title_en), 'river')",
     "C09_noise_filters": f"""SELECT doc_id, len_short / n > 0.6 AS ocr_noise, {_n('text', '[0-9०-९]')} / length(text) > 0.3 AS index_entries
       FROM (SELECT doc_id, text, len(w) AS n, len(list_filter(w, lambda x: length(x) <= 3)) AS len_short FROM (SELECT doc_id, text, regexp_split_to_array(trim(text), ' +') AS w FROM {_DOCS} WHERE trim(text) <> ''))""",
-    "C10_under_cited": """SELECT answer_id, passages, cited, (passages >= 1 AND cited = 0) OR (body_chars >= 200 AND cited < 2) AS under_cited FROM (
-      SELECT answer_id, count(passage) AS passages, count(*) FILTER (coalesce(body, '') <> '') AS cited, sum(length(coalesce(body, ''))) AS body_chars FROM (SELECT DISTINCT quote_id, answer_id, passage, body FROM quotes) GROUP BY answer_id)""",
     "C13_cite_is_clean": f"""SELECT CASE WHEN trim(cite_text) = '' THEN 'empty' WHEN regexp_matches(cite_text, '[\\x{{FFFD}}\\x{{200B}}\\x{{FEFF}}]') THEN 'broken' WHEN {_n('cite_text', _DEVA)} < 20 THEN 'few letters' WHEN {_n('cite_text', '[A-Za-z]')} > {_n('cite_text', _DEVA)} THEN 'latin' ELSE 'clean' END AS reason, count(*) AS n
       FROM {_CHUNKS} WHERE cite_text IS NOT NULL GROUP BY ALL""",
     "D01_manifest": f"""SELECT work_id, arg_min(kind, id) AS kind, (min_by({{'a': author}}, id)).a AS author, (min_by({{'a': title}}, id)).a AS title, array_to_string(list_sort(list_distinct(list(language) FILTER (language IS NOT NULL))), ',') AS languages, count(*) AS chunks FROM {_CHUNKS} GROUP BY work_id""",
@@ -172,5 +170,5 @@ SQL = {
     "J10_filled_ids": "SELECT coalesce(nullif(trim(name, ' '), ''), ts || '-' || (row_number() OVER (PARTITION BY ts ORDER BY path, name NULLS FIRST) - 1)) AS id, ts, path FROM (SELECT DISTINCT ts, name, path FROM access_log)",
     "K29_word_count": f"SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS n_words FROM {_DOCS}",
 }
-SQL |= texts.SQL | matching.SQL
+SQL |= texts.SQL | matching.SQL | citing.SQL
 SQL |= {"G04_citation_aliases": matching._alias_sql("SELECT split_part(c, '|', 2) AS id, split_part(o, '|', 2) AS alias_id, confidence FROM al"), "D09_histogram": matching._alias_sql(matching.BINS)}

@@ -13,7 +13,7 @@ from pothi.operators import corpus as co
 from pothi.operators import logs as lo
 from pothi.operators import reader as rd
 from pothi.operators import retrieval as re_
-from pothi.plans import matching, texts
+from pothi.plans import citing, matching, texts
 from pothi.sources.tables import latest
 from pothi.sources.tables import table as t
 
@@ -69,11 +69,6 @@ def c09_noise_filters(s, d):
     return _documents(s, d, "doc_id", "text").where("trim(text) <> ''").select("doc_id", (short > 0.6).alias("ocr_noise"), (digits > 0.3).alias("index_entries"))
 
 
-def c10_under_cited(s, d):
-    q = t(s, d, "quotes", "quote_id", "answer_id", "passage", "body").distinct()
-    return q.groupBy("answer_id").agg(F.count("passage").alias("passages"), F.sum(F.length(F.coalesce("body", F.lit("")))).alias("body_chars"), F.count_if(F.coalesce("body", F.lit("")) != "").alias("cited")).select("answer_id", "passages", "cited", ((F.col("passages") >= 1) & (F.col("cited") == 0) | (F.col("body_chars") >= 200) & (F.col("cited") < 2)).alias("under_cited"))
-
-
 def c13_cite_is_clean(s, d):
     c = F.col("cite_text")
     deva, latin = lx.count_class(c, "[ऀ-ॿ]"), lx.count_class(c, "[A-Za-z]")
@@ -392,17 +387,6 @@ def k05_clean_body(s, d):
     return q.select("quote_id", F.md5(ci.clean_body(F.col("body"))).alias("body_md5"))
 
 
-def k07_splice(s, d):
-    q = t(s, d, "quotes", "quote_id", "quote_start", "quote_end", "body").distinct()
-    return q.select("quote_id", F.md5(ci.splice(F.col("body"), F.col("quote_start"), F.col("quote_end"))).alias("spliced_md5"))
-
-
-def k10_check_quotes(s, d):
-    q = t(s, d, "quotes", "quote_id", "work_id", "body").where("work_id <> ''").distinct()
-    c = _chunks(s, d, "work_id", "kind_level", "text").where("kind_level = 'parent'").select("work_id", "text")
-    return ci.check(q, c, "quote_id", "work_id", "body", "text").groupBy("status").agg(F.count("*").alias("n"))
-
-
 def k23_labels(s, d):
     q = t(s, d, "quotes", "quote_id", "answer_id", "ord").distinct()
     return q.select("quote_id", ci.passage_label(F.col("ord")).alias("label"))
@@ -497,4 +481,4 @@ def k29_word_count(s, d):
 
 
 _ALL = [f for n, f in list(globals().items()) if n[0] in "acdefghijks" and n[1:3].isdigit() and callable(f)]
-QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES, **matching.QUERIES}
+QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES, **matching.QUERIES, **citing.QUERIES}
