@@ -177,7 +177,7 @@ def plain_text(html: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", "\n"), "<[^>]+>", "")
     for entity, sign in [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]:
         out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"[ \t]+(?=\n|$)", ""))
+    return strip(F.regexp_replace(out, r"[ \t]+(?=\n|$)", ""))
 
 
 def shortened(text: Column, n: int = 160) -> Column:

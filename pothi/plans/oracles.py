@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pothi.functions.lexical import PROSE_WORDS_EN, PROSE_WORDS_MR, STOPWORDS, SUFFIXES
 from pothi.operators.retrieval import TIER_WEIGHTS
-from pothi.plans import citing, matching, texts
+from pothi.plans import building, citing, matching, texts
 
 _SPACE = r"[\s\x{0085}\x{00A0}\x{2007}\x{202F}\x{3000}]"
 _list = lambda xs: ", ".join("'" + x + "'" for x in xs)
@@ -78,24 +78,18 @@ SQL = {
       FROM {_CHUNKS} CROSS JOIN (SELECT unnest(['doctrinal', 'narrative', 'navigational', 'other']) AS intent) GROUP BY ALL""",
     "C07_log_paths": f"SELECT CASE WHEN starts_with(path, '/read/') THEN '/read/' ELSE path END AS route, count(*) AS n FROM {_REQ} WHERE path IN ('/ask', '/works') OR starts_with(path, '/read/') GROUP BY ALL",
     "C08_work_filter": "SELECT work_id, title, title_en FROM works WHERE contains(lower(title), 'river') OR contains(lower(title_en), 'river')",
-    "C09_noise_filters": f"""SELECT doc_id, len_short / n > 0.6 AS ocr_noise, {_n('text', '[0-9०-९]')} / length(text) > 0.3 AS index_entries
-      FROM (SELECT doc_id, text, len(w) AS n, len(list_filter(w, lambda x: length(x) <= 3)) AS len_short FROM (SELECT doc_id, text, regexp_split_to_array(trim(text), ' +') AS w FROM {_DOCS} WHERE trim(text) <> ''))""",
     "C13_cite_is_clean": f"""SELECT CASE WHEN trim(cite_text) = '' THEN 'empty' WHEN regexp_matches(cite_text, '[\\x{{FFFD}}\\x{{200B}}\\x{{FEFF}}]') THEN 'broken' WHEN {_n('cite_text', _DEVA)} < 20 THEN 'few letters' WHEN {_n('cite_text', '[A-Za-z]')} > {_n('cite_text', _DEVA)} THEN 'latin' ELSE 'clean' END AS reason, count(*) AS n
       FROM {_CHUNKS} WHERE cite_text IS NOT NULL GROUP BY ALL""",
     "D01_manifest": f"""SELECT work_id, arg_min(kind, id) AS kind, (min_by({{'a': author}}, id)).a AS author, (min_by({{'a': title}}, id)).a AS title, array_to_string(list_sort(list_distinct(list(language) FILTER (language IS NOT NULL))), ',') AS languages, count(*) AS chunks FROM {_CHUNKS} GROUP BY work_id""",
     "D01_kind_rollup": f"SELECT kind, language, count(*) AS chunks, count(DISTINCT work_id) AS works FROM {_CHUNKS} GROUP BY GROUPING SETS ((kind), (language), ())",
     "D02_tallies": f"SELECT kind, kind_level, count(*) AS n, sum(token_estimate) AS tokens FROM {_CHUNKS} GROUP BY ALL",
-    "D03_library_stats": "SELECT about_member, count(*) AS stories, count(*) FILTER (coalesce(len(variants), 0) >= 2) AS several, sum(coalesce(len(variants), 0)) AS variants, count(*) FILTER (consolidated IS NOT NULL) AS consolidated FROM meta GROUP BY about_member",
     "D04_term_stats": f"SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM ({_terms(_DOCS, 'doc_id', 'text')}) GROUP BY ALL) GROUP BY term",
     "D05_works_catalog": f"SELECT work_id, id AS first_id, title, language FROM {_CHUNKS} QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY id) = 1",
-    "D06_running_headers": f"""SELECT source_path, line, count(*) AS n FROM (SELECT source_path, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM {_CHUNKS} WHERE kind_level = 'parent')
-      WHERE length(line) > 3 AND length(line) <= 80 AND NOT regexp_matches(line, '^[०-९\\d\\s।॥\\-\\.]+$') GROUP BY ALL HAVING count(*) >= 2""".replace(">= 2", ">= greatest(2, 2)"),
     "D07_gate": f"""SELECT doc_id, n_chars, broken, mojibake, devanagari, latin, CASE WHEN broken > 0.001 OR mojibake > 0.0005 THEN 'fail' WHEN devanagari < 0.35 THEN 'warn' ELSE 'pass' END AS verdict FROM (
       SELECT doc_id, length(text) AS n_chars, round({_n('text', '�')} / greatest(1, length(text)), 6) AS broken, round({_n('text', '[˜Ï¡Ô†¬»½ѽ]')} / greatest(1, length(text)), 6) AS mojibake, round({_n('text', _DEVA)} / greatest(1, length(text)), 6) AS devanagari, round({_n('text', '[A-Za-z]')} / greatest(1, length(text)), 6) AS latin FROM {_DOCS})""",
     "D10_hit_at_k": f"{_B}, best AS ({_top(10)}) SELECT item_id, max(CAST(coalesce(list_contains(expected, work_id), false) AS INT)) AS hit, count(*) AS n FROM best JOIN (SELECT DISTINCT doc_id, work_id FROM documents) USING (doc_id) JOIN gold USING (item_id) GROUP BY item_id",
     "D12_ingest_check": f"""SELECT work_id, count(*) FILTER (kind_level = 'child') AS children, count(*) FILTER (kind_level = 'child' AND cite_text IS NOT NULL) AS citable, count(*) FILTER (kind_level = 'child' AND cite_text IS NULL) AS retrieval_only, count(*) FILTER (trim(cite_text) = '') AS empty_cites,
       count(*) FILTER (kind_level = 'child' AND parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM chunks WHERE kind_level = 'parent')) AS orphans FROM {_CHUNKS} GROUP BY work_id""",
-    "D15_row_alignment": "SELECT count(*) AS rows, count(DISTINCT id) AS ids, count(*) = count(DISTINCT id) AS aligned FROM chunks",
     "D17_sweep_summary": f"{_B}, best AS ({_top(10)}) SELECT item_id, min(score) AS low, max(score) AS high, round(avg(CASE WHEN doc_type = 'letter' THEN 1.0 WHEN doc_type IS NOT NULL THEN 0.0 END), 6) AS letters FROM best JOIN (SELECT DISTINCT doc_id, doc_type FROM documents) USING (doc_id) GROUP BY item_id",
     "E01_tokens": f"SELECT item_id, term, count(*) AS tf FROM ({_terms('gold', 'item_id', 'query')}) GROUP BY ALL",
     "E02_stems": f"""SELECT DISTINCT tok AS token, left(tok, length(tok) - length(suffix)) AS stem FROM (SELECT tok, list_filter([{_list(SUFFIXES)}], lambda s: ends_with(tok, s) AND length(tok) - length(s) >= 2)[1] AS suffix
@@ -115,7 +109,6 @@ SQL = {
     "F08_token_estimate": f"SELECT id, greatest(1, CAST(floor(length(text) / CASE WHEN d THEN 3 ELSE 4 END) AS INT)) AS tokens, d AS devanagari FROM (SELECT id, text, CASE WHEN length(text) > 0 THEN {_n('text', _DEVA)} / length(text) > 0.3 ELSE false END AS d FROM {_CHUNKS})",
     "G01_child_to_parent": f"SELECT c.id, c.parent_id, length(p.text) AS parent_chars FROM {_CHUNKS} c LEFT JOIN {_CHUNKS} p ON c.parent_id = p.id AND p.kind_level = 'parent' WHERE c.kind_level = 'child'",
     "G02_carry_over": f"SELECT CASE WHEN built_at < TIMESTAMPTZ '2026-07-01 00:00:00+00' THEN 'carried' ELSE 'new' END AS state, count(*) AS n FROM {_CHUNKS} GROUP BY ALL",
-    "G03_orphans": f"SELECT id, parent_id FROM {_CHUNKS} WHERE kind_level = 'child' AND (parent_id IS NULL OR parent_id NOT IN (SELECT id FROM chunks WHERE kind_level = 'parent'))",
     "G13_semi_join": "SELECT work_id, title FROM works WHERE work_id IN (SELECT work_id FROM quotes WHERE work_id <> '')",
     "H02_rrf": f"""{_B}, {_DENSE}, {_RRF('dn')} {_top(10, 'fused', 'item_id', 'fused DESC, doc_id')}""",
     "H01_ranks": "SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0",
@@ -141,7 +134,6 @@ SQL = {
     "SELECT item_id, parent_id, work_id, row_number() OVER (PARTITION BY item_id ORDER BY best) AS place, least(m, 3) AS children FROM w QUALIFY place <= 12",
     "I08_tail": f"SELECT ts, name, path, status FROM {_REQ} ORDER BY tm DESC, concat_ws('|', name, method, path) DESC LIMIT 50",
     "I11_recent": f"SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY tm DESC, path) AS place FROM (SELECT name, path, max(tm) AS tm FROM {_REQ} WHERE name <> '' AND path LIKE '/read/%' GROUP BY ALL) QUALIFY place <= 20",
-    "J01_union_sources": "SELECT src, count(*) AS n, count(DISTINCT work_id) AS works FROM (SELECT 'chunks' AS src, work_id FROM chunks UNION ALL SELECT 'documents', work_id FROM documents UNION ALL SELECT 'quotes', work_id FROM quotes) GROUP BY src",
     "J07_evict": f"SELECT work_id, count(*) AS n FROM {_CHUNKS} WHERE NOT starts_with(id, 'window-') AND NOT starts_with(id, 'salt-') GROUP BY work_id",
     "J08_title_dedupe": "SELECT DISTINCT lower(trim(title, ' ')) AS title, work_id FROM works WHERE trim(title, ' ') <> ''",
     "K05_clean_body": r"SELECT DISTINCT quote_id, md5(regexp_replace(replace(body, '�', ' '), '[\x{200B}\x{FEFF}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]', '', 'g')) AS body_md5 FROM quotes WHERE body IS NOT NULL",
@@ -161,7 +153,6 @@ SQL = {
     "H06_numbering": f"SELECT id, sum(CASE WHEN is_heading THEN 0 ELSE 1 END) OVER (PARTITION BY work_id ORDER BY n) AS body_no FROM {_READER}",
     "H11_chapter_starts": f"SELECT id, NOT coalesce(lag(chapter) OVER (PARTITION BY work_id ORDER BY n) = chapter, false) AS starts FROM {_READER}",
     "H13_first_per_chapter": f"SELECT work_id, chapter, id, n FROM {_READER} QUALIFY row_number() OVER (PARTITION BY work_id, chapter ORDER BY n) = 1",
-    "H14_section_slices": f"WITH f AS (SELECT work_id, chapter, min(n) AS n FROM {_READER} GROUP BY ALL) SELECT work_id, chapter, n, lead(n, 1, -1) OVER (PARTITION BY work_id ORDER BY n) AS until FROM f",
     "I09_best_samples": f"SELECT id, quality_score FROM {_CHUNKS} WHERE quality_score IS NOT NULL ORDER BY quality_score DESC, id LIMIT 40",
     "I10_kept_links": """SELECT answer_id, count(*) FILTER (r <= 3) AS kept, count(*) FILTER (r > 3) AS dropped FROM (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY ord, quote_id) AS r
       FROM (SELECT DISTINCT quote_id, answer_id, ord, work_id FROM quotes WHERE work_id <> '') WHERE work_id IN (SELECT work_id FROM works)) GROUP BY answer_id""",
@@ -170,5 +161,5 @@ SQL = {
     "J10_filled_ids": "SELECT coalesce(nullif(trim(name, ' '), ''), ts || '-' || (row_number() OVER (PARTITION BY ts ORDER BY path, name NULLS FIRST) - 1)) AS id, ts, path FROM (SELECT DISTINCT ts, name, path FROM access_log)",
     "K29_word_count": f"SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS n_words FROM {_DOCS}",
 }
-SQL |= texts.SQL | matching.SQL | citing.SQL
+SQL |= texts.SQL | matching.SQL | citing.SQL | building.SQL
 SQL |= {"G04_citation_aliases": matching._alias_sql("SELECT split_part(c, '|', 2) AS id, split_part(o, '|', 2) AS alias_id, confidence FROM al"), "D09_histogram": matching._alias_sql(matching.BINS)}

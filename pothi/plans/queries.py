@@ -13,7 +13,7 @@ from pothi.operators import corpus as co
 from pothi.operators import logs as lo
 from pothi.operators import reader as rd
 from pothi.operators import retrieval as re_
-from pothi.plans import citing, matching, texts
+from pothi.plans import building, citing, matching, texts
 from pothi.sources.tables import latest
 from pothi.sources.tables import table as t
 
@@ -62,13 +62,6 @@ def c08_work_filter(s, d):
     return t(s, d, "works", "work_id", "title", "title_en").where(title(F.col("title")) | title(F.col("title_en")))
 
 
-def c09_noise_filters(s, d):
-    w = F.split(F.trim("text"), " +")
-    short = F.size(F.filter(w, lambda x: F.length(x) <= 3)) / F.size(w)
-    digits = lx.count_class(F.col("text"), "[0-9०-९]") / F.length("text")
-    return _documents(s, d, "doc_id", "text").where("trim(text) <> ''").select("doc_id", (short > 0.6).alias("ocr_noise"), (digits > 0.3).alias("index_entries"))
-
-
 def c13_cite_is_clean(s, d):
     c = F.col("cite_text")
     deva, latin = lx.count_class(c, "[ऀ-ॿ]"), lx.count_class(c, "[A-Za-z]")
@@ -89,12 +82,6 @@ def d02_tallies(s, d):
     return _chunks(s, d, "kind", "kind_level", "token_estimate").groupBy("kind", "kind_level").agg(F.count("*").alias("n"), F.sum("token_estimate").alias("tokens"))
 
 
-def d03_library_stats(s, d):
-    m = t(s, d, "meta", "about_member", "variants", "consolidated")
-    n = F.coalesce(F.size("variants"), F.lit(0))
-    return m.groupBy("about_member").agg(F.count("*").alias("stories"), F.count_if(n >= 2).alias("several"), F.sum(F.greatest(n, F.lit(0))).alias("variants"), F.count_if(F.col("consolidated").isNotNull()).alias("consolidated"))
-
-
 def d04_term_stats(s, d):
     """Documents and places of every term."""
     post = re_.postings(_documents(s, d, "doc_id", "text"), "doc_id", "text")
@@ -113,20 +100,10 @@ def d05_works_catalog(s, d):
     return c.groupBy("work_id").agg(F.min_by(F.struct("id", "title", "language"), "id").alias("f")).select("work_id", F.col("f.id").alias("first_id"), F.col("f.title").alias("title"), F.col("f.language").alias("language"))
 
 
-def d06_running_headers(s, d):
-    lines = _chunks(s, d, "source_path", "kind_level", "text").where("kind_level = 'parent'").select("source_path", F.explode(F.split("text", "\n")).alias("l"))
-    return co.running_headers(lines, "source_path", "l", 10, 2)
-
-
 def d07_gate(s, d):
     return co.gate(_documents(s, d, "doc_id", "text").where("text IS NOT NULL"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-def d08_verdict(s, d):
-    c = _chunks(s, d, "kind_level", "text", "cite_text").where("cite_text IS NOT NULL")
-    return co.verdict(co.gate(c, "id", "text"), co.gate(c, "id", "cite_text")).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
 def d10_hit_at_k(s, d):
     best = re_.top(_scores(s, d), "item_id", "score", "doc_id", 10)
     works = _documents(s, d, "doc_id", "work_id")
@@ -142,12 +119,6 @@ def d12_ingest_check(s, d):
     return sums.join(lost, "work_id", "left").na.fill(0, ["orphans"])
 
 
-def d15_row_alignment(s, d):
-    c = t(s, d, "chunks", "id", "built_at")
-    once = c.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
-    return once.select("rows", "ids", (F.col("rows") == F.col("ids")).alias("aligned"))
-
-
 def d17_sweep_summary(s, d):
     best = re_.top(_scores(s, d), "item_id", "score", "doc_id", 10).join(_documents(s, d, "doc_id", "doc_type"), "doc_id")
     return best.groupBy("item_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.avg((F.col("doc_type") == "letter").cast("double")), 6).alias("letters"))
@@ -216,11 +187,6 @@ def g02_carry_over(s, d):
     return have.select("id", F.lit("carried").alias("state")).unionByName(lack.select("id", F.lit("new").alias("state"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
-def g03_orphans(s, d):
-    c = _chunks(s, d, "parent_id", "kind_level")
-    return co.orphans(c.where("kind_level = 'child'"), c.where("kind_level = 'parent'"), "parent_id", "id").select("id", "parent_id")
-
-
 def g09_paragraph_at(s, d):
     docs = _documents(s, d, "doc_id", "text").where("text IS NOT NULL AND text <> ''")
     paras = rd.paragraphs(docs, "doc_id", "text").withColumnRenamed("key", "doc_id")
@@ -367,13 +333,6 @@ def i11_recent(s, d):
     return lo.recent(log, "name", "path", "at").select("name", "path", "place")
 
 
-def j01_union_sources(s, d):
-    c = t(s, d, "chunks", "work_id").select(F.lit("chunks").alias("src"), "work_id")
-    o = t(s, d, "documents", "work_id").select(F.lit("documents").alias("src"), "work_id")
-    q = t(s, d, "quotes", "work_id", "quote_id").select(F.lit("quotes").alias("src"), "work_id")
-    return c.unionByName(o).unionByName(q).groupBy("src").agg(F.count("*").alias("n"), F.countDistinct("work_id").alias("works"))
-
-
 def j07_evict(s, d):
     return _chunks(s, d, "work_id").where(~F.col("id").startswith("window-") & ~F.col("id").startswith("salt-")).groupBy("work_id").agg(F.count("*").alias("n"))
 
@@ -445,12 +404,6 @@ def h13_first_per_chapter(s, d):
     return _reader(s, d).groupBy("work_id", "chapter").agg(F.min_by("id", "n").alias("id"), F.min("n").alias("n"))
 
 
-def h14_section_slices(s, d):
-    starts = h13_first_per_chapter(s, d)
-    w = W.partitionBy("work_id").orderBy("n")
-    return starts.select("work_id", "chapter", "n", F.lead("n", 1, -1).over(w).alias("until"))
-
-
 def i09_best_samples(s, d):
     return _chunks(s, d, "quality_score").where("quality_score IS NOT NULL").orderBy(F.desc("quality_score"), "id").limit(40).select("id", "quality_score")
 
@@ -481,4 +434,4 @@ def k29_word_count(s, d):
 
 
 _ALL = [f for n, f in list(globals().items()) if n[0] in "acdefghijks" and n[1:3].isdigit() and callable(f)]
-QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES, **matching.QUERIES, **citing.QUERIES}
+QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES, **matching.QUERIES, **citing.QUERIES, **building.QUERIES}
