@@ -112,19 +112,20 @@ def check(quotes: DataFrame, sources: DataFrame, key: str, link: str, body: str,
     have its longest inner word, so that it doesn't meet every source of its work;
     bodies of one or two words meet them all.
     """
-    said = quotes.select(key, link, squeezed(F.coalesce(F.col(body), F.lit(""))).alias("b")).distinct()
-    words = F.split("b", " ")
+    said = quotes.select(F.col(key).alias("_key"), F.col(link).alias("_link"), squeezed(F.coalesce(F.col(body), F.lit(""))).alias("_body")).distinct()
+    words = F.split("_body", " ")
     longest = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.lit(1), F.size(words) - 2)), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keyed = said.withColumn("w", F.when(F.size(words) >= 3, longest)).where("b <> ''")
-    held = sources.where(F.col(text).isNotNull()).select(link, squeezed(F.col(text)).alias("t"))
-    by_word = held.select(link, "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    met = keyed.where("w IS NOT NULL").join(by_word, [link, "w"]).where(F.col("t").contains(F.col("b"))).select(key)
-    rest = keyed.where("w IS NULL").drop("w").join(held, link).where(F.col("t").contains(F.col("b"))).select(key)
+    keyed = said.withColumn("_word", F.when(F.size(words) >= 3, longest)).where("_body <> ''")
+    held = sources.where(F.col(text).isNotNull()).select(F.col(link).alias("_link"), squeezed(F.col(text)).alias("_text"))
+    by_word = held.select("*", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
+    inside = F.col("_text").contains(F.col("_body"))
+    met = keyed.where("_word IS NOT NULL").join(by_word, ["_link", "_word"]).where(inside).select("_key")
+    rest = keyed.where("_word IS NULL").drop("_word").join(held, "_link").where(inside).select("_key")
     verbatim = met.unionByName(rest).distinct().withColumn("_found", F.lit(True))
-    told = sources.where(F.col(text).isNotNull()).select(link).distinct().withColumn("_told", F.lit(True))
-    per = said.join(told, link, "left").join(verbatim, key, "left")
-    best = per.groupBy(key).agg(F.max(F.when(F.col("b") == "", 0).when(F.col("_told").isNull(), 1).when(F.col("_found"), 3).otherwise(2)).alias("s"))
-    return best.select(key, F.element_at(F.array(F.lit("no body"), F.lit("no source"), F.lit("changed"), F.lit("verbatim")), F.col("s") + 1).alias("status"))
+    told = held.select("_link").distinct().withColumn("_told", F.lit(True))
+    per = said.join(told, "_link", "left").join(verbatim, "_key", "left")
+    best = per.groupBy("_key").agg(F.max(F.when(F.col("_body") == "", 0).when(F.col("_told").isNull(), 1).when(F.col("_found"), 3).otherwise(2)).alias("_s"))
+    return best.select(F.col("_key").alias(key), F.element_at(F.array(F.lit("no body"), F.lit("no source"), F.lit("changed"), F.lit("verbatim")), F.col("_s") + 1).alias("status"))
 
 
 def location(section: Column, chapter: Column, given: Column) -> Column:

@@ -147,13 +147,15 @@ def pages_of_quotes(quotes: DataFrame, paras: DataFrame, quote: str, key: str, b
     """
     norm = lambda c: squeeze(without_emphasis(c))
     order = F.array(*[F.struct(F.lit(i).alias("w"), F.lit(a).alias("a"), F.lit(n).alias("n")) for i, (a, n) in enumerate((a, n) for a in STARTS for n in WIDTHS)])
-    cut = quotes.select(quote, key, norm(F.col(body)).alias("q")).select(quote, key, "q", F.explode(order).alias("o")).select(quote, key, F.col("o.w").alias("w"), F.substring("q", F.col("o.a") + 1, F.col("o.n")).alias("window")).where(F.length("window") >= SHORTEST)
-    words = F.split("window", " ")
+    said = quotes.select(F.col(quote).alias("_quote"), F.col(key).alias("_key"), norm(F.col(body)).alias("_text"), F.explode(order).alias("_o"))
+    cut = said.select("_quote", "_key", F.col("_o.w").alias("_w"), F.substring("_text", F.col("_o.a") + 1, F.col("_o.n")).alias("_window")).where(F.length("_window") >= SHORTEST)
+    words = F.split("_window", " ")
     inner = F.slice(words, 2, F.greatest(F.lit(1), F.size(words) - 2))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keyed = cut.withColumn("word", F.when(F.size(words) >= 3, longest))
-    held = paras.select(key, "n", norm(F.col("body")).alias("p"))
-    by_word = held.select(key, "n", "p", F.explode(F.array_distinct(F.split("p", " "))).alias("word"))
-    met = keyed.where("word IS NOT NULL").join(by_word, [key, "word"]).where(F.col("p").contains(F.col("window"))).select(quote, "w", "n")
-    rest = keyed.where("word IS NULL").drop("word").join(held, key).where(F.col("p").contains(F.col("window"))).select(quote, "w", "n")
-    return met.unionByName(rest).groupBy(quote).agg(F.min_by("n", F.struct("w", "n")).alias("n"))
+    keyed = cut.withColumn("_word", F.when(F.size(words) >= 3, longest))
+    held = paras.select(F.col(key).alias("_key"), F.col("n").alias("_n"), norm(F.col("body")).alias("_para"))
+    by_word = held.select("*", F.explode(F.array_distinct(F.split("_para", " "))).alias("_word"))
+    found = F.col("_para").contains(F.col("_window"))
+    met = keyed.where("_word IS NOT NULL").join(by_word, ["_key", "_word"]).where(found).select("_quote", "_w", "_n")
+    rest = keyed.where("_word IS NULL").drop("_word").join(held, "_key").where(found).select("_quote", "_w", "_n")
+    return met.unionByName(rest).groupBy(F.col("_quote").alias(quote)).agg(F.min_by("_n", F.struct("_w", "_n")).alias("n"))

@@ -13,15 +13,15 @@ from pothi.functions.text import decomposed_key, quoted_spans, strip
 LEAST_KEY, LEAST_TITLE = 5, 8
 
 
-@F.pandas_udf("string")
-def _decomposed(text: pd.Series) -> pd.Series:
+def _bare(text: pd.Series) -> pd.Series:
     bare = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     return text.map(lambda s: s if s is None or s.isascii() else bare(s))
 
 
 def title_key(text: Column) -> Column:
     """Key of a title or of words that may be one: without marks, case, stopwords, blanks and signs."""
-    return decomposed_key(_decomposed(text))
+    # Spark has no normal forms; texts go to Python in Arrow batches for that step.
+    return decomposed_key(F.pandas_udf(_bare, "string")(text))
 
 
 def titles(works: DataFrame, work: str, columns: list[str]) -> DataFrame:
