@@ -87,10 +87,8 @@ SQL = {
     "D05_works_catalog": f"SELECT work_id, id AS first_id, title, language FROM {_CHUNKS} QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY id) = 1",
     "D07_gate": f"""SELECT doc_id, n_chars, broken, mojibake, devanagari, latin, CASE WHEN broken > 0.001 OR mojibake > 0.0005 THEN 'fail' WHEN devanagari < 0.35 THEN 'warn' ELSE 'pass' END AS verdict FROM (
       SELECT doc_id, length(text) AS n_chars, round({_n('text', '�')} / greatest(1, length(text)), 6) AS broken, round({_n('text', '[˜Ï¡Ô†¬»½ѽ]')} / greatest(1, length(text)), 6) AS mojibake, round({_n('text', _DEVA)} / greatest(1, length(text)), 6) AS devanagari, round({_n('text', '[A-Za-z]')} / greatest(1, length(text)), 6) AS latin FROM {_DOCS})""",
-    "D10_hit_at_k": f"{_B}, best AS ({_top(10)}) SELECT item_id, max(CAST(coalesce(list_contains(expected, work_id), false) AS INT)) AS hit, count(*) AS n FROM best JOIN (SELECT DISTINCT doc_id, work_id FROM documents) USING (doc_id) JOIN gold USING (item_id) GROUP BY item_id",
     "D12_ingest_check": f"""SELECT work_id, count(*) FILTER (kind_level = 'child') AS children, count(*) FILTER (kind_level = 'child' AND cite_text IS NOT NULL) AS citable, count(*) FILTER (kind_level = 'child' AND cite_text IS NULL) AS retrieval_only, count(*) FILTER (trim(cite_text) = '') AS empty_cites,
       count(*) FILTER (kind_level = 'child' AND parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM chunks WHERE kind_level = 'parent')) AS orphans FROM {_CHUNKS} GROUP BY work_id""",
-    "D17_sweep_summary": f"{_B}, best AS ({_top(10)}) SELECT item_id, min(score) AS low, max(score) AS high, round(avg(CASE WHEN doc_type = 'letter' THEN 1.0 WHEN doc_type IS NOT NULL THEN 0.0 END), 6) AS letters FROM best JOIN (SELECT DISTINCT doc_id, doc_type FROM documents) USING (doc_id) GROUP BY item_id",
     "E01_tokens": f"SELECT item_id, term, count(*) AS tf FROM ({_terms('gold', 'item_id', 'query')}) GROUP BY ALL",
     "E02_stems": f"""SELECT DISTINCT tok AS token, left(tok, length(tok) - length(suffix)) AS stem FROM (SELECT tok, list_filter([{_list(SUFFIXES)}], lambda s: ends_with(tok, s) AND length(tok) - length(s) >= 2)[1] AS suffix
       FROM (SELECT trim(unnest(regexp_split_to_array(lower(text), '{_SPACE}+')), '.,;:!?"''()[]{{}}…') AS tok FROM {_DOCS})) WHERE suffix IS NOT NULL AND regexp_matches(tok, '{_DEVA}')""",
@@ -163,3 +161,12 @@ SQL = {
 }
 SQL |= texts.SQL | matching.SQL | citing.SQL | building.SQL
 SQL |= {"G04_citation_aliases": matching._alias_sql("SELECT split_part(c, '|', 2) AS id, split_part(o, '|', 2) AS alias_id, confidence FROM al"), "D09_histogram": matching._alias_sql(matching.BINS)}
+
+
+def _more() -> dict[str, str]:
+    from pothi.plans import more
+
+    return more.sql()
+
+
+SQL |= _more()

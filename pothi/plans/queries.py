@@ -104,26 +104,6 @@ def d07_gate(s, d):
     return co.gate(_documents(s, d, "doc_id", "text").where("text IS NOT NULL"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-def d10_hit_at_k(s, d):
-    best = re_.top(_scores(s, d), "item_id", "score", "doc_id", 10)
-    works = _documents(s, d, "doc_id", "work_id")
-    hits = best.join(works, "doc_id").join(_gold(s, d).select("item_id", "expected"), "item_id")
-    return hits.groupBy("item_id").agg(F.max(F.coalesce(F.array_contains("expected", F.col("work_id")), F.lit(False)).cast("int")).alias("hit"), F.count("*").alias("n"))
-
-
-def d12_ingest_check(s, d):
-    c = _chunks(s, d, "work_id", "kind_level", "parent_id", "cite_text")
-    lost = co.orphans(c.where("kind_level = 'child'"), c.where("kind_level = 'parent'"), "parent_id", "id").groupBy("work_id").agg(F.count("*").alias("orphans"))
-    child = F.col("kind_level") == "child"
-    sums = c.groupBy("work_id").agg(F.count_if(child).alias("children"), F.count_if(child & F.col("cite_text").isNotNull()).alias("citable"), F.count_if(child & F.col("cite_text").isNull()).alias("retrieval_only"), F.count_if(F.trim("cite_text") == "").alias("empty_cites"))
-    return sums.join(lost, "work_id", "left").na.fill(0, ["orphans"])
-
-
-def d17_sweep_summary(s, d):
-    best = re_.top(_scores(s, d), "item_id", "score", "doc_id", 10).join(_documents(s, d, "doc_id", "doc_type"), "doc_id")
-    return best.groupBy("item_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.avg((F.col("doc_type") == "letter").cast("double")), 6).alias("letters"))
-
-
 def e01_tokens(s, d):
     return re_.terms(t(s, d, "gold", "item_id", "query"), "item_id", "query").groupBy("item_id", "term").agg(F.count("*").alias("tf"))
 
@@ -435,3 +415,12 @@ def k29_word_count(s, d):
 
 _ALL = [f for n, f in list(globals().items()) if n[0] in "acdefghijks" and n[1:3].isdigit() and callable(f)]
 QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES, **matching.QUERIES, **citing.QUERIES, **building.QUERIES}
+
+
+def _more() -> dict:
+    from pothi.plans import more
+
+    return more.QUERIES
+
+
+QUERIES |= _more()

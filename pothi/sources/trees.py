@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,3 +38,20 @@ def scanned_words(spark: SparkSession, path: str) -> DataFrame:
     boxed = pages.select(F.monotonically_increasing_id().alias("page"), F.posexplode("HIDDENTEXT.PAGECOLUMN.REGION.PARAGRAPH.LINE.WORD").alias("at", "w"))
     xy = F.split("w._coords", ",")
     return boxed.select("page", "at", F.col("w._VALUE").alias("word"), *[F.try_element_at(xy, F.lit(k)).cast("double").alias(c) for k, c in ((1, "x0"), (2, "y0"), (3, "x1"), (4, "y1"))])
+
+
+def front_matter(text: Column) -> tuple[Column, Column]:
+    """Fields of the front matter of a text (plain ``name: value`` lines; others and a broken header give none), and its body."""
+    head = F.regexp_extract(text, _FRONT, 1)
+    lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[A-Za-z_]\w*:( |$)"))
+    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), "^[\"'](.*)[\"']$", "$1").alias("v")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    # The last of repeated names holds.
+    last = F.transform(names, lambda n: F.struct(n.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"].alias("v")))
+    return F.map_from_entries(last), F.regexp_replace(text, _FRONT, "")
+
+
+def tolerant_lines(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """at, value: one field of each line of a JSON-lines file that isn't blank, empty where the line is broken or has none."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.coalesce(F.get_json_object("value", f"$.{field}"), F.lit("")).alias(field), F.col("value").alias("line"))
