@@ -101,27 +101,38 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, block: int = 256) -> DataFrame:
+def cosine_scores(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, best: int | None = None, block: int = 256, most: int = 20_000) -> DataFrame:
     """query, key, score: every vector against a stated set of queries, in blocks.
 
-    Each batch of vectors meets the queries as matrices; the queries are a bounded
-    set (``block`` rows a broadcast), the vectors aren't moved.
+    The queries go to all tasks, ``most`` at a time; each batch of vectors meets
+    them as matrices of ``block``, and the vectors aren't moved. With ``best`` a
+    batch gives only those of its vectors that are among its ``best`` for a query
+    (or tie with the last), which are all that can be so among all vectors.
     """
-    asked = queries.select(query_key, query_vector).toPandas()
-    out = f"{query_key} long, {key} long, score double"
-    result = None
-    for at in range(0, max(1, len(asked)), block):
-        part = asked.iloc[at : at + block]
-        ids = part[query_key].to_numpy()
+    asked = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
+    n = asked.count()
+    # A set larger than one round is parted by hash, so that the driver holds one part.
+    rounds = max(1, -(-n // most))
+    part_of = F.pmod(F.xxhash64(query_key), F.lit(rounds))
+    kinds, result = dict(vectors.dtypes), None
+    out = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {kinds[key]}, score double"
+    for r in range(rounds):
+        part = (asked if rounds == 1 else asked.where(part_of == r)).toPandas()
         q = np.array([np.asarray(v, np.float64) for v in part[query_vector]]) if len(part) else np.zeros((0, 1))
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+        shared = vectors.sparkSession.sparkContext.broadcast((part[query_key].to_numpy(), q))
 
         def score(batches, shared=shared):
             ids, q = shared.value
             for pdf in batches:
-                if len(pdf) and len(ids):
-                    s = np.round(np.stack([np.asarray(v, np.float64) for v in pdf[vector]]) @ q.T, 6)
-                    yield pd.DataFrame({query_key: np.tile(ids, len(pdf)), key: np.repeat(pdf[key].to_numpy(), len(ids)), "score": s.ravel()})
+                if not len(pdf):
+                    continue
+                v = np.stack([np.asarray(x, np.float64) for x in pdf[vector]])
+                names = pdf[key].to_numpy()
+                for at in range(0, len(ids), block):
+                    s = np.round(v @ q[at : at + block].T, 6)
+                    keep = np.ones(s.shape, bool) if best is None or len(s) <= best else s >= np.partition(s, len(s) - best, axis=0)[len(s) - best]
+                    row, col = np.nonzero(keep)
+                    yield pd.DataFrame({query_key: ids[at + col], key: names[row], "score": s[row, col]})
 
         one = vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(score, out)
         result = one if result is None else result.unionByName(one)

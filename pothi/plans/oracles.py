@@ -50,7 +50,6 @@ _TIER = "CASE kind WHEN 'canonical' THEN 'canonical' WHEN 'reference' THEN 'refe
 _EDGE = r"""[\.,;:!\?"''\(\)\[\]{}…।॥]"""
 _READER = f"""(SELECT work_id, id, row_number() OVER (PARTITION BY work_id ORDER BY chunk_index, id) AS n, coalesce(chapter, '') AS chapter, length(text) AS len, length(text) < 250 AS is_heading, contains(text, '॥') AS is_verse
   FROM {_CHUNKS} WHERE kind_level = 'parent')"""
-_KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
 
 
 _DENSE = """dn AS (SELECT item_id, variant, v.vec_id AS doc_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
@@ -161,12 +160,3 @@ SQL = {
 }
 SQL |= texts.SQL | matching.SQL | citing.SQL | building.SQL
 SQL |= {"G04_citation_aliases": matching._alias_sql("SELECT split_part(c, '|', 2) AS id, split_part(o, '|', 2) AS alias_id, confidence FROM al"), "D09_histogram": matching._alias_sql(matching.BINS)}
-
-
-def _more() -> dict[str, str]:
-    from pothi.plans import more
-
-    return more.sql()
-
-
-SQL |= _more()

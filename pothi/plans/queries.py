@@ -138,7 +138,7 @@ def _vectors(s, d):
 
 def f01_cosine_topk(s, d):
     v, q = _vectors(s, d)
-    return re_.top(re_.cosine_scores(v, "vec_id", "embedding", q, "query_id", "query_vector").where("vec_id <> query_id"), "query_id", "score", "vec_id", 10)
+    return re_.top(re_.cosine_scores(v, "vec_id", "embedding", q, "query_id", "query_vector", best=11).where("vec_id <> query_id"), "query_id", "score", "vec_id", 10)
 
 
 def f03_unit_vectors(s, d):
@@ -148,16 +148,19 @@ def f03_unit_vectors(s, d):
 
 
 def f07_quality(s, d):
-    return co.quality(_chunks(s, d, "text")).select("id", "quality_score")
+    # The score is computed where a row stands; only scores are exchanged.
+    return latest(co.quality(t(s, d, "chunks", "id", "text", "built_at")).select("id", "quality_score", "built_at"), ["id"], "built_at").drop("built_at")
 
 
 def f08_token_estimate(s, d):
-    return _chunks(s, d, "text").select("id", lx.token_estimate(F.col("text")).alias("tokens"), lx.mostly_devanagari(F.col("text")).alias("devanagari"))
+    each = t(s, d, "chunks", "id", "text", "built_at").select("id", lx.token_estimate(F.col("text")).alias("tokens"), lx.mostly_devanagari(F.col("text")).alias("devanagari"), "built_at")
+    return latest(each, ["id"], "built_at").drop("built_at")
 
 
 def g01_child_to_parent(s, d):
-    c = _chunks(s, d, "parent_id", "kind_level", "text")
-    p = c.where("kind_level = 'parent'").select(F.col("id").alias("parent_id"), F.length("text").alias("parent_chars"))
+    each = t(s, d, "chunks", "id", "parent_id", "kind_level", "text", "built_at").select("id", "parent_id", "kind_level", F.length("text").alias("chars"), "built_at")
+    c = latest(each, ["id"], "built_at")
+    p = c.where("kind_level = 'parent'").select(F.col("id").alias("parent_id"), F.col("chars").alias("parent_chars"))
     return c.where("kind_level = 'child'").select("id", "parent_id").join(p, "parent_id", "left")
 
 
@@ -287,7 +290,7 @@ def h12_daily_cap(s, d):
 
 def i02_mmr(s, d):
     v, q = _vectors(s, d)
-    best = re_.top(re_.cosine_scores(v, "vec_id", "embedding", q, "query_id", "query_vector").where("vec_id <> query_id"), "query_id", "score", "vec_id", 100).drop("rank")
+    best = re_.top(re_.cosine_scores(v, "vec_id", "embedding", q, "query_id", "query_vector", best=101).where("vec_id <> query_id"), "query_id", "score", "vec_id", 100).drop("rank")
     return re_.mmr(best.join(v, "vec_id"), "query_id", "vec_id", "label", "score", "embedding", duplicate=0.35)
 
 
@@ -415,12 +418,3 @@ def k29_word_count(s, d):
 
 _ALL = [f for n, f in list(globals().items()) if n[0] in "acdefghijks" and n[1:3].isdigit() and callable(f)]
 QUERIES = {**{f.__name__[0].upper() + f.__name__[1:]: f for f in _ALL}, **texts.QUERIES, **matching.QUERIES, **citing.QUERIES, **building.QUERIES}
-
-
-def _more() -> dict:
-    from pothi.plans import more
-
-    return more.QUERIES
-
-
-QUERIES |= _more()

@@ -167,3 +167,24 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         lineage.shared_folder(Session())
+
+
+def test_cosine_blocks_rounds_and_bests_agree(spark):
+    rng = random.Random(7)
+    vecs = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(60)] + [(99, None)]
+    v = spark.createDataFrame(vecs, "k long, e array<double>").repartition(3)
+    q = v.where("k < 12").selectExpr("k AS q", "e AS qe")
+    whole = {(r.q, r.k, r.score) for r in re_.cosine_scores(v, "k", "e", q, "q", "qe").collect()}
+    assert len(whole) == 12 * 60
+    assert {(r.q, r.k, r.score) for r in re_.cosine_scores(v, "k", "e", q, "q", "qe", block=5, most=4).collect()} == whole
+    top = lambda df: {(r.q, r.k, r.rank) for r in re_.top(df, "q", "score", "k", 5).collect()}
+    assert top(re_.cosine_scores(v, "k", "e", q, "q", "qe", best=5)) == top(re_.cosine_scores(v, "k", "e", q, "q", "qe"))
+
+
+def test_scanned_words_have_boxes(spark, tmp_path):
+    from pothi.sources import trees
+
+    word = '<WORD coords="1,2,3,4">lamp</WORD>'
+    (tmp_path / "a.xml").write_text(f"<DOC><OBJECT><HIDDENTEXT><PAGECOLUMN><REGION><PARAGRAPH><LINE>{word}{word}</LINE></PARAGRAPH></REGION></PAGECOLUMN></HIDDENTEXT></OBJECT></DOC>")
+    got = trees.scanned_words(spark, str(tmp_path / "a.xml")).collect()
+    assert [(r.at, r.word, r.x0, r.y1) for r in got] == [(0, "lamp", 1.0, 4.0), (1, "lamp", 1.0, 4.0)]
