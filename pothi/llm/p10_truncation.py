@@ -83,7 +83,7 @@ _CONTEXT = r"""xxhash64(
     CASE WHEN at = 0 THEN led WHEN endswith(words[at - 1], '\u0001') THEN '^' ELSE words[at - 1] END)"""
 _LED = "CASE WHEN left(line, 1) IN ('—', '–', '-') THEN '—' ELSE '|' END"
 
-# kind 3: the words after a context that some text ends in; kind 1: all words.
+# kind 3: the words after a context that some text ends in; kind 1: the words some text ends in.
 _COUNTS = r"""
 SELECT kind, ctx, rtrim('\u0001', raw) AS word, count_if(at < n - 1 AND NOT mark) AS inside, count_if(mark) AS marked, count_if(mark AND at = n - 1) AS line_end,
   count_if(at = n - 1 AND NOT mark AND is_last) AS bare, count_if(at = n - 1 AND NOT mark AND NOT is_last) AS open
@@ -93,7 +93,7 @@ FROM (
     SELECT at, size(words) AS n, is_last, raw, CONTEXT AS context
     FROM (SELECT is_last, words, led FROM (SELECT line, is_last, LED AS led FROM {lines}) LATERAL VIEW explode(array(split(trim(PLAIN), ' +'))) AS words) LATERAL VIEW posexplode(words) AS at, raw)
 ) LATERAL VIEW inline(array(struct(3 AS kind, context AS ctx), struct(1 AS kind, 0L AS ctx))) AS kind, ctx
-WHERE kind = 1 OR MIGHT
+WHERE MIGHT
 GROUP BY kind, ctx, rtrim('\u0001', raw)
 """.replace("CONTEXT", _CONTEXT).replace("LED", _LED).replace("PLAIN", _PLAIN)
 
@@ -103,7 +103,7 @@ SELECT need, sum(CASE WHEN whole THEN inside ELSE 0 END) AS inside, sum(CASE WHE
   sum(CASE WHEN whole THEN bare ELSE 0 END) AS bare, sum(CASE WHEN whole THEN open ELSE 0 END) AS open, sum(CASE WHEN whole THEN 0 ELSE inside + marked + bare END) AS longer, sum(CASE WHEN whole THEN 0 ELSE bare END) AS longer_bare
 FROM (
   SELECT *, xxhash64(kind, ctx, left(word, k)) AS need, k = length(word) AS whole
-  FROM {counts} LATERAL VIEW explode(CASE WHEN length(word) <= LETTERS THEN sequence(0, length(word)) ELSE array(0, length(word)) END) AS k)
+  FROM {counts} LATERAL VIEW explode(CASE WHEN kind = 1 THEN array(length(word)) WHEN length(word) <= LETTERS THEN sequence(0, length(word)) ELSE array(0, length(word)) END) AS k)
 WHERE MIGHT GROUP BY need
 """.replace("LETTERS", str(MOST_LETTERS))
 
@@ -144,7 +144,7 @@ FROM (
 """.replace("CONTEXT", _CONTEXT.replace("words", "norm").replace("at = 0", "size(norm) = 1").replace("at = 1", "size(norm) = 2").replace("at - 1", "size(norm) - 2").replace("at - 2", "size(norm) - 3")).replace("LED", _LED).replace("PLAIN", _PLAIN).replace("LENGTHS", _LENGTHS_OF_ENDS)
 
 _ASKING = "worded AND lettered AND (NOT marked OR number_mark OR stop)"
-_CONTEXTS = f"SELECT context AS k FROM {{finals}} WHERE {_ASKING} UNION ALL SELECT xxhash64(tail) AS k FROM {{finals}} LATERAL VIEW explode(ends) AS tail"
+_CONTEXTS = f"SELECT explode(array(context, word)) AS k FROM {{finals}} WHERE {_ASKING} UNION ALL SELECT xxhash64(tail) AS k FROM {{finals}} LATERAL VIEW explode(ends) AS tail"
 _ASKED = f"SELECT h, role, need FROM {{finals}} LATERAL VIEW inline(array(struct('t' AS role, trigram AS need), struct('b' AS role, bigram AS need), struct('w' AS role, word AS need))) AS role, need WHERE {_ASKING}"
 _NEEDS = "SELECT DISTINCT need AS k FROM {asked}"
 
@@ -222,7 +222,7 @@ def truncation(df: DataFrame, key: str, text: str, source: str, most_copies: int
     contexts = filter_of(sql(_CONTEXTS, finals=finals), FILTER)
     asked = sql(_ASKED, finals=finals)
     needs = filter_of(sql(_NEEDS, asked=asked), FILTER)
-    counts = sql(_COUNTS, ("contexts", "ctx", FILTER), lines=lines, contexts=contexts)
+    counts = sql(_COUNTS, ("contexts", r"CASE WHEN kind = 1 THEN xxhash64(1, 0L, rtrim('\u0001', raw)) ELSE ctx END", FILTER), lines=lines, contexts=contexts)
     evidence = sql(_EVIDENCE, ("needs", "need", FILTER), counts=counts, needs=needs)
     unspaced = sql(_UNSPACED, ("contexts", "xxhash64(seen.tail)", FILTER), unspaced=sql(_LINES, distinct=distinct.where("text RLIKE '[฀-๿]'")), contexts=contexts)
     verdicts = sql(_VERDICTS, finals=finals, answers=sql(_ANSWERS, asked=asked, evidence=evidence), lengths=sql(_LENGTHS, finals=finals), ends=sql(_UNSPACED_ANSWERS, finals=finals, unspaced=unspaced))
