@@ -174,4 +174,20 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_repaired, p3_found, p3_forms, p4_found, p4_languages, p5_found, p5_volumes, p5_paragraphs, p6_found, p6_share, p7_found, p7_groups, p8_packed, p9_found, p9_leaks, p10_found, p10_sources)}
-SQL: dict[str, str] = {}
+
+_SP = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WORDS = lambda x: rf"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '\p{{P}}+', '', 'g'), '{_SP}+'), lambda w: w <> '')"
+_RUNS = lambda w, n: f"CASE WHEN len({w}) >= {n} THEN list_distinct(list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' '))) ELSE [] END"
+_LEAKS = f"""docs AS (SELECT doc_id, unnest({_RUNS('w', 15)}) AS r FROM (SELECT doc_id, {_WORDS('text')} AS w FROM documents WHERE text IS NOT NULL)),
+  parts AS (SELECT item_id, part, {_RUNS('w', 15)} AS rs FROM (SELECT item_id, part, {_WORDS('x')} AS w FROM (SELECT item_id, 'query' AS part, query AS x FROM gold UNION ALL SELECT item_id, 'expected_text_substr', expected_text_substr FROM gold) WHERE x IS NOT NULL)),
+  met AS (SELECT doc_id, item_id, part, count(DISTINCT r) AS hits, any_value(len(rs)) AS runs FROM (SELECT item_id, part, rs, unnest(rs) AS r FROM parts) JOIN docs USING (r) GROUP BY ALL)"""
+_SPANS = """win AS (SELECT DISTINCT id, w, i AS s, hash(substr(t, i, 220)) AS h FROM (SELECT id, coalesce(work_id, '') AS w, cite_text AS t, unnest(range(1, length(cite_text) - 218)) AS i FROM (SELECT DISTINCT id, work_id, cite_text FROM chunks WHERE length(cite_text) >= 220)))"""
+SQL: dict[str, str] = {
+    "p6_found": f"WITH {_SPANS} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM win a JOIN win b ON a.h = b.h AND a.w <> b.w AND a.id < b.id",
+    "p6_share": f"""WITH {_SPANS}, shared AS (SELECT DISTINCT id, s FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(DISTINCT w) > 1)), isl AS (SELECT id, s, sum(n) OVER (PARTITION BY id ORDER BY s) AS k FROM (SELECT id, s, CASE WHEN s > lag(s) OVER (PARTITION BY id ORDER BY s) + 220 THEN 1 ELSE 0 END AS n FROM shared)),
+      cov AS (SELECT id, sum(e) AS c, count(*) AS m FROM (SELECT id, k, max(s) - min(s) + 220 AS e FROM isl GROUP BY id, k) GROUP BY id) SELECT id, n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, coalesce(m, 0) AS n_spans, round(CASE WHEN n_chars > 0 THEN coalesce(c, 0) / n_chars ELSE 0 END, 6) AS share FROM (SELECT id, max(length(cite_text)) AS n_chars FROM chunks WHERE cite_text IS NOT NULL GROUP BY id) LEFT JOIN cov USING (id)""",
+    "p7_found": f"""WITH t AS (SELECT DISTINCT file || '#' || idx AS key, raw_text AS text FROM candidate UNION SELECT v.file, v.text FROM (SELECT unnest(variants) AS v FROM meta)), g AS (SELECT key, {_RUNS('w', 3)} AS rs FROM (SELECT key, {_WORDS('text')} AS w FROM t WHERE key IS NOT NULL AND text IS NOT NULL)), e AS (SELECT key, len(rs) AS n, unnest(rs) AS r FROM g)
+      SELECT a.key AS key_a, b.key AS key_b FROM e a JOIN e b ON a.r = b.r AND a.key < b.key GROUP BY a.key, b.key HAVING count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*))""",
+    "p9_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM met",
+    "p9_leaks": f"WITH {_LEAKS} SELECT doc_id, item_id, part, hits, runs, round(hits / runs, 6) AS share FROM met",
+}
