@@ -7,9 +7,11 @@ collection. Lines between two lines of text that hold page furniture and no
 double blank line are inside a paragraph if the text before has no final mark,
 or has one but fills the line. Words are grouped by their skeleton, in which
 letters that scanners take for each other are one; a word that the collection's
-clean text doesn't know is a misreading of the known word of its skeleton, or,
-where the word as a whole is unknown (names), if putting one letter right turns
-letter groups that clean words lack into common ones. Everything but the last
+clean text doesn't know is a misreading of the known word of its skeleton; where
+there are several, and where a known word has rivals, the neighbouring words
+choose by how often clean text has them together. A word unknown as a whole
+(names) is one if putting one letter right turns letter groups that clean words
+lack into common ones. Everything but the last
 is joins, aggregations and windows per record.
 
 Defined results: a null text has no lines and no rows; an empty one has one
@@ -109,6 +111,7 @@ class Scans:
         self.kinds = cut(self._sql(_KINDS.replace("{key}", key), lines=lines, forms=forms))
         texts = self._sql(_TEXT, kinds=self.kinds)
         joined = self._sql(_JOINED, texts=texts, widths=self._sql(_WIDTHS, kinds=self.kinds))
+        self.clean = clean
         self.vocabulary = cut(self._sql(_VOCABULARY, clean=clean))
         self.known = self._sql(_KNOWN, vocabulary=self.vocabulary)
         self.text = cut(self._own_hyphens(joined))
@@ -151,12 +154,28 @@ class Scans:
         found = found.unionByName(digits).unionByName(scored.join(digits.select("word"), "word", "left_anti"))
         return found.selectExpr("word", cased)
 
+    def by_context(self) -> DataFrame:
+        """id, line_no, word, meant: words of the scans whose skeleton clean text has several forms of, and the form their neighbours speak for.
+
+        An unknown word takes the form its neighbours stand with most often in clean
+        text, then the most frequent. A known one is a misreading where they stand
+        with another form three times or more and never with it.
+        """
+        forms = self._sql(f"SELECT form, n, {skeleton('form')} AS sk FROM (SELECT lower(word) AS form, sum(n) AS n FROM known GROUP BY lower(word))", known=self.known)
+        groups = cut(self._sql("SELECT sk, collect_list(struct(form, n)) AS forms FROM forms GROUP BY sk HAVING count(*) > 1", forms=forms))
+        rivals = groups.selectExpr("explode(forms) AS f").selectExpr("f.form AS form")
+        uses = self._sql(_USES, clean=self.clean, rivals=rivals)
+        seen = self._sql(_AMONG.replace("{sk}", skeleton("w")), text=self.text, groups=groups)
+        supported = self._sql(_SUPPORTED, seen=seen, uses=uses)
+        return self._sql(_CHOSEN, supported=supported)
+
     def found(self) -> DataFrame:
         """id, line_no, what."""
         furniture = self.kinds.where("what IN ('number', 'header')").selectExpr("id", "line_no", "CASE what WHEN 'number' THEN 'pagenum' ELSE what END AS what")
         marks = self.text.selectExpr("id", "line_no", "explode(filter(array(CASE WHEN hyphen THEN 'hyphen' END, CASE WHEN rejoin THEN 'rejoin' END), x -> x IS NOT NULL)) AS what")
         wrong = self.tokens().join(self.misreadings(), "word").selectExpr("id", "CASE WHEN cut IS NOT NULL AND levenshtein(left(word, cut), left(meant, cut)) = 0 THEN next_no ELSE line_no END AS line_no", "'misread' AS what").distinct()
-        return furniture.unionByName(marks).unionByName(wrong)
+        by_context = self.by_context().selectExpr("id", "line_no", "'misread' AS what")
+        return furniture.unionByName(marks).unionByName(wrong.unionByName(by_context).distinct())
 
     def volumes(self) -> DataFrame:
         """source_path, page_nums_stripped, paragraphs_rejoined."""
@@ -169,12 +188,43 @@ class Scans:
         """id, par_no, text: lines joined to paragraphs, furniture gone, words mended."""
         fixes = self.misreadings()
         tokens = self.tokens().join(fixes, "word").selectExpr("id", "line_no", "word", "meant", "cut")
-        mends = self._sql("SELECT id, line_no, collect_list(struct(word, meant)) AS mends FROM mended WHERE cut IS NULL GROUP BY id, line_no", mended=tokens)
+        single = tokens.where("cut IS NULL").select("id", "line_no", "word", "meant").unionByName(self.by_context()).distinct()
+        mends = self._sql("SELECT id, line_no, collect_list(struct(word, meant)) AS mends FROM mended GROUP BY id, line_no", mended=single)
         wholes = self._sql("SELECT id AS id_, line_no AS no_, max(meant) AS whole FROM mended WHERE cut IS NOT NULL GROUP BY id, line_no", mended=tokens)
         lines = self.text.join(mends, ["id", "line_no"], "left").join(wholes, (self.text["id"] == wholes["id_"]) & (self.text["line_no"] == wholes["no_"]), "left")
         return self._sql(_PARAGRAPHS, lines=lines)
 
 
+# How often clean text has a word before and after each form that has a rival.
+_USES = r"""
+SELECT form, side, near, count(*) AS n FROM (
+  SELECT lower(w) AS form, at, words FROM (SELECT words FROM clean LATERAL VIEW explode(array(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}\\u200d\\u200c]+', 0))) AS words) LATERAL VIEW posexplode(words) AS at, w
+) AS c JOIN rivals AS r USING (form) LATERAL VIEW inline(array(struct(-1 AS side, lower(get(words, at - 1)) AS near), struct(1 AS side, lower(get(words, at + 1)) AS near))) AS side, near
+WHERE near IS NOT NULL GROUP BY form, side, near
+"""
+
+# Words of the scans with a skeleton of several forms, and their neighbours on the line.
+_AMONG = r"""
+SELECT id, line_no, at, w AS word, lower(w) AS own, forms, lower(get(words, at - 1)) AS prev, lower(get(words, at + 1)) AS next
+FROM (SELECT *, {sk} AS sk FROM (SELECT id, line_no, words FROM text LATERAL VIEW explode(array(regexp_extract_all(line, '[\\p{L}\\p{M}\\p{N}\\u200d\\u200c]+', 0))) AS words) LATERAL VIEW posexplode(words) AS at, w) AS t
+JOIN groups AS g USING (sk)
+"""
+
+_SUPPORTED = r"""
+SELECT id, line_no, at, first(word) AS word, own, form, first(total) AS total, sum(coalesce(u.n, 0)) AS support
+FROM (
+  SELECT id, line_no, at, word, own, f.form AS form, f.n AS total, side, near FROM seen LATERAL VIEW explode(forms) AS f
+  LATERAL VIEW inline(array(struct(-1 AS side, prev AS near), struct(1 AS side, next AS near))) AS side, near
+) AS s LEFT JOIN uses AS u USING (form, side, near)
+GROUP BY id, line_no, at, own, form
+"""
+
+_CHOSEN = r"""
+SELECT id, line_no, word, CASE WHEN upper(left(word, 1)) = left(word, 1) AND lower(left(word, 1)) <> left(word, 1) THEN concat(upper(left(best, 1)), substring(best, 2)) ELSE best END AS meant FROM (
+  SELECT id, line_no, at, first(word) AS word, own, max_by(form, struct(support, total)) AS best, max(support) AS most, max(CASE WHEN form = own THEN support END) AS mine FROM supported GROUP BY id, line_no, at, own)
+WHERE best <> own AND (mine IS NULL OR mine = 0 AND most >= 3)
+"""
+
 _TOKENS = r"""
 SELECT id, line_no, next_no, word, CAST(NULL AS INT) AS cut
 FROM (
