@@ -134,3 +134,14 @@ def sql() -> dict[str, str]:
         "M14_routed": f"""WITH ties AS ({mq.SQL['G05_story_match']}), xm AS ({mq.SQL['G06_cross_match']}) SELECT key, CASE WHEN bool_or(bucket = 'HIGH') THEN 'merge' WHEN bool_or(bucket = 'MEDIUM') OR key IN (SELECT key_b FROM xm) THEN 'queue' ELSE 'new' END AS route FROM ties GROUP BY key""",
         "I12_budgets": "SELECT mode, count(*) AS n, CASE mode WHEN 'pravachan' THEN 15 WHEN 'reading' THEN 5 ELSE 12 END AS budget, 2 AS per_source, CASE mode WHEN 'pravachan' THEN 15 WHEN 'reading' THEN 5 ELSE 12 END AS scoped FROM access_log WHERE question IS NOT NULL GROUP BY mode",
     }
+
+
+def m04_cleaned_volumes(s, d):
+    """Scanned texts cleaned, with what was done to each."""
+    from pothi.operators.volumes import clean_volumes
+
+    p = qs._chunks(s, d, "kind_level", "text").where("kind_level = 'parent'")
+    return clean_volumes(p, "id", "text").withColumnRenamed("key", "id").withColumn("text", F.md5("text"))
+
+
+QUERIES["M04_cleaned_volumes"] = m04_cleaned_volumes

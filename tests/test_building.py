@@ -188,3 +188,15 @@ def test_scanned_words_have_boxes(spark, tmp_path):
     (tmp_path / "a.xml").write_text(f"<DOC><OBJECT><HIDDENTEXT><PAGECOLUMN><REGION><PARAGRAPH><LINE>{word}{word}</LINE></PARAGRAPH></REGION></PAGECOLUMN></HIDDENTEXT></OBJECT></DOC>")
     got = trees.scanned_words(spark, str(tmp_path / "a.xml")).collect()
     assert [(r.at, r.word, r.x0, r.y1) for r in got] == [(0, "lamp", 1.0, 4.0), (1, "lamp", 1.0, 4.0)]
+
+
+def test_volumes_are_cleaned(spark):
+    from pothi.operators.volumes import clean_volumes, cleaned
+
+    text = "पुष्प १\n\nOne goes  \n\n१२\n\non here.\n\n\n\nTwo ends.\n13\nThree ॥\n14\nfour\n____\n\n15\nपुष्प २\n\n_____\n\nसंपर्क: x\ny"
+    out, n = cleaned(text)
+    assert out == "पुष्प १\n\nOne goes on here.\n\nTwo ends.\nThree ॥\nfour"
+    assert n == {"input_lines": 24, "output_lines": 7, "page_nums_stripped": 4, "paragraphs_rejoined": 1, "backmatter_lines_dropped": 6, "separator_lines_dropped": 2, "trailing_ws_stripped": 1, "blank_runs_collapsed": 2}
+    assert cleaned("") == ("", dict.fromkeys(n, 0))
+    df = spark.createDataFrame([("a", text), ("b", None)], "id string, t string")
+    assert [(r.key, r.page_nums_stripped) for r in clean_volumes(df, "id", "t").collect()] == [("a", 4)]
