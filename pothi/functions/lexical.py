@@ -25,11 +25,23 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), SPACE + "+")
 
 
+def _first_of() -> dict[str, int]:
+    """Of each ending the length of the first listed one that it ends in: what is taken off where it is the longest that fits."""
+    return {long: len(next(s for s in SUFFIXES if long.endswith(s))) for long in SUFFIXES}
+
+
 def stem(token: Column) -> Column:
-    """Token without the first listed ending that leaves two characters; null if none does."""
-    fits = F.filter(F.array(*[F.lit(s) for s in SUFFIXES]), lambda s: F.endswith(token, s) & (F.length(token) - F.length(s) >= 2))
-    # One pattern tells the many tokens without an ending.
-    return F.when(token.rlike(f"({'|'.join(SUFFIXES)})$"), F.when(F.size(fits) > 0, F.left(token, F.length(token) - F.length(F.get(fits, F.lit(0))))))
+    """Token without the first listed ending that leaves two characters; null if none does.
+
+    One pattern finds the longest ending that leaves two; all others that fit are
+    endings of it, so that the first listed of them is known.
+    """
+    longest = F.regexp_extract(token, f"(?s)^.{{2,}}?({'|'.join(SUFFIXES)})$", 1)
+    shorter = {long: n for long, n in _first_of().items() if n != len(long)}
+    off = F.length(longest)
+    for n in sorted(set(shorter.values())):
+        off = F.when(longest.isin(*[x for x, m in shorter.items() if m == n]), n).otherwise(off)
+    return F.when(longest != "", F.left(token, F.length(token) - off))
 
 
 def trimmed(token: Column) -> Column:
@@ -37,13 +49,15 @@ def trimmed(token: Column) -> Column:
     return F.btrim(token, F.lit(EDGES))
 
 
-def index_terms(token: Column) -> Column:
-    """Terms one trimmed token gives: itself and its parts at hyphens, or itself and its stem."""
-    plain = (F.length(token) > 1) & ~token.isin(*STOPWORDS)
-    parts = F.filter(F.transform(F.split(token, "-"), lambda p: F.trim(p)), lambda p: (F.length(p) > 1) & ~p.isin(*STOPWORDS))
-    root = stem(token)
-    inflected = token.rlike("[ऀ-ॿ]") & root.isNotNull() & ~root.isin(*STOPWORDS)
-    return F.when(token == "", F.array().cast("array<string>")).when(token.contains("-"), F.concat(F.array(token), parts)).when(plain & inflected, F.array(token, root)).when(plain, F.array(token)).otherwise(F.array().cast("array<string>"))
+def with_terms(df, token: str, name: str = "term"):
+    """``df`` with a row for each term its trimmed tokens give: itself and its parts at hyphens, or itself and its stem."""
+    t, root = F.col(token), F.col("_root")
+    rooted = df.withColumn("_root", F.when(t.rlike("[ऀ-ॿ]"), stem(t)))
+    plain = (F.length(t) > 1) & ~t.isin(*STOPWORDS)
+    parts = F.filter(F.transform(F.split(t, "-"), lambda p: F.trim(p)), lambda p: (F.length(p) > 1) & ~p.isin(*STOPWORDS))
+    inflected = root.isNotNull() & ~root.isin(*STOPWORDS)
+    terms = F.when(t == "", F.array().cast("array<string>")).when(F.contains(t, F.lit("-")), F.concat(F.array(t), parts)).when(plain & inflected, F.array(t, root)).when(plain, F.array(t)).otherwise(F.array().cast("array<string>"))
+    return rooted.withColumn("_terms", terms).select(*[c for c in df.columns if c != token], F.explode("_terms").alias(name))
 
 
 def count_class(text: Column, java_class: str) -> Column:

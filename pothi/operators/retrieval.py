@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pothi.functions.lexical import index_terms, trimmed, words
+from pothi.functions.lexical import trimmed, with_terms, words
 from pothi.plans.lineage import cut
 
 K1, B = 1.5, 0.75
@@ -26,7 +26,7 @@ MOST_TERMS = 200_000
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, term: one row per occurrence."""
     raw = df.where(F.col(text).isNotNull()).select(key, F.explode(words(F.col(text))).alias("raw"))
-    return raw.select(key, trimmed(F.col("raw")).alias("tok")).where("tok <> ''").select(key, F.explode(index_terms(F.col("tok"))).alias("term"))
+    return with_terms(raw.select(key, trimmed(F.col("raw")).alias("tok")).where("tok <> ''"), "tok")
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,11 +48,10 @@ def hits(df: DataFrame, key: str, text: str, asked: DataFrame, most_terms: int =
     few = asked.limit(most_terms + 1).count() <= most_terms
     some = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("key"), F.xxhash64(some).alias("h"), F.explode(F.concat(F.array(F.lit(_ROW)), words(some))).alias("raw"))
-    token = trimmed(F.col("raw"))
-    occurs = rows.select("key", "h", F.explode(F.when(F.col("raw") == _ROW, F.array(F.lit(_ROW))).otherwise(index_terms(token))).alias("term"))
+    occurs = with_terms(rows.select("key", "h", F.when(F.col("raw") == _ROW, F.lit(_ROW + _ROW)).otherwise(trimmed(F.col("raw"))).alias("tok")), "tok")
     wanted = asked.select(F.col("term").alias("asked")).distinct()
     marked = occurs.join(F.broadcast(wanted) if few else wanted, F.col("term") == F.col("asked"), "left")
-    counted = marked.groupBy("key", "h", F.when(F.col("term") == _ROW, F.col("term")).otherwise(F.col("asked")).alias("term")).agg(F.count("*").alias("n"))
+    counted = marked.groupBy("key", "h", F.when(F.col("term") == _ROW + _ROW, F.lit(_ROW)).otherwise(F.col("asked")).alias("term")).agg(F.count("*").alias("n"))
     # Repeated rows: a row's mark counts its copies.
     per = counted.groupBy("key", "h").agg(F.sum(F.when(F.col("term") == _ROW, F.col("n"))).alias("copies"), F.sum(F.when(F.col("term") == _ROW, 0).otherwise(F.col("n"))).alias("all"), F.collect_list(F.when(F.col("term") != _ROW, F.struct("term", "n"))).alias("found"))
     one = per.groupBy("key").agg(F.min_by(F.struct("copies", "all", "found"), "h").alias("r"))
