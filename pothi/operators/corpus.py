@@ -56,13 +56,6 @@ def orphans(child: DataFrame, parent: DataFrame, link: str, key: str) -> DataFra
     return child.join(parent.select(F.col(key).alias(link)).distinct(), link, "left_anti")
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Latest row per key of both."""
-    from pothi.sources.tables import latest
-
-    return latest(base.unionByName(changes, allowMissingColumns=True), keys, order)
-
-
 def headings(df: DataFrame, key: str, lines: Column) -> DataFrame:
     """key, line_no, line, section, chapter: the last ``##`` heading above a line, and the last ``###`` since it."""
     at = df.select(F.col(key).alias("key"), F.posexplode(lines).alias("line_no", "line"))

@@ -210,7 +210,7 @@ def mmr(candidates: DataFrame, query: str, key: str, work: str, score: str, vect
                 break
             left.remove(best)
             picks.append(best)
-            values.append(round(float(value), 6))
+            values.append(round(float(value), 9))
         return pd.DataFrame({query: pdf[query].iloc[0] if len(pdf) else [], key: pdf[key].iloc[picks].to_numpy(), "pick": range(1, len(picks) + 1), "mmr": values})
 
     kinds = dict(candidates.dtypes)

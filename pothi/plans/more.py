@@ -120,6 +120,21 @@ def sql() -> dict[str, str]:
     some = lambda c: f"coalesce(regexp_replace({c}, '[\\n:]', ' ', 'g'), '')"
     broken = "CAST(('0x' || substr(md5(work_id), 1, 4)) AS INT) % 7 = 0"
     return {
+        "F09_quality_table": f"SELECT quality_score < 0.5 AS junk, stored IS NULL AS unscored, count(*) AS n FROM ({o.SQL['F07_quality']}) JOIN (SELECT id, quality_score AS stored FROM {o._CHUNKS}) USING (id) GROUP BY ALL",
+        "B08_contents": f"""WITH m AS (SELECT work_id, coalesce(arg_min(kind, id), '') AS kind, count(*) AS c FROM {o._CHUNKS} GROUP BY work_id), l AS (SELECT kind, 0 AS a, 0 AS b, '## ' || CASE WHEN kind = '' THEN '-' ELSE kind END || ' (' || count(*) || ')' AS line FROM m GROUP BY kind
+          UNION ALL SELECT kind, 1, row_number() OVER (PARTITION BY kind ORDER BY c DESC, work_id), '- ' || work_id || ': ' || c FROM m UNION ALL SELECT DISTINCT kind, 2, 0, '' FROM m) SELECT CAST(row_number() OVER (ORDER BY kind, a, b) - 1 AS INT) AS line_no, line FROM l""",
+        "H10_pages_by_density": f"""WITH RECURSIVE p AS {o._READER}, a AS (SELECT *, CASE WHEN chapter = lag(chapter) OVER (PARTITION BY work_id ORDER BY n) THEN 0 ELSE 1 END AS turn FROM p),
+          f AS (SELECT work_id, n, CAST(1 AS BIGINT) AS page, CASE WHEN is_heading THEN 0 ELSE len END AS size, 1 AS rows, CASE WHEN is_heading THEN 0 ELSE 1 END AS bodies FROM a WHERE n = 1
+            UNION ALL SELECT a.work_id, a.n, page + cut, CASE WHEN cut = 1 THEN 0 ELSE size END + CASE WHEN is_heading THEN 0 ELSE len END, CASE WHEN cut = 1 THEN 0 ELSE rows END + 1, CASE WHEN cut = 1 THEN 0 ELSE bodies END + CASE WHEN is_heading THEN 0 ELSE 1 END
+            FROM (SELECT a.*, f.page, f.size, f.rows, f.bodies, CASE WHEN a.turn = 1 OR (f.bodies >= 3 AND (f.rows >= 40 OR f.size >= 1500)) THEN 1 ELSE 0 END AS cut FROM f JOIN a ON a.work_id = f.work_id AND a.n = f.n + 1) a)
+          SELECT work_id, n, CAST(page AS INT) AS page FROM f""",
+        "I02_mmr": """WITH RECURSIVE cand AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, v.embedding::DOUBLE[] AS e, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id
+            QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) <= 100),
+          st AS (SELECT DISTINCT query_id, 0 AS pick, CAST([] AS STRUCT(i BIGINT, l INTEGER, e DOUBLE[])[]) AS ps, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS DOUBLE) AS mmr FROM cand
+            UNION ALL SELECT query_id, pick, ps, vec_id, mmr FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mmr DESC, score DESC, vec_id) AS r FROM (
+              SELECT s.query_id, s.pick + 1 AS pick, list_append(s.ps, {'i': c.vec_id, 'l': c.label, 'e': c.e}) AS ps, c.vec_id, c.score, 0.7 * c.score - (1 - 0.7) * coalesce(list_max(list_transform(list_filter(s.ps, lambda p: p.l = c.label), lambda p: list_dot_product(p.e, c.e))), 0) AS mmr
+              FROM st s JOIN cand c ON s.query_id = c.query_id WHERE s.pick < 12 AND len(list_filter(s.ps, lambda p: p.i = c.vec_id)) = 0 AND len(list_filter(s.ps, lambda p: p.l = c.label)) < 2 AND len(list_filter(s.ps, lambda p: list_dot_product(p.e, c.e) >= 0.35)) = 0)) WHERE r = 1)
+          SELECT query_id, vec_id, pick, round(mmr, 9) AS mmr FROM st WHERE pick > 0""",
         "A07_front_matter": f"""SELECT work_id, CASE WHEN NOT b THEN trim(t, ' ') END AS title, CASE WHEN NOT b THEN a END AS author, CASE WHEN NOT b THEN trim(k, ' ') END AS kind, md5(CASE WHEN b THEN '--' || chr(10) || 'title: ' || t || chr(10) || 'author: ''' || a || '''' || chr(10) || 'kind: x' || chr(10) || 'kind: ' || k || chr(10) || '---' || chr(10) || 'Body of ' || work_id ELSE 'Body of ' || work_id END) AS body_md5
           FROM (SELECT work_id, {some('title')} AS t, {some('author')} AS a, {some('kind')} AS k, {broken} AS b FROM works)""",
         "A11_tolerant_lines": "SELECT h, count(*) AS n FROM (SELECT CASE WHEN quote_id % 9 = 0 THEN '' ELSE md5(body) END AS h FROM (SELECT DISTINCT quote_id, body FROM quotes WHERE body IS NOT NULL)) GROUP BY h",
