@@ -134,7 +134,7 @@ def sql() -> dict[str, str]:
             UNION ALL SELECT query_id, pick, ps, vec_id, mmr FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mmr DESC, score DESC, vec_id) AS r FROM (
               SELECT s.query_id, s.pick + 1 AS pick, list_append(s.ps, {'i': c.vec_id, 'l': c.label, 'e': c.e}) AS ps, c.vec_id, c.score, 0.7 * c.score - (1 - 0.7) * coalesce(list_max(list_transform(list_filter(s.ps, lambda p: p.l = c.label), lambda p: list_dot_product(p.e, c.e))), 0) AS mmr
               FROM st s JOIN cand c ON s.query_id = c.query_id WHERE s.pick < 12 AND len(list_filter(s.ps, lambda p: p.i = c.vec_id)) = 0 AND len(list_filter(s.ps, lambda p: p.l = c.label)) < 2 AND len(list_filter(s.ps, lambda p: list_dot_product(p.e, c.e) >= 0.35)) = 0)) WHERE r = 1)
-          SELECT query_id, vec_id, pick, round(mmr, 4) AS mmr FROM st WHERE pick > 0""",
+          SELECT query_id, vec_id, pick FROM st WHERE pick > 0""",
         "A07_front_matter": f"""SELECT work_id, CASE WHEN NOT b THEN trim(t, ' ') END AS title, CASE WHEN NOT b THEN a END AS author, CASE WHEN NOT b THEN trim(k, ' ') END AS kind, md5(CASE WHEN b THEN '--' || chr(10) || 'title: ' || t || chr(10) || 'author: ''' || a || '''' || chr(10) || 'kind: x' || chr(10) || 'kind: ' || k || chr(10) || '---' || chr(10) || 'Body of ' || work_id ELSE 'Body of ' || work_id END) AS body_md5
           FROM (SELECT work_id, {some('title')} AS t, {some('author')} AS a, {some('kind')} AS k, {broken} AS b FROM works)""",
         "A11_tolerant_lines": "SELECT h, count(*) AS n FROM (SELECT CASE WHEN quote_id % 9 = 0 THEN '' ELSE md5(body) END AS h FROM (SELECT DISTINCT quote_id, body FROM quotes WHERE body IS NOT NULL)) GROUP BY h",
