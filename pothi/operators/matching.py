@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pothi.plans.lineage import cut
+
 
 def char_grams(text: Column, n: int = 5) -> Column:
     """Distinct runs of ``n`` characters of a squeezed lower-case text; the text itself when shorter."""
@@ -19,41 +21,42 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
+def phrase_hits(candidates: DataFrame, stories: DataFrame) -> DataFrame:
+    """key, story_id, hits: how many phrases of a story stand in a candidate's text, where any does.
+
+    A phrase is looked for in the texts that have its longest inner word, one of
+    one or two words in those that have its first letters anywhere.
+    """
+    phrases = stories.select("story_id", F.explode(F.array_distinct("fingerprint_phrases")).alias("p")).where("p <> ''")
+    parts = F.split("p", r"[ \n]")
+    middle = F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts) - 2))
+    longest = F.array_max(F.transform(middle, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = phrases.withColumn("w", F.when(F.size(parts) >= 3, longest))
+    texts = candidates.select("key", "raw_text").where("raw_text IS NOT NULL")
+    words = texts.select("key", "raw_text", F.explode(F.array_distinct(F.split("raw_text", r"[ \n]"))).alias("w"))
+    found = words.join(keyed.where("w IS NOT NULL"), "w").where(F.col("raw_text").contains(F.col("p"))).select("key", "story_id", "p")
+    short = keyed.where("w IS NULL").select("story_id", "p", F.left("p", F.when(F.length("p") >= 3, 3).otherwise(1)).alias("g"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("raw_text") - (n - 1))), lambda i: F.substring("raw_text", i, F.lit(n)))
+    begun = texts.select("key", "raw_text", F.explode(F.array_union(runs(1), runs(3))).alias("g"))
+    rest = begun.join(short, "g").where(F.col("raw_text").contains(F.col("p"))).select("key", "story_id", "p")
+    return found.unionByName(rest).distinct().groupBy("key", "story_id").agg(F.count("*").cast("int").alias("hits"))
+
+
 def story_scores(candidates: DataFrame, stories: DataFrame) -> DataFrame:
-    """key, story_id, score, about, people, places, hits of candidates and stories that share a place or two people.
+    """key, story_id, score, about, people, places, hits of candidates and stories that share a place, two people, or two phrases.
 
     Of pairs that share the member only, none is written: they all score 2, and
     ``story_ties`` names them by the member.
     """
     names = lambda df, key, c: df.select(key, F.explode(F.array_distinct(c)).alias("name"))
-    shared = lambda c: names(candidates, "key", c).join(names(stories, "story_id", c), "name").groupBy("key", "story_id").agg(F.count("*").alias("n"))
-    people, places = shared("key_people").where("n >= 2").withColumnRenamed("n", "people"), shared("locations").withColumnRenamed("n", "places")
-    met = people.join(places, ["key", "story_id"], "full_outer").na.fill(0, ["people", "places"])
-    texts = candidates.select("key", F.col("about_member").alias("member"), "raw_text", F.col("key_people").alias("own_people"))
-    told = stories.select("story_id", "about_member", F.col("key_people").alias("their_people"), F.coalesce("fingerprint_phrases", F.array().cast("array<string>")).alias("phrases"))
-    hits = F.size(F.filter("phrases", lambda p: (p != "") & F.col("raw_text").contains(p)))
+    shared = lambda c, n: names(candidates, "key", c).join(names(stories, "story_id", c), "name").groupBy("key", "story_id").agg(F.count("*").cast("int").alias(n))
+    both = shared("key_people", "people").join(shared("locations", "places"), ["key", "story_id"], "full_outer").join(phrase_hits(candidates, stories), ["key", "story_id"], "full_outer")
+    met = both.na.fill(0, ["people", "places", "hits"]).where("people >= 2 OR places >= 1 OR hits >= 2")
+    # Texts and phrases stay behind; a pair takes along the two members.
+    pair = met.join(candidates.select("key", F.col("about_member").alias("member")), "key").join(stories.select("story_id", "about_member"), "story_id")
     about = F.coalesce(F.col("member") == F.col("about_member"), F.lit(False))
-    pair = met.join(texts, "key").join(told, "story_id").select("key", "story_id", about.alias("about"), F.coalesce(F.size(F.array_intersect("own_people", "their_people")), F.lit(0)).alias("people"), "places", hits.alias("hits"))
-    score = F.when(F.col("about"), 2).otherwise(0) + F.when(F.col("people") >= 2, 1).otherwise(0) + F.when(F.col("places") >= 1, 1).otherwise(0) + F.when(F.col("hits") >= 2, 1).otherwise(0)
-    return pair.withColumn("score", score)
-
-
-def told_again(candidates: DataFrame, stories: DataFrame) -> DataFrame:
-    """key, story_id: candidates with two phrases of a story or more, of a member in common.
-
-    A phrase is found by its longest word, so that a text meets only phrases one
-    word of which it has.
-    """
-    phrases = stories.where("about_member IS NOT NULL").select("story_id", "about_member", F.explode(F.array_distinct("fingerprint_phrases")).alias("p")).where("p <> ''")
-    inner = F.size(F.split("p", r"[ \n]")) >= 3
-    middle = F.slice(F.split("p", r"[ \n]"), 2, F.greatest(F.lit(1), F.size(F.split("p", r"[ \n]")) - 2))
-    longest = F.element_at(F.array_sort(F.transform(middle, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keyed = phrases.select("story_id", "about_member", "p", F.when(inner, longest).alias("w"))
-    texts = candidates.select("key", "about_member", "raw_text")
-    words = texts.select("key", "about_member", "raw_text", F.explode(F.array_distinct(F.split("raw_text", r"[ \n]"))).alias("w"))
-    found = words.join(keyed.where("w IS NOT NULL"), ["about_member", "w"]).where(F.col("raw_text").contains(F.col("p"))).select("key", "story_id", "p")
-    rest = texts.join(keyed.where("w IS NULL").drop("w"), "about_member").where(F.col("raw_text").contains(F.col("p"))).select("key", "story_id", "p")
-    return found.unionByName(rest).distinct().groupBy("key", "story_id").agg(F.count("*").alias("n")).where("n >= 2").select("key", "story_id")
+    score = F.when(about, 2).otherwise(0) + F.when(F.col("people") >= 2, 1).otherwise(0) + F.when(F.col("places") >= 1, 1).otherwise(0) + F.when(F.col("hits") >= 2, 1).otherwise(0)
+    return pair.select("key", "story_id", about.alias("about"), "people", "places", "hits", score.alias("score"))
 
 
 def story_match(candidates: DataFrame, stories: DataFrame) -> DataFrame:
@@ -71,10 +74,7 @@ def story_ties(candidates: DataFrame, stories: DataFrame) -> DataFrame:
     at 2 for being of the candidate's member, one row names them all by ``all_of``,
     the member, instead of one row a story; stories of others have rows of their own.
     """
-    paired = story_scores(candidates, stories)
-    # Two phrases and the member without people or places make 3.
-    again = told_again(candidates, stories).join(paired, ["key", "story_id"], "left_anti")
-    scored = paired.unionByName(again.select("key", "story_id", F.lit(True).alias("about"), F.lit(0).alias("people"), F.lit(0).cast("bigint").alias("places"), F.lit(2).alias("hits"), F.lit(3).alias("score")))
+    scored = cut(story_scores(candidates, stories).where("score >= 2"))
     members = stories.where("about_member IS NOT NULL").select("about_member").distinct().withColumn("told", F.lit(True))
     base = candidates.select("key", "about_member").join(members, "about_member", "left").select("key", F.when(F.col("told"), F.col("about_member")).alias("of"))
     tops = scored.groupBy("key").agg(F.max("score").alias("most"))

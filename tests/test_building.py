@@ -200,3 +200,13 @@ def test_volumes_are_cleaned(spark):
     assert cleaned("") == ("", dict.fromkeys(n, 0))
     df = spark.createDataFrame([("a", text), ("b", None)], "id string, t string")
     assert [(r.key, r.page_nums_stripped) for r in clean_volumes(df, "id", "t").collect()] == [("a", 4)]
+
+
+def test_phrase_hits_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = ["lamp", "old", "a", "दिवा", "the", "river"]
+    texts = [(f"k{i}", " ".join(rng.choice(words) for _ in range(12))) for i in range(20)] + [("n", None)]
+    phrases = [(f"s{i}", [" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4]))) for _ in range(3)] + ["", "a"]) for i in range(12)] + [("t", None)]
+    got = {(r.key, r.story_id): r.hits for r in ma.phrase_hits(spark.createDataFrame(texts, "key string, raw_text string"), spark.createDataFrame(phrases, "story_id string, fingerprint_phrases array<string>")).collect()}
+    want = {(k, s): sum(p in t for p in set(ps) if p) for k, t in texts if t for s, ps in phrases if ps}
+    assert got == {k: n for k, n in want.items() if n}
