@@ -24,22 +24,27 @@ def jaccard(a: Column, b: Column) -> Column:
 def phrase_hits(candidates: DataFrame, stories: DataFrame) -> DataFrame:
     """key, story_id, hits: how many phrases of a story stand in a candidate's text, where any does.
 
-    A phrase is looked for in the texts that have its longest inner word, one of
-    one or two words in those that have its first letters anywhere.
+    A phrase is looked for in the texts that have its longest inner word; one of
+    one or two words in those with a word that holds its first. What is joined are
+    words and phrases; a text comes along only to what its words speak for.
     """
-    phrases = stories.select("story_id", F.explode(F.array_distinct("fingerprint_phrases")).alias("p")).where("p <> ''")
+    told = stories.select("story_id", F.explode(F.array_distinct("fingerprint_phrases")).alias("p")).where("p <> ''")
     parts = F.split("p", r"[ \n]")
     middle = F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts) - 2))
     longest = F.array_max(F.transform(middle, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = phrases.withColumn("w", F.when(F.size(parts) >= 3, longest))
+    filled = F.filter(parts, lambda w: w != "")
+    phrases = told.select("p").distinct().select("p", F.when(F.size(parts) >= 3, longest).alias("w"), F.coalesce(F.get(filled, F.lit(0)), F.lit("")).alias("part"))
     texts = candidates.select("key", "raw_text").where("raw_text IS NOT NULL")
-    words = texts.select("key", "raw_text", F.explode(F.array_distinct(F.split("raw_text", r"[ \n]"))).alias("w"))
-    found = words.join(keyed.where("w IS NOT NULL"), "w").where(F.col("raw_text").contains(F.col("p"))).select("key", "story_id", "p")
-    short = keyed.where("w IS NULL").select("story_id", "p", F.left("p", F.when(F.length("p") >= 3, 3).otherwise(1)).alias("g"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("raw_text") - (n - 1))), lambda i: F.substring("raw_text", i, F.lit(n)))
-    begun = texts.select("key", "raw_text", F.explode(F.array_union(runs(1), runs(3))).alias("g"))
-    rest = begun.join(short, "g").where(F.col("raw_text").contains(F.col("p"))).select("key", "story_id", "p")
-    return found.unionByName(rest).distinct().groupBy("key", "story_id").agg(F.count("*").cast("int").alias("hits"))
+    words = texts.select("key", F.explode(F.array_distinct(F.split("raw_text", r"[ \n]"))).alias("w")).distinct()
+    # Short phrases meet the distinct words of all texts by a letter run, and the texts by those words.
+    run = lambda c: F.left(c, F.when(F.length(c) >= 3, 3).otherwise(F.length(c)))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w") - (n - 1))), lambda i: F.substring("w", i, F.lit(n)))
+    short = phrases.where("w IS NULL").select("p", "part", run(F.col("part")).alias("g"))
+    held = words.select("w").distinct().select("w", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3), F.array(F.lit(""))))).alias("g")).join(short, "g").where(F.col("w").contains(F.col("part"))).select("w", "p")
+    keyed = phrases.where("w IS NOT NULL").select("w", "p").unionByName(held).distinct()
+    likely = words.join(keyed, "w").select("key", "p").distinct()
+    found = likely.join(texts, "key").where(F.col("raw_text").contains(F.col("p"))).select("key", "p").distinct()
+    return found.join(told, "p").groupBy("key", "story_id").agg(F.count_distinct("p").cast("int").alias("hits"))
 
 
 def story_scores(candidates: DataFrame, stories: DataFrame) -> DataFrame:
