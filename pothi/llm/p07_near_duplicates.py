@@ -7,13 +7,13 @@ records; a record of n shingles goes to its first ``n - ceil(t n) + 5``. That
 radius makes the cover complete: records with a Jaccard similarity of t or more
 have an anchor in common. (A covering code over Hamming fingerprints can't do
 this at t = 0.5: see the README.) Shingles come from rare to common by the number
-of classes they stand in, counted in blocks of about a million; those of one
+of classes they stand in, counted in blocks of about half a million; those of one
 class find nothing and don't leave their record. A table of constant size tells
 shingles too common to be counted one by one: they come last, and where they are
 anchors still, they are split into parts.
 
 Exact copies of a shingle set are one class and are compared once. Anchors go to
-blocks, about a million a block whatever the data. A record goes to four anchors
+blocks, about half a million a block whatever the data. A record goes to four anchors
 more than one in common would take, so that two alike records share five; only
 those standing early enough in both count, and only pairs with five have their
 sets compared. Nothing is lost by it.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pothi.llm.runs import anchored, frequencies, loads, meetings, run_sets
 from pothi.plans.lineage import cut
 
-BUCKETS, HOT, EACH = 1 << 17, 2000, 1 << 20
+BUCKETS, HOT, EACH = 1 << 17, 2000, 1 << 19
 
 
 class NearDuplicates:
@@ -49,9 +49,10 @@ class NearDuplicates:
         """a, b, shared, either: classes with a Jaccard similarity of the threshold or more; a < b."""
         t = self.threshold
         filled = self._keyed.where(F.size("runs") > 0).select("cls", "runs")
-        sets = filled.groupBy("cls").agg(F.first("runs").alias("runs"))
-        load = loads(filled, self.buckets)
-        counts = frequencies(filled, load, self.hot, self.each).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("block", "counts"))).alias("c"))
+        # Copies count for nothing in what is common: loads are of classes.
+        sets = cut(filled.groupBy("cls").agg(F.first("runs").alias("runs")))
+        load = loads(sets, self.buckets)
+        counts = frequencies(sets, load, self.hot, self.each).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("block", "counts"))).alias("c"))
         counted = sets.join(counts.select("cls", F.array_join(F.transform("c", lambda x: F.hex(x["counts"])), "").alias("c")), "cls", "left").select("cls", "runs", F.unhex(F.coalesce("c", F.lit(""))).alias("counts"))
         met = meetings(anchored(counted, load, t, self.hot, self.each), t)
         candidates = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")

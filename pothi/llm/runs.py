@@ -55,11 +55,25 @@ def bits_of(df: DataFrame, column: str, words: int) -> np.ndarray:
     return out
 
 
+#: So many words or runs are worked on at once in a task, whatever the batches are.
+PIECE = 1 << 18
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, about ``PIECE`` elements of a list column at a time; a row is never parted."""
+    for batch in batches:
+        ends, at = batch.column(column).offsets.to_numpy(), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def runs_of(n: int, known: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """id, run: every run; with ``known`` (a filter), only runs it may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "words"):
             h, row = run_hashes(*_values(batch), n)
             if known is not None and len(h):
                 hit = (known[h & np.uint64(len(known) - 1)] >> (h >> np.uint64(58))) & np.uint64(1) == 1
@@ -74,7 +88,7 @@ def run_sets(df: DataFrame, n: int) -> DataFrame:
     """key, digest, runs: a hash of the text and the sorted distinct runs of ``n`` words of each row of df(key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "words"):
             h, row = run_hashes(*_values(batch), n)
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
@@ -97,7 +111,7 @@ def loads(lists: DataFrame, buckets: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, "runs"):
             total += np.bincount(_runs(batch)[0] & (buckets - 1), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
@@ -160,7 +174,7 @@ def frequencies(lists: DataFrame, load: np.ndarray, hot: int, each: int) -> Data
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = shared.value
         common = too_common(load, hot)
-        for batch in batches:
+        for batch in pieces(batches, "runs"):
             runs, starts = _runs(batch)
             row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             keep = ~common[runs & (len(load) - 1)]
@@ -195,7 +209,9 @@ def anchored(counted: DataFrame, load: np.ndarray, threshold: float, hot: int, e
     part, as side 2 in all.
     """
     shared = counted.sparkSession.sparkContext.broadcast(load)
-    blocks, run_blocks = int(load.sum() * (1 - threshold) / each) + 1, int(load.sum() / each) + 1
+    # Anchors that are split come once and once a part.
+    copies = np.where(load > hot, 1 + -(-load // hot), 1)
+    blocks, run_blocks = int((load * copies).sum() * (1 - threshold) / each) + 1, int(load.sum() / each) + 1
 
     def rows(cls, n, row, place, anchors, side):
         block = (anchors >> np.uint64(33)) % np.uint64(blocks)
@@ -210,7 +226,7 @@ def anchored(counted: DataFrame, load: np.ndarray, threshold: float, hot: int, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = shared.value
         common = too_common(load, hot)
-        for batch in batches:
+        for batch in pieces(batches, "runs"):
             runs, starts = _runs(batch)
             n = np.diff(starts)
             row = np.repeat(np.arange(len(n)), n)
@@ -233,12 +249,17 @@ def anchored(counted: DataFrame, load: np.ndarray, threshold: float, hot: int, e
                 if many.any():
                     r, h, p, at = row[many], runs[kept[many]], parts[many], place[many]
                     yield rows(cls, n, r, at, mixed(h, cls.to_numpy()[r] % p), 1)
-                    yield rows(cls, n, np.repeat(r, p), np.repeat(at, p), mixed(np.repeat(h, p), np.concatenate([np.arange(k) for k in p])), 2)
+                    # All parts of all of these can be far more than the batch: some at a time.
+                    total = np.concatenate(([0], np.cumsum(p)))
+                    for s in range(0, int(total[-1]), _AT_ONCE):
+                        k = np.arange(s, min(s + _AT_ONCE, int(total[-1])))
+                        i = np.searchsorted(total, k, "right") - 1
+                        yield rows(cls, n, r[i], at[i], mixed(h[i], k - total[i]), 2)
 
     return counted.select("cls", "runs", "counts").mapInArrow(run, "block int, cls bigint, n int, side int, anchors binary, places binary")
 
 
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 18
 #: So many anchors two classes must have in common, so many more a class goes by.
 SHARED = 5
 
@@ -251,7 +272,8 @@ def meetings(anchored: DataFrame, threshold: float) -> DataFrame:
     with room for those count, and a pair without ``least`` of them is none.
     """
 
-    def meet(table: pa.Table) -> pa.Table:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         cls, n, side = (table.column(c).to_numpy() for c in ("cls", "n", "side"))
         anchor, offsets = _flat(table.column("anchors"), np.uint32)
         place = _flat(table.column("places"), np.uint32)[0].astype(np.int64)
@@ -265,7 +287,8 @@ def meetings(anchored: DataFrame, threshold: float) -> DataFrame:
         end = np.searchsorted(part, part, "right")
         first = np.where(role == 1, np.searchsorted(key, (part << 2) | 2), np.arange(len(key)) + 1)
         many = np.where(role == 2, 0, end - first)
-        total, found = np.concatenate(([0], np.cumsum(many))), []
+        total = np.concatenate(([0], np.cumsum(many)))
+        # The pairs of a block have no bound: they leave some at a time, and are summed behind.
         for s in range(0, int(total[-1]), _AT_ONCE):
             pair = np.arange(s, min(s + _AT_ONCE, int(total[-1])))
             i = np.searchsorted(total, pair, "right") - 1
@@ -275,8 +298,8 @@ def meetings(anchored: DataFrame, threshold: float) -> DataFrame:
             near = (who[i] != who[j]) & (size[i] - place[i] > need - least) & (size[j] - place[j] > need - least)
             a, b = who[i[near]], who[j[near]]
             keys, at, counts = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b), return_index=True, return_counts=True)
-            found.append((keys, counts, least[near][at]))
-        keys, counts, least = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        return pa.table({"a": names[keys // max(1, len(names))], "b": names[keys % max(1, len(names))], "met": counts, "least": least.astype(np.int32)})
+            if len(keys):
+                columns = [names[keys // len(names)], names[keys % len(names)], counts, least[near][at].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "met", "least"])
 
     return anchored.groupBy("block").applyInArrow(meet, "a bigint, b bigint, met bigint, least int")
