@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +10,38 @@ from pyspark.sql import functions as F
 from pothi.plans.lineage import cut
 
 
+def plain(text: Column) -> Column:
+    """A squeezed lower-case text."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def gram_likeness(pairs: DataFrame, names: list[str], a: str, b: str, n: int = 5) -> DataFrame:
+    """names, likeness: the Jaccard similarity, to six places, of the runs of ``n`` characters of two plain texts of a row.
+
+    The same as of their ``char_grams``, whose many short texts are neither kept
+    nor exchanged: the runs of a pair are made where the pair is.
+    """
+
+    def grams(t: str) -> set[str]:
+        return {t[i : i + n] for i in range(len(t) - n + 1)} if len(t) >= n else {t} - {""}
+
+    def run(batches):
+        last, of_last = None, set()
+        for batch in batches:
+            both, either = [], []
+            for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
+                if x != last:
+                    last, of_last = x, grams(x)
+                other = grams(y)
+                both.append(len(of_last & other))
+                either.append(len(of_last) + len(other) - both[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(both, pa.int32()), pa.array(either, pa.int32())], names=[*names, "_both", "_either"])
+
+    kinds = dict(pairs.dtypes)
+    met = pairs.select(*names, a, b).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _both int, _either int")
+    return met.select(*names, F.round(F.when(F.col("_either") > 0, F.col("_both") / F.col("_either")).otherwise(0.0), 6).alias("likeness"))
+
+
 def char_grams(text: Column, n: int = 5) -> Column:
     """Distinct runs of ``n`` characters of a squeezed lower-case text; the text itself when shorter."""
     t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -133,13 +166,12 @@ def aliases(containers: DataFrame, originals: DataFrame, key: str, language: str
     for its text, by the Jaccard similarity of their runs of five characters; texts
     of fewer than ``shortest`` characters aren't compared.
     """
-    from pothi.operators.retrieval import bm25, top
+    from pothi.operators.retrieval import bm25_best, top
 
-    long = lambda df, k: df.where(F.length(text) >= shortest).select(F.concat_ws("|", F.coalesce(F.col(language), F.lit("")), F.col(key)).alias(k), F.coalesce(F.col(language), F.lit("")).alias(f"lang_{k}"), F.col(text).alias(f"text_{k}"))
+    long = lambda df, k: cut(df.where(F.length(text) >= shortest).select(F.concat_ws("|", F.coalesce(F.col(language), F.lit("")), F.col(key)).alias(k), F.coalesce(F.col(language), F.lit("")).alias(f"lang_{k}"), F.col(text).alias(f"text_{k}")))
     c, o = long(containers, "c"), long(originals, "o")
-    scores = bm25(o, "o", "text_o", c, "c", "text_c").join(c.select("c", "lang_c"), "c").join(o.select("o", "lang_o"), "o").where("lang_c = lang_o AND score > 0")
-    pairs = top(scores, "c", "score", "o", blocking).select("c", "o")
-    grams = lambda df, k: df.select(k, char_grams(F.col(f"text_{k}")).alias(f"g_{k}"))
-    sized = pairs.join(grams(c, "c"), "c").join(grams(o, "o"), "o").select("c", "o", F.round(jaccard(F.col("g_c"), F.col("g_o")), 6).alias("confidence"))
+    pairs = bm25_best(o, "o", "text_o", "lang_o", c, "c", "text_c", "lang_c", blocking).select("c", "o")
+    told = lambda df, k: df.select(k, plain(F.col(f"text_{k}")).alias(f"plain_{k}"))
+    sized = gram_likeness(pairs.join(told(o, "o"), "o").join(told(c, "c"), "c"), ["c", "o"], "plain_c", "plain_o").withColumnRenamed("likeness", "confidence")
     name = lambda col: F.substring_index(col, "|", -1)
     return top(sized, "c", "confidence", "o", 1).where(F.col("confidence") >= least).select(name("c").alias("id"), name("o").alias("alias_id"), "confidence")

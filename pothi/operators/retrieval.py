@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,6 +80,77 @@ def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str,
     return wanted.join(F.broadcast(df_t) if few else df_t, "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+#: So many texts and so many queries meet in one group of ``bm25_best``.
+TEXTS_AT_ONCE, QUERIES_AT_ONCE = 1 << 15, 1 << 14
+
+
+def _elements(table: pa.Table, column: str) -> np.ndarray:
+    return pa.concat_arrays(table.column(column).chunks).flatten().to_numpy(zero_copy_only=False)
+
+
+def bm25_best(df: DataFrame, key: str, text: str, group: str, queries: DataFrame, query_key: str, query_text: str, query_group: str, k: int, most_terms: int = MOST_TERMS, texts: int = TEXTS_AT_ONCE, asking: int = QUERIES_AT_ONCE) -> DataFrame:
+    """query, key, score, rank: as ``bm25``, the ``k`` best texts of each query's own group, for as many queries as texts.
+
+    Statistics are those of ``df``, whatever the group. Texts and queries are
+    packed into a row each and meet in blocks of ``texts`` by ``asking``; a block
+    gives each query its ``k`` best, so that the scores of all others, which grow
+    with the square of the input, are neither exchanged nor kept.
+    """
+    asked = cut(terms(queries, query_key, query_text).distinct())
+    have = cut(hits(df, key, text, asked.select("term"), most_terms))
+    n_docs, tokens = have.where("term IS NULL").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    avgdl = max(1.0, tokens / max(1, n_docs))
+    wanted = have.where("term IS NOT NULL")
+    idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    known = cut(wanted.groupBy("term").agg(F.count("*").alias("df")).select("term", F.monotonically_increasing_id().alias("no"), idf.alias("idf")))
+    small = F.broadcast(known) if known.limit(most_terms + 1).count() <= most_terms else known
+    blocks, chunks = n_docs // texts + 1, queries.count() // asking + 1
+    spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    held = wanted.join(small, "term").groupBy(key).agg(F.first("dl").alias("dl"), F.collect_list(F.struct("no", "tf")).alias("p")).join(df.select(key, F.col(group).alias("_group")).distinct(), key)
+    held = held.select("_group", spread("_chunk", chunks), part(key, blocks).alias("_block"), key, F.col("dl").cast("int").alias("dl"), F.col("p.no").alias("no"), F.col("p.tf").cast("array<int>").alias("tf"))
+    said = asked.join(small, "term").groupBy(query_key).agg(F.collect_list(F.struct("no", "idf")).alias("p")).join(queries.select(query_key, F.col(query_group).alias("_group")).distinct(), query_key)
+    said = said.select("_group", part(query_key, chunks).alias("_chunk"), spread("_block", blocks), query_key, F.col("p.no").alias("no"), F.col("p.idf").alias("idf"))
+    kinds = dict(df.dtypes) | dict(queries.dtypes)
+
+    def meet(asking: pa.Table, texts: pa.Table) -> pa.Table:
+        empty = not asking.num_rows or not texts.num_rows
+        # In the order of keys, so that of equal scores the first key comes first.
+        texts = texts.sort_by(key)
+        n, found, whose, scores = texts.num_rows, [], [], []
+        if not empty:
+            doc = np.repeat(np.arange(n), pc.list_value_length(texts.column("no")).to_numpy())
+            tf, dl = _elements(texts, "tf").astype(np.float64), texts.column("dl").to_numpy()[doc]
+            weight, no = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)), _elements(texts, "no")
+            order = np.argsort(no, kind="stable")
+            doc, weight, (terms_, first) = doc[order], weight[order], np.unique(no[order], return_index=True)
+            stop = np.append(first[1:], len(no))
+            ask, idf = _elements(asking, "no"), _elements(asking, "idf")
+            at = np.minimum(np.searchsorted(terms_, ask), len(terms_) - 1)
+            there = terms_[at] == ask
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(asking.column("no")).to_numpy())))
+            for q in range(asking.num_rows):
+                score = np.zeros(n)
+                of = np.arange(ends[q], ends[q + 1])
+                of = of[there[of]]
+                for a, b, w in zip(first[at[of]], stop[at[of]], idf[of]):
+                    score[doc[a:b]] += w * weight[a:b]
+                least = np.partition(score, n - k)[n - k] if n > k else 0.0
+                near = np.flatnonzero(score >= least - 1e-6)
+                rounded = np.round(score[near], 6)
+                best = np.argsort(-rounded, kind="stable")[:k]
+                best = best[rounded[best] > 0]
+                found.append(near[best])
+                scores.append(rounded[best])
+                whose.append(np.full(len(best), q))
+        one = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+        return pa.table({query_key: asking.column(query_key).take(pa.array(one(whose, np.int64))), key: texts.column(key).take(pa.array(one(found, np.int64))), "score": one(scores, np.float64)})
+
+    by = ["_group", "_chunk", "_block"]
+    met = said.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(meet, f"`{query_key}` {kinds[query_key]}, `{key}` {kinds[key]}, score double")
+    return top(met, query_key, "score", key, k)
+
+
 def with_zeros(scores: DataFrame, queries: DataFrame, query_key: str, docs: DataFrame, key: str) -> DataFrame:
     """query, key, score of every text for a stated set of queries, 0 where no term is shared."""
     every = F.broadcast(queries.select(query_key).distinct()) if queries.limit(1001).count() <= 1000 else queries.select(query_key).distinct()
