@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pothi.functions.text import is_ornament, is_verse, squeeze, strip, verse_lines, without_emphasis
+from pothi.operators.within import first_holder
+from pothi.plans.lineage import cut
 
 
 def paragraphs(df: DataFrame, key: str, text: str, split: str = r"\n\s*\n") -> DataFrame:
@@ -34,8 +36,8 @@ def pages_fixed(df: DataFrame, key: str, order: str, chapter: str, structural: s
     turn = F.when(F.coalesce(F.lag(chapter).over(w) == F.col(chapter), F.lit(False)), 0).otherwise(1)
     run = df.withColumn("_run", F.sum(turn).over(w))
     before = F.sum(F.when(F.col(structural), 0).otherwise(1)).over(W.partitionBy(key, "_run").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    cut = run.withColumn("_page", F.floor(F.coalesce(before, F.lit(0)) / per_page))
-    return cut.withColumn("page", F.dense_rank().over(W.partitionBy(key).orderBy("_run", "_page"))).drop("_run", "_page")
+    paged = run.withColumn("_page", F.floor(F.coalesce(before, F.lit(0)) / per_page))
+    return paged.withColumn("page", F.dense_rank().over(W.partitionBy(key).orderBy("_run", "_page"))).drop("_run", "_page")
 
 
 def pages_by_entry(df: DataFrame, key: str, order: str, heading: str) -> DataFrame:
@@ -141,21 +143,15 @@ STARTS, WIDTHS, SHORTEST = [0, 30, 60, 100, 150], [60, 40, 24], 12
 def pages_of_quotes(quotes: DataFrame, paras: DataFrame, quote: str, key: str, body: str) -> DataFrame:
     """quote, n: the paragraph that holds a window of a quotation's text; of the windows the first that any paragraph holds, of those the first.
 
-    quotes(quote, key, body) and paras(key, n, body). A window is looked for in
-    the paragraphs that have its longest inner word, so that a quotation doesn't
-    meet every paragraph of its work; windows without an inner word meet them all.
+    quotes(quote, key, body) and paras(key, n, body). Windows are found by
+    ``first_holder``, so that a quotation doesn't meet the paragraphs of its work.
     """
     norm = lambda c: squeeze(without_emphasis(c))
     order = F.array(*[F.struct(F.lit(i).alias("w"), F.lit(a).alias("a"), F.lit(n).alias("n")) for i, (a, n) in enumerate((a, n) for a in STARTS for n in WIDTHS)])
     said = quotes.select(F.col(quote).alias("_quote"), F.col(key).alias("_key"), norm(F.col(body)).alias("_text"), F.explode(order).alias("_o"))
-    cut = said.select("_quote", "_key", F.col("_o.w").alias("_w"), F.substring("_text", F.col("_o.a") + 1, F.col("_o.n")).alias("_window")).where(F.length("_window") >= SHORTEST)
-    words = F.split("_window", " ")
-    inner = F.slice(words, 2, F.greatest(F.lit(1), F.size(words) - 2))
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keyed = cut.withColumn("_word", F.when(F.size(words) >= 3, longest))
-    held = paras.select(F.col(key).alias("_key"), F.col("n").alias("_n"), norm(F.col("body")).alias("_para"))
-    by_word = held.select("*", F.explode(F.array_distinct(F.split("_para", " "))).alias("_word"))
-    found = F.col("_para").contains(F.col("_window"))
-    met = keyed.where("_word IS NOT NULL").join(by_word, ["_key", "_word"]).where(found).select("_quote", "_w", "_n")
-    rest = keyed.where("_word IS NULL").drop("_word").join(held, "_key").where(found).select("_quote", "_w", "_n")
-    return met.unionByName(rest).groupBy(F.col("_quote").alias(quote)).agg(F.min_by("_n", F.struct("_w", "_n")).alias("n"))
+    windows = said.select("_quote", "_key", F.col("_o.w").alias("_w"), F.substring("_text", F.col("_o.a") + 1, F.col("_o.n")).alias("_window")).where(F.length("_window") >= SHORTEST)
+    asked = cut(windows)
+    held = paras.select(F.col(key).alias("link"), norm(F.col("body")).alias("text"), "n")
+    first = first_holder(asked.select(F.col("_key").alias("link"), F.col("_window").alias("stretch")), held)
+    met = asked.join(first.select(F.col("link").alias("_key"), F.col("stretch").alias("_window"), F.col("n").alias("_n")), ["_key", "_window"])
+    return met.groupBy(F.col("_quote").alias(quote)).agg(F.min_by("_n", F.struct("_w", "_n")).alias("n"))
