@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pothi.functions.text import GAP, WORD, folded, strip
+from pothi.operators.within import first_holder
 
 
 def clean_body(body: Column) -> Column:
@@ -108,22 +109,15 @@ def spliced(quotes: DataFrame, passages: DataFrame, key: str, link: list[str]) -
 def check(quotes: DataFrame, sources: DataFrame, key: str, link: str, body: str, text: str) -> DataFrame:
     """key, status: ``verbatim`` when the squeezed body stands in a source, ``changed``, ``no source`` or ``no body``.
 
-    Bodies and sources are squeezed once. A body is looked for in the sources that
-    have its longest inner word, so that it doesn't meet every source of its work;
-    bodies of one or two words meet them all.
+    Bodies and sources are squeezed once. Bodies are found by ``first_holder``, so
+    that one doesn't meet the sources of its work.
     """
     said = quotes.select(F.col(key).alias("_key"), F.col(link).alias("_link"), squeezed(F.coalesce(F.col(body), F.lit(""))).alias("_body")).distinct()
-    words = F.split("_body", " ")
-    longest = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.lit(1), F.size(words) - 2)), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keyed = said.withColumn("_word", F.when(F.size(words) >= 3, longest)).where("_body <> ''")
     held = sources.where(F.col(text).isNotNull()).select(F.col(link).alias("_link"), squeezed(F.col(text)).alias("_text"))
-    by_word = held.select("*", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
-    inside = F.col("_text").contains(F.col("_body"))
-    met = keyed.where("_word IS NOT NULL").join(by_word, ["_link", "_word"]).where(inside).select("_key")
-    rest = keyed.where("_word IS NULL").drop("_word").join(held, "_link").where(inside).select("_key")
-    verbatim = met.unionByName(rest).distinct().withColumn("_found", F.lit(True))
-    told = held.select("_link").distinct().withColumn("_told", F.lit(True))
-    per = said.join(told, "_link", "left").join(verbatim, "_key", "left")
+    found = first_holder(said.select(F.col("_link").alias("link"), F.col("_body").alias("stretch")), held.select(F.col("_link").alias("link"), F.col("_text").alias("text"), F.lit(1).alias("n")))
+    verbatim = found.select(F.col("link").alias("_link"), F.col("stretch").alias("_body"), F.lit(True).alias("_found"))
+    told = sources.where(F.col(text).isNotNull()).select(F.col(link).alias("_link")).distinct().withColumn("_told", F.lit(True))
+    per = said.join(told, "_link", "left").join(verbatim, ["_link", "_body"], "left")
     best = per.groupBy("_key").agg(F.max(F.when(F.col("_body") == "", 0).when(F.col("_told").isNull(), 1).when(F.col("_found"), 3).otherwise(2)).alias("_s"))
     return best.select(F.col("_key").alias(key), F.element_at(F.array(F.lit("no body"), F.lit("no source"), F.lit("changed"), F.lit("verbatim")), F.col("_s") + 1).alias("status"))
 

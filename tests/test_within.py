@@ -31,3 +31,13 @@ def test_pages_of_quotes_don_t_copy_a_paragraph_for_each_of_its_words(spark):
     found = reader.pages_of_quotes(quotes, paras, "quote", "key", "body")
     assert [tuple(r) for r in found.collect()] == [("q", 7)]
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and "explode" not in found._jdf.queryExecution().analyzed().toString().lower().replace("posexplode", "")
+
+
+def test_bodies_are_checked_without_a_copy_of_a_source_for_each_of_its_words(spark):
+    from pothi.operators import citations
+
+    sources = spark.createDataFrame([("w", f"the lamp  by the river\nburns all night {i} " * 9) for i in range(30)] + [("v", "ab")], "work string, text string")
+    quotes = spark.createDataFrame([("a", "w", "river burns all\nnight 7 the lamp"), ("b", "w", "night 7 the lamp by a river"), ("c", "x", "the lamp"), ("d", "w", " "), ("e", "v", "b"), ("f", "w", "lamp")], "quote string, work string, body string")
+    found = citations.check(quotes, sources, "quote", "work", "body", "text")
+    assert {r.quote: r.status for r in found.collect()} == {"a": "verbatim", "b": "changed", "c": "no source", "d": "no body", "e": "verbatim", "f": "verbatim"}
+    assert "explode" not in found._jdf.queryExecution().analyzed().toString().lower()
