@@ -103,9 +103,11 @@ def j04_shared_sets(s, d):
 def k11_gram_similarity(s, d):
     """Likeness of the tellings of one story, by whole texts."""
     m = t(s, d, "meta", "story_id", "variants").select("story_id", F.explode("variants").alias("v")).select("story_id", F.col("v.file").alias("file"), F.col("v.text").alias("text")).where("text IS NOT NULL").distinct()
-    sets = m.select("story_id", "file", ma.char_grams(F.col("text")).alias("g"))
-    a, b = sets.alias("a"), sets.alias("b")
-    return a.join(b, (F.col("a.story_id") == F.col("b.story_id")) & (F.col("a.file") < F.col("b.file"))).select(F.col("a.file").alias("file_a"), F.col("b.file").alias("file_b"), F.round(ma.jaccard(F.col("a.g"), F.col("b.g")), 6).alias("similarity"))
+    # Merged, never sent whole to the driver and the tasks: texts grow with the input.
+    told = m.select("story_id", "file", ma.plain(F.col("text")).alias("plain"))
+    a, b = (told.select("story_id", F.col("file").alias(f"file_{x}"), F.col("plain").alias(f"plain_{x}")) for x in "ab")
+    pairs = a.join(b.hint("merge"), "story_id").where("file_a < file_b")
+    return ma.gram_likeness(pairs, ["file_a", "file_b"], "plain_a", "plain_b").withColumnRenamed("likeness", "similarity")
 
 
 def _aliases(s, d):

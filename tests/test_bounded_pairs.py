@@ -28,3 +28,11 @@ def test_likeness_of_plain_texts_is_that_of_their_runs(spark):
     want = {r.k: r.s for r in df.select("k", F.round(ma.jaccard(ma.char_grams(F.col("x")), ma.char_grams(F.col("y"))), 6).alias("s")).collect()}
     told = df.select("k", ma.plain(F.col("x")).alias("x"), ma.plain(F.col("y")).alias("y"))
     assert {r.k: r.likeness for r in ma.gram_likeness(told, ["k"], "x", "y").collect()} == want
+
+
+def test_tellings_of_a_story_are_merged_whatever_their_size(spark):
+    from pothi.plans.matching import k11_gram_similarity
+
+    found = k11_gram_similarity(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "array_distinct" not in plan
