@@ -53,3 +53,11 @@ def test_pairs_of_a_block_leave_a_task_some_at_a_time():
     table = {"block": np.zeros(n, np.int32), "cls": np.arange(n), "n": np.full(n, 10, np.int32), "side": np.zeros(n, np.int32), "anchors": pa.array(cells, pa.binary()), "places": pa.array([b"\0\0\0\0"] * n, pa.binary())}
     out = list(runs.meetings(Caught(), 0.5)(iter(pa.table(table).to_batches())))
     assert sum(b.num_rows for b in out) == n * (n - 1) // 2 and max(b.num_rows for b in out) <= 1 << 18
+
+
+def test_the_plan_of_verdicts_holds_no_filter(spark):
+    from pothi.llm.p10_truncation import truncation
+
+    docs = spark.createDataFrame([(i, f"The lamp burns by the river {i}. It is lit in the evening" + "." * (i % 2), "s") for i in range(12)], "doc_id long, text string, source string")
+    found = truncation(docs, "doc_id", "text", "source")
+    assert "subquery" not in found._jdf.queryExecution().executedPlan().toString().lower() and found.count() == 12
