@@ -49,15 +49,26 @@ def trimmed(token: Column) -> Column:
     return F.btrim(token, F.lit(EDGES))
 
 
+def _terms_of(t: Column, root: Column) -> Column:
+    """The terms of a trimmed token and its stem: itself and its parts at hyphens, or itself and its stem."""
+    plain = (F.length(t) > 1) & ~t.isin(*STOPWORDS)
+    parts = F.filter(F.transform(F.split(t, "-"), lambda p: F.trim(p)), lambda p: (F.length(p) > 1) & ~p.isin(*STOPWORDS))
+    inflected = root.isNotNull() & ~root.isin(*STOPWORDS)
+    return F.when(t == "", F.array().cast("array<string>")).when(F.contains(t, F.lit("-")), F.concat(F.array(t), parts)).when(plain & inflected, F.array(t, root)).when(plain, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+
 def with_terms(df, token: str, name: str = "term"):
     """``df`` with a row for each term its trimmed tokens give: itself and its parts at hyphens, or itself and its stem."""
     t, root = F.col(token), F.col("_root")
     rooted = df.withColumn("_root", F.when(t.rlike("[ऀ-ॿ]"), stem(t)))
-    plain = (F.length(t) > 1) & ~t.isin(*STOPWORDS)
-    parts = F.filter(F.transform(F.split(t, "-"), lambda p: F.trim(p)), lambda p: (F.length(p) > 1) & ~p.isin(*STOPWORDS))
-    inflected = root.isNotNull() & ~root.isin(*STOPWORDS)
-    terms = F.when(t == "", F.array().cast("array<string>")).when(F.contains(t, F.lit("-")), F.concat(F.array(t), parts)).when(plain & inflected, F.array(t, root)).when(plain, F.array(t)).otherwise(F.array().cast("array<string>"))
-    return rooted.withColumn("_terms", terms).select(*[c for c in df.columns if c != token], F.explode("_terms").alias(name))
+    return rooted.withColumn("_terms", _terms_of(t, root)).select(*[c for c in df.columns if c != token], F.explode("_terms").alias(name))
+
+
+def term_list(text: Column) -> Column:
+    """All terms of a text, as often as it has them, in one array."""
+    told = F.transform(words(text), lambda w: F.struct(trimmed(w).alias("t")))
+    rooted = F.transform(told, lambda x: F.struct(x["t"].alias("t"), F.when(x["t"].rlike("[ऀ-ॿ]"), stem(x["t"])).alias("root")))
+    return F.flatten(F.transform(rooted, lambda x: _terms_of(x["t"], x["root"])))
 
 
 def count_class(text: Column, java_class: str) -> Column:

@@ -164,11 +164,12 @@ def aliases(containers: DataFrame, originals: DataFrame, key: str, language: str
 
     A container is compared with the ``blocking`` originals that score best by BM25
     for its text, by the Jaccard similarity of their runs of five characters; texts
-    of fewer than ``shortest`` characters aren't compared.
+    of fewer than ``shortest`` characters aren't compared. Both tables are read
+    more than once: they are best cut from what they come from.
     """
     from pothi.operators.retrieval import bm25_best, top
 
-    long = lambda df, k: cut(df.where(F.length(text) >= shortest).select(F.concat_ws("|", F.coalesce(F.col(language), F.lit("")), F.col(key)).alias(k), F.coalesce(F.col(language), F.lit("")).alias(f"lang_{k}"), F.col(text).alias(f"text_{k}")))
+    long = lambda df, k: df.where(F.length(text) >= shortest).select(F.concat_ws("|", F.coalesce(F.col(language), F.lit("")), F.col(key)).alias(k), F.coalesce(F.col(language), F.lit("")).alias(f"lang_{k}"), F.col(text).alias(f"text_{k}"))
     c, o = long(containers, "c"), long(originals, "o")
     pairs = bm25_best(o, "o", "text_o", "lang_o", c, "c", "text_c", "lang_c", blocking).select("c", "o")
     told = lambda df, k: df.select(k, plain(F.col(f"text_{k}")).alias(f"plain_{k}"))

@@ -7,6 +7,8 @@ order of summation differs from run to run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pothi.functions.lexical import trimmed, with_terms, words
+from pothi.functions.lexical import term_list, trimmed, with_terms, words
 from pothi.plans.lineage import cut
 
 K1, B = 1.5, 0.75
@@ -81,36 +83,87 @@ def bm25(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str,
 
 
 #: So many texts and so many queries meet in one group of ``bm25_best``.
-TEXTS_AT_ONCE, QUERIES_AT_ONCE = 1 << 15, 1 << 14
+TEXTS_AT_ONCE, QUERIES_AT_ONCE = 1 << 15, 1 << 16
 
 
 def _elements(table: pa.Table, column: str) -> np.ndarray:
     return pa.concat_arrays(table.column(column).chunks).flatten().to_numpy(zero_copy_only=False)
 
 
+# A term of more than this part of a block's texts has its additions in a row of a matrix; queries scored at once; texts whose greatest score is taken together.
+_COMMON, _BATCH, _TOGETHER = 1 / 30, 64, 64
+
+
+def _best_of(k: int, n: int, terms_: int, term: np.ndarray, doc: np.ndarray, weight: np.ndarray, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query (its terms ascending, their idf) the texts that can be among the ``k`` best of ``n``, and their scores.
+
+    Terms are numbers below ``terms_``. ``term``, ``doc`` and ``weight`` are the postings, in the order of terms and
+    texts. All texts are scored in single precision, by a matrix for common terms
+    and postings for others; those that by its error may be among the best are
+    added up again in double.
+    """
+    place = term * n + doc
+    ends = np.searchsorted(term, np.arange(terms_ + 1))
+    size = np.diff(ends)
+    common = np.flatnonzero(size > max(k, n * _COMMON))
+    row = np.full(terms_, -1)
+    row[common] = np.arange(len(common))
+    wide = -(-n // _TOGETHER) * _TOGETHER
+    matrix = np.zeros((len(common), wide), np.float32)
+    in_matrix = row[term] >= 0
+    matrix[row[term[in_matrix]], doc[in_matrix]] = weight[in_matrix]
+    light = weight.astype(np.float32)
+    for at in range(0, len(queries), _BATCH):
+        batch = queries[at : at + _BATCH]
+        share = np.zeros((len(batch), len(common)), np.float32)
+        for q, (of, idf) in enumerate(batch):
+            r = row[of]
+            share[q, r[r >= 0]] = idf[r >= 0]
+        rough = share @ matrix
+        for score, (of, idf) in zip(rough, batch):
+            for t, w in zip(of[row[of] < 0].tolist(), idf[row[of] < 0].astype(np.float32)):
+                a, b = ends[t], ends[t + 1]
+                score[doc[a:b]] += w * light[a:b]
+            # Of k stretches of texts each has one of at least this score.
+            tops = score.reshape(-1, _TOGETHER).max(1)
+            least = np.partition(tops, len(tops) - k)[len(tops) - k] if len(tops) > k else np.float32(0)
+            near = np.flatnonzero(score >= least) if least > 0 else np.flatnonzero(score)
+            if len(near) > k:
+                some = score[near]
+                least = np.partition(some, len(some) - k)[len(some) - k]
+                # The sum of n positive numbers is off by n / 2 ** 24 of it at most.
+                near = np.flatnonzero(score >= max(least * (1 - 4 * (len(of) + 4) / 2**24) - 2e-6, 1e-30))
+            sought = (of[:, None] * n + near[None, :]).ravel()
+            found = np.minimum(np.searchsorted(place, sought), max(0, len(place) - 1))
+            added = np.where(place[found] == sought, weight[found], 0.0).reshape(len(of), len(near)) if len(place) else np.zeros((len(of), 0))
+            yield near, idf @ added
+
+
 def bm25_best(df: DataFrame, key: str, text: str, group: str, queries: DataFrame, query_key: str, query_text: str, query_group: str, k: int, most_terms: int = MOST_TERMS, texts: int = TEXTS_AT_ONCE, asking: int = QUERIES_AT_ONCE) -> DataFrame:
     """query, key, score, rank: as ``bm25``, the ``k`` best texts of each query's own group, for as many queries as texts.
 
     Statistics are those of ``df``, whatever the group. Texts and queries are
-    packed into a row each and meet in blocks of ``texts`` by ``asking``; a block
-    gives each query its ``k`` best, so that the scores of all others, which grow
-    with the square of the input, are neither exchanged nor kept.
+    taken apart where they are, into hashes of 64 bits of their terms, and meet in
+    blocks of ``texts`` by ``asking``; a block gives each query its ``k`` best, so
+    that the scores of all others, which grow with the square of the input, are
+    neither exchanged nor kept.
     """
-    asked = cut(terms(queries, query_key, query_text).distinct())
-    have = cut(hits(df, key, text, asked.select("term"), most_terms))
-    n_docs, tokens = have.where("term IS NULL").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    listed = lambda d, c: F.transform(term_list(F.coalesce(F.col(c), F.lit(""))), lambda t: F.xxhash64(t))
+    # A text whose key occurs twice counts once (the text of the least hash), as in ``hits``.
+    row = F.struct(F.col(group).alias("of"), listed(df, text).alias("no"))
+    have = cut(df.select(F.col(key), row.alias("r"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).groupBy(key).agg(F.min_by("r", "h").alias("r")).select(key, F.col("r.of").alias("_group"), F.col("r.no").alias("no")))
+    n_docs, tokens = have.agg(F.count("*"), F.coalesce(F.sum(F.size("no")), F.lit(0))).first()
     avgdl = max(1.0, tokens / max(1, n_docs))
-    wanted = have.where("term IS NOT NULL")
+    asked = queries.select(query_key, F.col(query_group).alias("_group"), F.explode(F.array_distinct(listed(queries, query_text))).alias("no"))
     idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    known = cut(wanted.groupBy("term").agg(F.count("*").alias("df")).select("term", F.monotonically_increasing_id().alias("no"), idf.alias("idf")))
+    known = cut(have.select(F.explode(F.array_distinct("no")).alias("no")).groupBy("no").agg(F.count("*").alias("df")).select("no", idf.alias("idf")))
     small = F.broadcast(known) if known.limit(most_terms + 1).count() <= most_terms else known
     blocks, chunks = n_docs // texts + 1, queries.count() // asking + 1
     spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    held = wanted.join(small, "term").groupBy(key).agg(F.first("dl").alias("dl"), F.collect_list(F.struct("no", "tf")).alias("p")).join(df.select(key, F.col(group).alias("_group")).distinct(), key)
-    held = held.select("_group", spread("_chunk", chunks), part(key, blocks).alias("_block"), key, F.col("dl").cast("int").alias("dl"), F.col("p.no").alias("no"), F.col("p.tf").cast("array<int>").alias("tf"))
-    said = asked.join(small, "term").groupBy(query_key).agg(F.collect_list(F.struct("no", "idf")).alias("p")).join(queries.select(query_key, F.col(query_group).alias("_group")).distinct(), query_key)
-    said = said.select("_group", part(query_key, chunks).alias("_chunk"), spread("_block", blocks), query_key, F.col("p.no").alias("no"), F.col("p.idf").alias("idf"))
+    held = have.select("_group", spread("_chunk", chunks), part(key, blocks).alias("_block"), key, "no")
+    said = cut(asked.join(small, "no").groupBy(query_key, "_group").agg(F.collect_set(F.struct("no", "idf")).alias("p")).select(query_key, "_group", F.col("p.no").alias("no"), F.col("p.idf").alias("idf")))
+    said = said.select("_group", part(query_key, chunks).alias("_chunk"), spread("_block", blocks), query_key, "no", "idf")
     kinds = dict(df.dtypes) | dict(queries.dtypes)
 
     def meet(asking: pa.Table, texts: pa.Table) -> pa.Table:
@@ -119,26 +172,29 @@ def bm25_best(df: DataFrame, key: str, text: str, group: str, queries: DataFrame
         texts = texts.sort_by(key)
         n, found, whose, scores = texts.num_rows, [], [], []
         if not empty:
-            doc = np.repeat(np.arange(n), pc.list_value_length(texts.column("no")).to_numpy())
-            tf, dl = _elements(texts, "tf").astype(np.float64), texts.column("dl").to_numpy()[doc]
-            weight, no = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)), _elements(texts, "no")
-            order = np.argsort(no, kind="stable")
-            doc, weight, (terms_, first) = doc[order], weight[order], np.unique(no[order], return_index=True)
-            stop = np.append(first[1:], len(no))
+            dl = pc.list_value_length(texts.column("no")).to_numpy().astype(np.int64)
+            doc, no = np.repeat(np.arange(n), dl), _elements(texts, "no")
             ask, idf = _elements(asking, "no"), _elements(asking, "idf")
-            at = np.minimum(np.searchsorted(terms_, ask), len(terms_) - 1)
-            there = terms_[at] == ask
+            names, ask = np.unique(ask, return_inverse=True)
+            at = np.minimum(np.searchsorted(names, no), len(names) - 1)
+            there = names[at] == no
+            # Postings in the order of terms and texts, once however often a text has a term.
+            place, tf = np.unique(at[there] * n + doc[there], return_counts=True)
+            del no, at, there
+            term, doc = place // n, place % n
+            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
             ends = np.concatenate(([0], np.cumsum(pc.list_value_length(asking.column("no")).to_numpy())))
+            each = []
             for q in range(asking.num_rows):
-                score = np.zeros(n)
-                of = np.arange(ends[q], ends[q + 1])
-                of = of[there[of]]
-                for a, b, w in zip(first[at[of]], stop[at[of]], idf[of]):
-                    score[doc[a:b]] += w * weight[a:b]
-                least = np.partition(score, n - k)[n - k] if n > k else 0.0
-                near = np.flatnonzero(score >= least - 1e-6)
-                rounded = np.round(score[near], 6)
-                best = np.argsort(-rounded, kind="stable")[:k]
+                of, by = ask[ends[q] : ends[q + 1]], idf[ends[q] : ends[q + 1]]
+                order = np.argsort(of)
+                each.append((of[order], by[order]))
+            for q, (near, value) in enumerate(_best_of(k, n, len(names), term, doc, weight, each)):
+                rounded = np.round(value, 6)
+                if len(near) > k:
+                    keep = rounded >= np.partition(rounded, len(near) - k)[len(near) - k]
+                    near, rounded = near[keep], rounded[keep]
+                best = np.lexsort((near, -rounded))[:k]
                 best = best[rounded[best] > 0]
                 found.append(near[best])
                 scores.append(rounded[best])

@@ -9,6 +9,7 @@ from pothi.functions import text as tx
 from pothi.operators import ingest as ig
 from pothi.operators import matching as ma
 from pothi.operators import scope as sc
+from pothi.plans.lineage import cut
 from pothi.sources.tables import latest
 from pothi.sources.tables import table as t
 
@@ -111,7 +112,7 @@ def k11_gram_similarity(s, d):
 
 
 def _aliases(s, d):
-    c = latest(t(s, d, "chunks", "id", "kind_level", "kind", "language", "cite_text", "built_at"), ["id"], "built_at").where("kind_level = 'child' AND cite_text IS NOT NULL")
+    c = cut(latest(t(s, d, "chunks", "id", "kind_level", "kind", "language", "cite_text", "built_at"), ["id"], "built_at").where("kind_level = 'child' AND cite_text IS NOT NULL").drop("built_at"))
     return ma.aliases(c.where("kind <> 'canonical'"), c.where("kind = 'canonical'"), "id", "language", "cite_text", least=0.0)
 
 
