@@ -59,6 +59,14 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "part", "hits", "runs", F.round(F.col("hits") / F.col("runs"), 6).alias("share"))
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that say an item's query or answer again with words left out, put in or replaced."""
+    from pothi.llm.p09_leaks import near_leaks
+
+    found = near_leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "gold"), "item_id", ["query", "expected_text_substr"], "expected_text_substr")
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def _truncation(spark: SparkSession, d: str) -> DataFrame:
     from pothi.llm.p10_truncation import truncation
 
@@ -173,7 +181,7 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packed(items, table(spark, d, "context_sizes", "size_id", "capacity")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_repaired, p3_found, p3_forms, p4_found, p4_languages, p5_found, p5_volumes, p5_paragraphs, p6_found, p6_share, p7_found, p7_groups, p8_packed, p9_found, p9_leaks, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_repaired, p3_found, p3_forms, p4_found, p4_languages, p5_found, p5_volumes, p5_paragraphs, p6_found, p6_share, p7_found, p7_groups, p8_packed, p9_found, p9_leaks, p9_near, p10_found, p10_sources)}
 
 _SP = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _WORDS = lambda x: rf"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '\p{{P}}+', '', 'g'), '{_SP}+'), lambda w: w <> '')"

@@ -14,7 +14,7 @@ from pothi.llm.components import components
 from pothi.llm.p05_scans import Scans
 from pothi.llm.p06_shared_spans import SharedSpans, anchors, coverage
 from pothi.llm.p07_near_duplicates import NearDuplicates
-from pothi.llm.p09_leaks import leaks
+from pothi.llm.p09_leaks import common_words, leaks, near_leaks
 from pothi.llm.p10_truncation import rates, truncation
 
 
@@ -220,6 +220,33 @@ def test_leaks_equal_brute_force(spark):
         assert {(r.id, r.item) for r in leaks(d, "id", "t", it, "i", ["q", "a"], most_runs=most).collect()} == want
 
 
+def test_near_leaks_are_found_without_a_common_run(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    said = [[rng.choice(words) for _ in range(60)] for _ in range(6)]
+    told = [[w if i % 9 else "other" for i, w in enumerate(t)] for t in said[:4]]
+    shuffled = rng.sample(said[4], 60)
+    docs = [(i, " ".join([rng.choice(words) for _ in range(50)] + t + [rng.choice(words) for _ in range(70)])) for i, t in enumerate([*told, shuffled])]
+    docs += [(i, " ".join(rng.choice(words) for _ in range(150))) for i in range(10, 150)] + [(200, None), (201, ""), (202, "w1 w2"), docs[0]]
+    items = [(i, " ".join(t), " ".join(said[(i + 1) % 6][:20]) if i % 2 else None) for i, t in enumerate(said)] + [(7, None, "w1"), (8, "w1 w2", None)]
+    d, it = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(items, "i int, q string, a string")
+    found = near_leaks(d, "id", "t", it, "i", ["q"], "a").collect()
+    assert {(r.id, r.item) for r in found} == {(i, i) for i in range(4)} and len(found) == 4
+    assert all(r.common >= 0.6 * r.words for r in found) and {r.item for r in found if r.answered is None} == {0, 2}
+    assert leaks(d, "id", "t", it, "i", ["q", "a"]).isEmpty()
+
+
+def test_longest_common_subsequences_are_those_of_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 14))] for _ in range(2))
+        table_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table_[i + 1][j + 1] = table_[i][j] + 1 if x == y else max(table_[i][j + 1], table_[i + 1][j])
+        assert common_words(a, {w: sum(1 << i for i, x in enumerate(b) if x == w) for w in b}, len(b)) == table_[-1][-1]
+
+
 def test_truncation(spark):
     rng = random.Random(7)
     subj, verb, obj = ["The cook", "My aunt", "A pilgrim"], ["sought the", "kept the", "sang the"], ["copper lamp", "old bell", "river song"]
